@@ -29,9 +29,9 @@ def order_key(seed: int, key: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), key.cast("string")))
 
 
-def bucket_of(key: Column) -> Column:
+def bucket_of(key: Column, digits: int = BUCKET_DIGITS) -> Column:
     """Even bucket of a key, as the leading hex digits of its digest."""
-    return F.substring(F.md5(key.cast("string")), 1, BUCKET_DIGITS)
+    return F.substring(F.md5(key.cast("string")), 1, digits)
 
 
 def running_total(df: DataFrame, key: str, amount: Column, out: str) -> DataFrame:

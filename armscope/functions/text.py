@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 # The code points Python's str.split() treats as blank.  Java's
 # \s covers only part of them.
 BLANK = (
-    r"[\t-\r\x1c-\x20\x85\xa0  -     　]"
+    r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 )
 
 # The mteval-13a rules as (pattern, replacement).

@@ -1,0 +1,113 @@
+"""Running a suite of reference and predicted SQL over registered Spark tables."""
+
+from __future__ import annotations
+
+import threading
+import uuid
+from collections.abc import Iterable, Mapping
+
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from armscope.operators.results import ROW_CAP
+
+RUN_SCHEMA = T.StructType(
+    [
+        T.StructField("instance_id", T.StringType()),
+        T.StructField("side", T.StringType()),
+        T.StructField("error", T.StringType()),
+    ]
+)
+
+#: Characters of an engine message kept in an error.
+MESSAGE_CHARS = 100
+
+
+def result_rows_of(result: DataFrame, instance_id: str, side: str, cap: int = ROW_CAP) -> DataFrame:
+    """Rows of one query result in the comparison layout.
+
+    cap + 1 rows are enough to see that a run is over the cap, which makes it
+    an error for the whole run (see cap_rows).
+    """
+    names = [f"c{i}" for i in range(len(result.columns))]
+    cols = F.array(
+        *[
+            F.struct(
+                F.lit(original).alias("name"),
+                F.coalesce(_json_value(result.schema[i].dataType, new), F.lit("null")).alias("value"),
+            )
+            for i, (original, new) in enumerate(zip(result.columns, names))
+        ]
+    )
+    return (
+        result.toDF(*names)
+        .limit(cap + 1)
+        .withColumn("row_no", F.monotonically_increasing_id())
+        .select(
+            F.lit(instance_id).alias("instance_id"), F.lit(side).alias("side"), "row_no",
+            cols.alias("cols"),
+        )
+    )
+
+
+def _json_value(kind: T.DataType, name: str):
+    """JSON text of a scalar: texts quoted, numbers bare, anything else as JSON."""
+    boxed = F.to_json(F.struct(F.col(name).alias("v")), {"ignoreNullFields": "false"})
+    return F.regexp_extract(boxed, r'(?s)^\{"v":(.*)\}$', 1)
+
+
+def run_sql_suite(
+    spark: SparkSession,
+    queries: Iterable[Row],
+    tables: Mapping[str, DataFrame],
+    out: str,
+    timeout_s: float = 15.0,
+) -> tuple[DataFrame, DataFrame]:
+    """Run every (instance_id, side, sql) and return (runs, result_rows).
+
+    The suite is a list of hundreds of queries; each one is a Spark job over
+    the tables, written by the executors to ``out``.  A query that fails or
+    passes its time limit becomes an error.
+    """
+    for name, df in tables.items():
+        df.createOrReplaceTempView(name)
+    runs, written = [], []
+    for i, q in enumerate(queries):
+        path = f"{out}/rows-{i}"
+        error = _write_one(spark, q, path, timeout_s)
+        runs.append((q["instance_id"], q["side"], error))
+        if error is None:
+            written.append(path)
+    run_table = spark.createDataFrame(runs, RUN_SCHEMA)
+    schema = (
+        "instance_id STRING, side STRING, row_no BIGINT, "
+        "cols ARRAY<STRUCT<name: STRING, value: STRING>>"
+    )
+    rows = spark.read.schema(schema).parquet(*written) if written else spark.createDataFrame([], schema)
+    return run_table, rows
+
+
+def _write_one(spark: SparkSession, q: Row, path: str, timeout_s: float) -> str | None:
+    tag = f"suite-{uuid.uuid4().hex}"
+    late = threading.Event()
+
+    def stop() -> None:
+        late.set()
+        spark.interruptTag(tag)
+
+    timer = threading.Timer(timeout_s, stop)
+    spark.addTag(tag)
+    timer.start()
+    try:
+        result = spark.sql(q["sql"])
+        result_rows_of(result, q["instance_id"], q["side"]).write.mode("overwrite").parquet(path)
+        return None
+    except Exception as e:  # any engine error is a verdict on the query
+        if late.is_set():
+            return f"hard_timeout: >{timeout_s:g}s"
+        kind = "syntax" if type(e).__name__ in ("ParseException", "AnalysisException") else "db"
+        return f"{kind}: {str(e)[:MESSAGE_CHARS]}"
+    finally:
+        timer.cancel()
+        spark.removeTag(tag)
