@@ -7,30 +7,30 @@ from pyspark.sql import functions as F
 
 # Patterns whose matches decide what counts as a hop, a label, a
 # declared relation or a literal.
-REL_USED = r"-\[(?::|[a-zA-Z_]\w*:)([A-Za-z_]\w*)\s*(?:\*[^\]]*)?\]"
-REL_ORDERED = r"-\[:?(\w+)"
-NODE_LABEL = r"\(\s*[a-zA-Z_]?\w*\s*:\s*([A-Za-z_]\w*)"
-SCHEMA_ARROW = r"\(:([A-Za-z_]\w*)\)-\[:([A-Za-z_]\w*)\]->\(:([A-Za-z_]\w*)\)"
-SCHEMA_BOLD = r"\*\*(\w+)\*\* -\[:(\w+)\]-> \*\*(\w+)\*\*"
+REL_USED = r"(?U)-\[(?::|[a-zA-Z_]\w*:)([A-Za-z_]\w*)\s*(?:\*[^\]]*)?\]"
+REL_ORDERED = r"(?U)-\[:?(\w+)"
+NODE_LABEL = r"(?U)\(\s*[a-zA-Z_]?\w*\s*:\s*([A-Za-z_]\w*)"
+SCHEMA_ARROW = r"(?U)\(:([A-Za-z_]\w*)\)-\[:([A-Za-z_]\w*)\]->\(:([A-Za-z_]\w*)\)"
+SCHEMA_BOLD = r"(?U)\*\*(\w+)\*\* -\[:(\w+)\]-> \*\*(\w+)\*\*"
 QUOTED = r"'([^']*)'|\"([^\"]*)\""
 
 # Query features and the pattern that shows each of them.
 FEATURES = [
-    ("UNION", r"(?i)\bUNION\b"),
+    ("UNION", r"(?iU)\bUNION\b"),
     ("VAR_LENGTH_PATH", r"\[[^\]]*\*[^\]]*\]"),
-    ("CASE", r"(?i)\bCASE\b"),
-    ("COLLECT", r"(?i)\bCOLLECT\s*\("),
-    ("WHERE", r"(?i)\bWHERE\b"),
-    ("EXISTS", r"(?i)\bEXISTS\b"),
-    ("WITH", r"(?i)\bWITH\b"),
-    ("DISTINCT", r"(?i)\bDISTINCT\b"),
-    ("AGGREGATION", r"(?i)\b(AVG|SUM|MIN|MAX)\s*\("),
-    ("WRITE", r"(?i)\b(CREATE|MERGE|SET|DELETE|REMOVE)\b"),
-    ("COUNT", r"(?i)\bCOUNT\s*\("),
-    ("ORDER BY", r"(?i)\bORDER\s+BY\b"),
-    ("LIMIT", r"(?i)\bLIMIT\b"),
-    ("UNWIND", r"(?i)\bUNWIND\b"),
-    ("OPTIONAL MATCH", r"(?i)\bOPTIONAL\s+MATCH\b"),
+    ("CASE", r"(?iU)\bCASE\b"),
+    ("COLLECT", r"(?iU)\bCOLLECT\s*\("),
+    ("WHERE", r"(?iU)\bWHERE\b"),
+    ("EXISTS", r"(?iU)\bEXISTS\b"),
+    ("WITH", r"(?iU)\bWITH\b"),
+    ("DISTINCT", r"(?iU)\bDISTINCT\b"),
+    ("AGGREGATION", r"(?iU)\b(AVG|SUM|MIN|MAX)\s*\("),
+    ("WRITE", r"(?iU)\b(CREATE|MERGE|SET|DELETE|REMOVE)\b"),
+    ("COUNT", r"(?iU)\bCOUNT\s*\("),
+    ("ORDER BY", r"(?iU)\bORDER\s+BY\b"),
+    ("LIMIT", r"(?iU)\bLIMIT\b"),
+    ("UNWIND", r"(?iU)\bUNWIND\b"),
+    ("OPTIONAL MATCH", r"(?iU)\bOPTIONAL\s+MATCH\b"),
 ]
 
 
@@ -45,7 +45,7 @@ def hop_count(query: Column) -> Column:
 
 
 def match_count(query: Column) -> Column:
-    return F.regexp_count(F.coalesce(query, F.lit("")), F.lit(r"(?i)\bMATCH\b"))
+    return F.regexp_count(F.coalesce(query, F.lit("")), F.lit(r"(?iU)\bMATCH\b"))
 
 
 def labels(query: Column) -> Column:
@@ -82,7 +82,7 @@ def is_one_hop(query: Column) -> Column:
     return (
         ~upper.contains(" UNION ")
         & ~upper.contains("UNION ALL")
-        & (F.regexp_count(query, F.lit(r"(?i)\bOPTIONAL\s+MATCH\b")) == 0)
+        & (F.regexp_count(query, F.lit(r"(?iU)\bOPTIONAL\s+MATCH\b")) == 0)
         & (match_count(query) == 1)
         & (hop_count(query) == 1)
         & ~F.regexp_extract(query, r"-\[[^\]]*\]", 0).contains("*")
@@ -91,5 +91,5 @@ def is_one_hop(query: Column) -> Column:
 
 def has_word(text: Column, word: Column) -> Column:
     """Does ``word`` occur in ``text`` between non-word characters?"""
-    pattern = F.concat(F.lit(r"(^|\W)\Q"), word, F.lit(r"\E(\W|$)"))
+    pattern = F.concat(F.lit(r"(?U)(^|\W)\Q"), word, F.lit(r"\E(\W|$)"))
     return F.regexp_count(F.coalesce(text, F.lit("")), pattern) > 0

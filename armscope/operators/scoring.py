@@ -50,8 +50,8 @@ def gleu_stats(pairs: DataFrame, pred_col: str, ref_col: str, max_n: int = 4) ->
         "_tr", tokens_13a(F.col(ref_col))
     )
     n_pred, n_ref = ngram_count(F.size("_tp"), max_n), ngram_count(F.size("_tr"), max_n)
-    grams = tokens.withColumn("_gp", ngrams(F.col("_tp"), max_n)).withColumn(
-        "_gr", ngrams(F.col("_tr"), max_n)
+    grams = tokens.withColumn("_gp", F.sort_array(ngrams(F.col("_tp"), max_n))).withColumn(
+        "_gr", F.sort_array(ngrams(F.col("_tr"), max_n))
     )
     match = F.when(F.col("_tp") == F.col("_tr"), n_ref).otherwise(
         overlap_size(F.col("_gp"), F.col("_gr"))

@@ -121,9 +121,10 @@ def hop_board(preds: DataFrame, em: Column, pred_col: str, ref_col: str) -> Data
     )
 
 
-def relation_change(pred: Column, ref: Column) -> Column:
-    """How the relation multiset of ``pred`` relates to that of ``ref`` (arrays)."""
-    shared, n_p, n_r = overlap_size(pred, ref), F.size(pred), F.size(ref)
+def relation_change() -> Column:
+    """How the predicted relation multiset relates to the reference's (see with_relations)."""
+    n_p, n_r = F.size("pred_rels"), F.size("ref_rels")
+    shared = overlap_size(F.col("pred_sorted"), F.col("ref_sorted"))
     return (
         F.when((n_p == n_r) & (shared == n_r), "same")
         .when((shared == n_p) & (n_p < n_r), "dropped")
@@ -134,16 +135,19 @@ def relation_change(pred: Column, ref: Column) -> Column:
 
 
 def with_relations(rows: DataFrame, pred_col: str, ref_col: str) -> DataFrame:
-    """Add relation arrays ``pred_rels`` and ``ref_rels``."""
-    return rows.withColumn("pred_rels", g.relations(F.col(pred_col))).withColumn(
+    """Add relation arrays in order of use (``pred_rels``, ``ref_rels``) and sorted."""
+    used = rows.withColumn("pred_rels", g.relations(F.col(pred_col))).withColumn(
         "ref_rels", g.relations(F.col(ref_col))
     )
+    return used.withColumn("pred_sorted", F.sort_array("pred_rels")).withColumn(
+        "ref_sorted", F.sort_array("ref_rels")
+    )
 
 
 def failure_structure(failures: DataFrame, pred_col: str, ref_col: str) -> DataFrame:
     """Kinds of relation change among failures, with shares."""
     kinds = with_relations(failures, pred_col, ref_col).select(
-        relation_change(F.col("pred_rels"), F.col("ref_rels")).alias("structure")
+        relation_change().alias("structure")
     )
     # One row with five counters, then unfolded: no second pass for the total.
     names = ["same", "dropped", "added", "disjoint", "overlap"]
@@ -173,36 +177,27 @@ def subpath_scan(pred_rels: Column, ref_rels: Column) -> Column:
     """Walk the reference relations with a pointer into the predicted ones.
 
     Gives ``taken`` (how many predicted relations were met in order) and
-    ``missed`` (0-based reference positions that were skipped).
+    ``missed`` (first 0-based reference position that was skipped, or -1).
     """
-    start = F.struct(
-        pred_rels.alias("p"),
-        F.lit(0).alias("pos"),
-        F.lit(0).alias("taken"),
-        F.array().cast("array<int>").alias("missed"),
-    )
+    start = F.struct(F.lit(0).alias("pos"), F.lit(0).alias("taken"), F.lit(-1).alias("missed"))
 
     def step(acc: Column, rel: Column) -> Column:
-        hit = F.coalesce(F.get(acc["p"], acc["taken"]) == rel, F.lit(False))
+        hit = F.coalesce(F.get(pred_rels, acc["taken"]) == rel, F.lit(False))
         return F.struct(
-            acc["p"].alias("p"),
             (acc["pos"] + 1).alias("pos"),
-            F.when(hit, acc["taken"] + 1).otherwise(acc["taken"]).alias("taken"),
-            F.when(hit, acc["missed"]).otherwise(F.array_append(acc["missed"], acc["pos"])).alias("missed"),
+            (acc["taken"] + F.when(hit, 1).otherwise(0)).alias("taken"),
+            F.when(hit | (acc["missed"] >= 0), acc["missed"]).otherwise(acc["pos"]).alias("missed"),
         )
 
-    return F.aggregate(
-        ref_rels, start, step,
-        lambda acc: F.struct(acc["taken"].alias("taken"), acc["missed"].alias("missed")),
-    )
+    return F.aggregate(ref_rels, start, step)
 
 
 def clean_subpath(rows: DataFrame, id_cols: Sequence[str], pred_col: str, ref_col: str) -> DataFrame:
     """Rows that dropped hops: is the rest in order, and where is the first missing hop?"""
     rels = with_relations(rows, pred_col, ref_col)
-    dropped = rels.filter(relation_change(F.col("pred_rels"), F.col("ref_rels")) == "dropped")
+    dropped = rels.filter(relation_change() == "dropped")
     scanned = dropped.withColumn("_s", subpath_scan(F.col("pred_rels"), F.col("ref_rels")))
-    first = F.col("_s.missed")[0]
+    first = F.col("_s.missed")
     where = (
         F.when(first == 0, "start")
         .when(first == F.size("ref_rels") - 1, "end")
@@ -282,7 +277,7 @@ def error_attribution(failures: DataFrame, pred_col: str, ref_col: str, return_o
     p, r = F.col(pred_col), F.col(ref_col)
     flags = rels.select(
         "arm",
-        (relation_change(F.col("pred_rels"), F.col("ref_rels")) == "dropped").alias("cut"),
+        (relation_change() == "dropped").alias("cut"),
         (literal_change(g.literals(p), g.literals(r)) != "same").alias("value"),
         (return_of(p) != return_of(r)).alias("ret"),
     )
