@@ -105,7 +105,7 @@ def tokens_13a(c: Column) -> Column:
 
 def words(c: Column) -> Column:
     """Blank-separated words; an empty text has none."""
-    return F.filter(F.split(norm_ws(c), " "), lambda t: t != "")
+    return F.array_remove(F.split(norm_ws(c), " "), "")
 
 
 def first_filled(*cols: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from armscope.functions.graphtext import FEATURES, hop_count
-from armscope.functions.multiset import ngram_count, ngrams, overlap_size
+from armscope.functions.multiset import ngram_count, ngrams, overlap_size, repeats
 from armscope.functions.text import (
     canon_sql, code_balanced, is_blank, norm_key, norm_ws, raw_key, text_or_empty, tokens_13a,
 )
@@ -50,16 +50,19 @@ def gleu_stats(pairs: DataFrame, pred_col: str, ref_col: str, max_n: int = 4) ->
         "_tr", tokens_13a(F.col(ref_col))
     )
     n_pred, n_ref = ngram_count(F.size("_tp"), max_n), ngram_count(F.size("_tr"), max_n)
-    grams = tokens.withColumn("_gp", F.sort_array(ngrams(F.col("_tp"), max_n))).withColumn(
-        "_gr", F.sort_array(ngrams(F.col("_tr"), max_n))
+    grams = tokens.withColumn("_gp", ngrams(F.col("_tp"), max_n)).withColumn(
+        "_gr", ngrams(F.col("_tr"), max_n)
     )
+    again = grams.withColumn("_dp", repeats(F.col("_gp"))).withColumn("_dr", repeats(F.col("_gr")))
+    # min(a, b) = 1 + min(a - 1, b - 1): the distinct part is a hash intersection,
+    # and only the repeats, a small part of a text, are walked.
     match = F.when(F.col("_tp") == F.col("_tr"), n_ref).otherwise(
-        overlap_size(F.col("_gp"), F.col("_gr"))
+        F.size(F.array_intersect("_gp", "_gr")) + overlap_size(F.col("_dp"), F.col("_dr"))
     )
     return (
-        grams.withColumn("gleu_match", match.cast("bigint"))
+        again.withColumn("gleu_match", match.cast("bigint"))
         .withColumn("gleu_all", F.greatest(n_pred, n_ref).cast("bigint"))
-        .drop("_tp", "_tr", "_gp", "_gr")
+        .drop("_tp", "_tr", "_gp", "_gr", "_dp", "_dr")
     )
 
 

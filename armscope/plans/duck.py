@@ -56,12 +56,18 @@ def words(e: str) -> str:
     return f"list_filter(str_split({norm_ws(e)}, ' '), lambda t: t <> '')"
 
 
-def _grams(col: str) -> str:
-    lists = ", ".join(
-        f"list_transform(range(1, len({col}) - {n} + 2), lambda i: array_to_string({col}[i:i + {n - 1}], ' '))"
-        for n in range(1, 5)
-    )
-    return f"unnest(flatten([{lists}]))"
+def _gram_ctes(name: str, col: str) -> str:
+    """Counted n-grams of a token list, from windows over its numbered tokens."""
+    window = "(PARTITION BY rid ORDER BY pos)"
+    parts = []
+    for n in range(1, 5):
+        cols = " || ' ' || ".join(["t"] + [f"t{k}" for k in range(1, n)])
+        need = f" WHERE t{n - 1} IS NOT NULL" if n > 1 else ""
+        parts.append(f"SELECT rid, {cols} AS g FROM {name}_w{need}")
+    leads = ", ".join(f"lead(t, {k}) OVER {window} AS t{k}" for k in (1, 2, 3))
+    return f"""{name}_t AS (SELECT rid, unnest({col}) AS t, generate_subscripts({col}, 1) AS pos FROM toks),
+{name}_w AS (SELECT rid, t, {leads} FROM {name}_t),
+{name} AS (SELECT rid, g, count(*) AS c FROM ({" UNION ALL ".join(parts)}) GROUP BY rid, g)"""
 
 
 def _n_grams(col: str) -> str:
@@ -73,8 +79,8 @@ def gleu_ctes(pairs: str, pred: str, ref: str) -> str:
     return f"""
 src AS MATERIALIZED ({pairs}),
 toks AS MATERIALIZED (SELECT *, row_number() OVER () AS rid, {tokens_13a(pred)} AS tp, {tokens_13a(ref)} AS tr FROM src),
-gp AS (SELECT rid, g, count(*) AS c FROM (SELECT rid, {_grams('tp')} AS g FROM toks) GROUP BY rid, g),
-gr AS (SELECT rid, g, count(*) AS c FROM (SELECT rid, {_grams('tr')} AS g FROM toks) GROUP BY rid, g),
+{_gram_ctes('gp', 'tp')},
+{_gram_ctes('gr', 'tr')},
 hit AS (SELECT rid, sum(least(gp.c, gr.c)) AS m FROM gp JOIN gr USING (rid, g) GROUP BY rid),
 stat AS (SELECT toks.*, CAST(coalesce(m, 0) AS BIGINT) AS gleu_match,
   CAST(greatest({_n_grams('tp')}, {_n_grams('tr')}) AS BIGINT) AS gleu_all
