@@ -50,13 +50,15 @@ def gleu_stats(pairs: DataFrame, pred_col: str, ref_col: str, max_n: int = 4) ->
         "_tr", tokens_13a(F.col(ref_col))
     )
     n_pred, n_ref = ngram_count(F.size("_tp"), max_n), ngram_count(F.size("_tr"), max_n)
-    grams = tokens.withColumn("_gp", ngrams(F.col("_tp"), max_n)).withColumn(
-        "_gr", ngrams(F.col("_tr"), max_n)
+    # Equal token lists, common among good predictions, need no n-grams at all.
+    equal = F.col("_tp") == F.col("_tr")
+    grams = tokens.withColumn("_gp", F.when(~equal, ngrams(F.col("_tp"), max_n))).withColumn(
+        "_gr", F.when(~equal, ngrams(F.col("_tr"), max_n))
     )
     again = grams.withColumn("_dp", repeats(F.col("_gp"))).withColumn("_dr", repeats(F.col("_gr")))
     # min(a, b) = 1 + min(a - 1, b - 1): the distinct part is a hash intersection,
     # and only the repeats, a small part of a text, are walked.
-    match = F.when(F.col("_tp") == F.col("_tr"), n_ref).otherwise(
+    match = F.when(equal, n_ref).otherwise(
         F.size(F.array_intersect("_gp", "_gr")) + overlap_size(F.col("_dp"), F.col("_dr"))
     )
     return (
