@@ -169,26 +169,36 @@ def cross_split_overlap(
 ) -> DataFrame:
     """Keys shared by every pair of named splits (the diagonal counts its keys).
 
-    Splits are flags per key, so no pairs are formed inside a group.
+    A key is reduced to a bit mask of the splits it occurs in, and keys to
+    counts per mask; pairs are formed from the few masks, never from rows.
     """
-    flags = [
-        F.max(F.when(F.col(split_col) == s, 1).otherwise(0)).alias(f"f{i}")
-        for i, s in enumerate(splits)
-    ]
-    per_key = rows.groupBy(key.alias("_k")).agg(*flags)
-    cells = [
-        F.struct(
-            F.lit(a).alias("split_a"),
-            F.lit(b).alias("split_b"),
-            F.sum(F.col(f"f{i}") * F.col(f"f{j}")).alias("n_shared"),
-            F.sum(f"f{i}").alias("n_a"),
-        )
-        for i, a in enumerate(splits)
-        for j, b in enumerate(splits)
-    ]
-    one = per_key.agg(F.array(*cells).alias("_m"))
-    return one.select(F.explode("_m").alias("_x")).select(
-        "_x.*", (F.col("_x.n_shared") / F.col("_x.n_a")).alias("share_of_a")
+    if len(splits) > 62:
+        raise ValueError("at most 62 splits fit one mask")
+    names = F.array(*[F.lit(s) for s in splits])
+    known = rows.filter(F.col(split_col).isin(*splits))
+    bit = F.call_function(
+        "shiftleft", F.lit(1).cast("bigint"), (F.array_position(names, F.col(split_col)) - 1).cast("int")
+    )
+    masks = (
+        known.groupBy(key.alias("_k")).agg(F.bit_or(bit).alias("mask"))
+        .groupBy("mask").agg(F.count("*").alias("n"))
+    )
+    places = F.sequence(F.lit(0), F.lit(len(splits) - 1))
+    inside = F.filter(places, lambda i: F.getbit(F.col("mask"), i) == 1)
+    a = masks.select("n", inside.alias("_in")).select("n", "_in", F.explode("_in").alias("_a"))
+    shared = a.select("n", "_a", F.explode("_in").alias("_b")).groupBy("_a", "_b").agg(
+        F.sum("n").alias("n_shared")
+    )
+    sizes = shared.filter(F.col("_a") == F.col("_b")).select("_a", F.col("n_shared").alias("n_a"))
+    # All pairs of names, also those that share nothing.
+    grid = sizes.select("_a", "n_a", F.explode(places).alias("_b"))
+    filled = grid.join(shared, ["_a", "_b"], "left").withColumn(
+        "n_shared", F.coalesce("n_shared", F.lit(0))
+    )
+    return filled.select(
+        F.get(names, F.col("_a")).alias("split_a"),
+        F.get(names, F.col("_b")).alias("split_b"),
+        "n_shared", "n_a", (F.col("n_shared") / F.col("n_a")).alias("share_of_a"),
     )
 
 
