@@ -6,6 +6,8 @@ tables.  ``{customer}`` and the like name the source tables.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,14 @@ TABLES = (
 Q = "chr(39)"
 NL = "chr(10)"
 
+def each(column: str, values: list[str]) -> str:
+    """One row per value, after a FROM item; each engine has its own spelling."""
+    return f"<<{column}:{','.join(values)}>>"
+
+
+_EACH = re.compile(r"<<(\w+):([^>]*)>>")
+
+
 # One graph query per customer; the shape goes by the customer number.
 _BASE = f"""
 SELECT CAST(c_custkey AS STRING) AS instance_id, c_custkey AS k, c_mktsegment AS data_source,
@@ -69,8 +79,8 @@ CASE kind
 PREDICTIONS = f"""
 WITH base AS ({_BASE}),
 arms AS (
-  SELECT *, 'direct' AS arm, kd AS kind FROM base
-  UNION ALL SELECT *, 'cot' AS arm, (kd * 5 + turn) % 12 AS kind FROM base),
+  SELECT *, CASE WHEN arm = 'direct' THEN kd ELSE (kd * 5 + turn) % 12 END AS kind
+  FROM base{each('arm', ["'direct'", "'cot'"])}),
 made AS (SELECT *, {_PREDICTED} AS predicted FROM arms)
 SELECT instance_id, k, arm, question, schema_text, predicted AS predicted_cypher, ref AS reference_cypher,
   data_source, db_name, n_nationkey, n_regionkey, shape, kind,
@@ -82,7 +92,8 @@ FROM made
 CANDIDATES = f"""
 WITH base AS ({_BASE}),
 spread AS (
-  {" UNION ALL ".join(f"SELECT *, {i} AS cand_idx, (kd + turn * {i} + {i * i}) % 12 AS kind FROM base" for i in range(5))}),
+  SELECT *, (kd + turn * cand_idx + cand_idx * cand_idx) % 12 AS kind
+  FROM base{each('cand_idx', ['0', '1', '2', '3', '4'])}),
 made AS (SELECT *, {_PREDICTED} AS predicted FROM spread)
 SELECT instance_id, k, cand_idx, predicted AS candidate, ref AS reference_cypher, db_name, question,
   schema_text, data_source,
@@ -129,7 +140,7 @@ WITH base AS (
       ' AND o_orderkey = ', CAST(o_orderkey AS STRING)) AS reference_sql,
     o_orderkey % 10 AS kd, (o_orderkey * 7 + CAST(floor(o_orderkey / 10) AS BIGINT)) % 10 AS kc
   FROM {{orders}}),
-arms AS (SELECT *, 'direct' AS arm, kd AS kind FROM base UNION ALL SELECT *, 'cot' AS arm, kc AS kind FROM base)
+arms AS (SELECT *, CASE WHEN arm = 'direct' THEN kd ELSE kc END AS kind FROM base{each('arm', ["'direct'", "'cot'"])})
 SELECT instance_id, k, arm, db_id, sql_complexity, reference_sql, CASE kind
   WHEN 2 THEN concat(reference_sql, ';')
   WHEN 3 THEN concat(reference_sql, ' ;')
@@ -190,7 +201,7 @@ WITH li AS (
   SELECT CAST(l_orderkey AS STRING) AS instance_id, (l_orderkey + {shift}) % 8 AS kind,
     l_linenumber AS ln, CAST(CAST(l_quantity AS BIGINT) AS STRING) AS qty,
     CAST(CAST(l_quantity AS BIGINT) + 1 AS STRING) AS qty2, l_returnflag AS flag FROM {{lineitem}}),
-sides AS (SELECT *, 'ref' AS side FROM li UNION ALL SELECT *, 'pred' AS side FROM li)
+sides AS (SELECT * FROM li{each('side', ["'ref'", "'pred'"])})
 SELECT instance_id, '{arm}' AS arm, side,
   CASE WHEN side = 'pred' AND kind = 4 THEN 100 - ln ELSE ln END AS row_no,
   CASE WHEN side = 'pred' AND kind = 3 THEN 'a' WHEN side = 'pred' AND kind = 7 THEN 'qty' ELSE 'line' END AS n1,
@@ -215,7 +226,7 @@ WITH o AS (
     CASE WHEN o_orderkey % 2 = 0 THEN 'SELECT line, qty, flag FROM t ORDER BY line'
          ELSE 'SELECT line, qty, flag FROM t' END AS reference_query
   FROM {{orders}} JOIN {{customer}} ON o_custkey = c_custkey JOIN {{nation}} ON c_nationkey = n_nationkey),
-sides AS (SELECT *, 'ref' AS side FROM o UNION ALL SELECT *, 'pred' AS side FROM o)
+sides AS (SELECT * FROM o{each('side', ["'ref'", "'pred'"])})
 SELECT instance_id, '{arm}' AS arm, side, db_name, split, num_nodes, reference_query,
   CASE WHEN side = 'ref' AND k % 37 = 0 THEN 'db: gone'
        WHEN side = 'pred' AND s % 29 = 0 THEN 'syntax: bad token'
@@ -237,11 +248,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def fixture(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """A fixture rule over the parquet tables of ``sf_dir``."""
     used = {t: read_table(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in sql}
+    sql = _EACH.sub(r" LATERAL VIEW explode(array(\2)) t_\1 AS \1", sql)
     return spark.sql(sql, **used)
 
 
 def oracle_text(sql: str) -> str:
-    """The same rule with plain table names."""
+    """The same rule with plain table names, for DuckDB."""
+    sql = _EACH.sub(r", unnest([\2]) AS t_\1(\1)", sql)
     for t in TABLES:
         sql = sql.replace("{" + t + "}", t)
     return sql

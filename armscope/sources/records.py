@@ -29,10 +29,15 @@ def good_records(records: DataFrame) -> DataFrame:
 
 
 def record_counts(records: DataFrame) -> DataFrame:
-    """One row: readable and rejected lines."""
+    """One row: readable and rejected lines.
+
+    All fields are touched, because a line is only judged by the fields read.
+    """
+    fields = [c for c in records.columns if c != CORRUPT]
     bad = F.col(CORRUPT).isNotNull()
+    whole = F.length(F.to_json(F.struct(*fields))) > 0
     return records.agg(
-        F.count(F.when(~bad, 1)).alias("n_good"), F.count(F.when(bad, 1)).alias("n_bad")
+        F.count(F.when(~bad & whole, 1)).alias("n_good"), F.count(F.when(bad, 1)).alias("n_bad")
     )
 
 
