@@ -63,7 +63,12 @@ def raw_key(c: Column) -> Column:
 
 def norm_key(c: Column) -> Column:
     """Strip, drop trailing semicolons, collapse blanks, lower case, in this order."""
-    return F.lower(F.regexp_replace(raw_key(c), f"{BLANK}+", " "))
+    return fold_key(raw_key(c))
+
+
+def fold_key(raw: Column) -> Column:
+    """A raw key with blanks collapsed and in lower case."""
+    return F.lower(F.regexp_replace(raw, f"{BLANK}+", " "))
 
 
 def strip_chars(c: Column, chars: str) -> Column:

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from armscope.functions.graphtext import FEATURES, hop_count
-from armscope.functions.multiset import ngram_count, ngrams, overlap_size, repeats
+from armscope.functions.multiset import ngram_count, ngrams, overlap_size, repeats, token_digests
 from armscope.functions.text import (
-    canon_sql, code_balanced, is_blank, norm_key, norm_ws, raw_key, text_or_empty, tokens_13a,
+    canon_sql, code_balanced, fold_key, is_blank, norm_ws, raw_key, text_or_empty, tokens_13a,
 )
 
 # Upper bounds of the reference-length buckets (half open).
@@ -52,8 +52,11 @@ def gleu_stats(pairs: DataFrame, pred_col: str, ref_col: str, max_n: int = 4) ->
     n_pred, n_ref = ngram_count(F.size("_tp"), max_n), ngram_count(F.size("_tr"), max_n)
     # Equal token lists, common among good predictions, need no n-grams at all.
     equal = F.col("_tp") == F.col("_tr")
-    grams = tokens.withColumn("_gp", F.when(~equal, ngrams(F.col("_tp"), max_n))).withColumn(
-        "_gr", F.when(~equal, ngrams(F.col("_tr"), max_n))
+    hashed = tokens.withColumn("_hp", F.when(~equal, token_digests(F.col("_tp")))).withColumn(
+        "_hr", F.when(~equal, token_digests(F.col("_tr")))
+    )
+    grams = hashed.withColumn("_gp", ngrams(F.col("_hp"), max_n)).withColumn(
+        "_gr", ngrams(F.col("_hr"), max_n)
     )
     again = grams.withColumn("_dp", repeats(F.col("_gp"))).withColumn("_dr", repeats(F.col("_gr")))
     # min(a, b) = 1 + min(a - 1, b - 1): the distinct part is a hash intersection,
@@ -64,7 +67,7 @@ def gleu_stats(pairs: DataFrame, pred_col: str, ref_col: str, max_n: int = 4) ->
     return (
         again.withColumn("gleu_match", match.cast("bigint"))
         .withColumn("gleu_all", F.greatest(n_pred, n_ref).cast("bigint"))
-        .drop("_tp", "_tr", "_gp", "_gr", "_dp", "_dr")
+        .drop("_tp", "_tr", "_gp", "_gr", "_hp", "_hr", "_dp", "_dr")
     )
 
 
@@ -81,19 +84,26 @@ def normalized_em_ladder(
     preds: DataFrame, keys: Sequence[str], group_col: str, pred_col: str, ref_col: str
 ) -> DataFrame:
     """raw, normalised and canonical EM and the share of readable references."""
-    flat = preds.select(
-        *keys,
-        F.coalesce(F.col(group_col), F.lit("all")).alias(group_col),
-        raw_key(F.col(pred_col)).alias("rp"), raw_key(F.col(ref_col)).alias("rr"),
-        norm_key(F.col(pred_col)).alias("np"), norm_key(F.col(ref_col)).alias("nr"),
-        canon_sql(F.col(pred_col)).alias("cp"), canon_sql(F.col(ref_col)).alias("cr"),
-        code_balanced(F.col(ref_col)).alias("ok"),
+    p, r = F.col(pred_col), F.col(ref_col)
+    raw = preds.select(
+        *keys, F.coalesce(F.col(group_col), F.lit("all")).alias(group_col),
+        p.alias("p"), r.alias("r"), raw_key(p).alias("rp"), raw_key(r).alias("rr"),
+    )
+    # Equal raw keys settle the later levels; only the rest is normalised.
+    same = F.col("rp") == F.col("rr")
+    canon = F.coalesce(canon_sql(F.col("p")) == canon_sql(F.col("r")), F.lit(False))
+    flat = raw.select(
+        *keys, group_col,
+        same.alias("raw_hit"),
+        F.when(same, True).otherwise(fold_key(F.col("rp")) == fold_key(F.col("rr"))).alias("norm_hit"),
+        F.when(same, ~is_blank(F.col("p"))).otherwise(canon).alias("canon_hit"),
+        code_balanced(F.col("r")).alias("ok"),
     )
     return flat.groupingSets([[*keys], [*keys, group_col]], *keys, group_col).agg(
         F.count("*").alias("n"),
-        rate(F.col("rp") == F.col("rr")).alias("raw_em"),
-        rate(F.col("np") == F.col("nr")).alias("norm_em"),
-        rate(F.coalesce(F.col("cp") == F.col("cr"), F.lit(False))).alias("canon_em"),
+        rate(F.col("raw_hit")).alias("raw_em"),
+        rate(F.col("norm_hit")).alias("norm_em"),
+        rate(F.col("canon_hit")).alias("canon_em"),
         rate(F.col("ok")).alias("ref_parse_rate"),
     )
 

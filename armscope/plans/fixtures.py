@@ -242,7 +242,18 @@ def both_arms(make) -> str:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for a table that is a single small split.
+
+    The work here is per row and heavy on the processor, so one split would
+    keep one core busy.  A table with enough splits is left as it is: at scale
+    this adds no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def fixture(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
