@@ -46,8 +46,9 @@ def gleu_stats(pairs: DataFrame, pred_col: str, ref_col: str, max_n: int = 4) ->
 
     All work is inside the row: no n-gram is exploded or shuffled.
     """
-    tokens = pairs.withColumn("_tp", tokens_13a(F.col(pred_col))).withColumn(
-        "_tr", tokens_13a(F.col(ref_col))
+    pred, ref = F.col(pred_col), F.col(ref_col)
+    tokens = pairs.withColumn("_tr", tokens_13a(ref)).withColumn(
+        "_tp", F.when(pred == ref, F.col("_tr")).otherwise(tokens_13a(pred))
     )
     n_pred, n_ref = ngram_count(F.size("_tp"), max_n), ngram_count(F.size("_tr"), max_n)
     # Equal token lists, common among good predictions, need no n-grams at all.
