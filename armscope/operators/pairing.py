@@ -15,14 +15,23 @@ CANDIDATES_PER_PART = 1024
 
 
 def pair_arms(
-    direct: DataFrame, cot: DataFrame, key: str, values: Sequence[str], strict: bool = False
+    direct: DataFrame,
+    cot: DataFrame,
+    key: str,
+    values: Sequence[str],
+    strict: bool = False,
+    shared: Sequence[str] = (),
 ) -> DataFrame:
-    """One row per id with ``direct_<v>`` and ``cot_<v>``.
+    """One row per id with ``direct_<v>`` and ``cot_<v>``, and the ``shared`` columns.
 
+    Shared columns (schema, question, reference) are equal in both arms, so
+    they travel through the shuffle on the direct side only.
     ``strict`` fails the job at the first id that only one arm has; otherwise
     only common ids are kept.  Ids are unique in each arm (see latest_per_id).
     """
-    d = direct.select(key, *[F.col(v).alias(f"direct_{v}") for v in values], F.lit(1).alias("_d"))
+    d = direct.select(
+        key, *shared, *[F.col(v).alias(f"direct_{v}") for v in values], F.lit(1).alias("_d")
+    )
     c = cot.select(key, *[F.col(v).alias(f"cot_{v}") for v in values], F.lit(1).alias("_c"))
     if not strict:
         return d.join(c, key).drop("_d", "_c")

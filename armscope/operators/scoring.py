@@ -17,6 +17,9 @@ from armscope.functions.text import (
 LENGTH_BUCKETS = [(50, "0-50"), (100, "50-100"), (200, "100-200"), (500, "200-500")]
 LAST_BUCKET = "500+"
 
+#: Repeats of an n-gram that are compared by hash before the rest is walked.
+PEELED_LEVELS = 3
+
 
 def rate(flag: Column) -> Column:
     """Mean of a boolean as a double."""
@@ -53,22 +56,25 @@ def gleu_stats(pairs: DataFrame, pred_col: str, ref_col: str, max_n: int = 4) ->
     n_pred, n_ref = ngram_count(F.size("_tp"), max_n), ngram_count(F.size("_tr"), max_n)
     # Equal token lists, common among good predictions, need no n-grams at all.
     equal = F.col("_tp") == F.col("_tr")
-    hashed = tokens.withColumn("_hp", F.when(~equal, token_digests(F.col("_tp")))).withColumn(
+    step = tokens.withColumn("_hp", F.when(~equal, token_digests(F.col("_tp")))).withColumn(
         "_hr", F.when(~equal, token_digests(F.col("_tr")))
     )
-    grams = hashed.withColumn("_gp", ngrams(F.col("_hp"), max_n)).withColumn(
-        "_gr", ngrams(F.col("_hr"), max_n)
+    step = step.withColumn("_p0", ngrams(F.col("_hp"), max_n)).withColumn(
+        "_r0", ngrams(F.col("_hr"), max_n)
     )
-    again = grams.withColumn("_dp", repeats(F.col("_gp"))).withColumn("_dr", repeats(F.col("_gr")))
     # min(a, b) = 1 + min(a - 1, b - 1): the distinct part is a hash intersection,
-    # and only the repeats, a small part of a text, are walked.
-    match = F.when(equal, n_ref).otherwise(
-        F.size(F.array_intersect("_gp", "_gr")) + overlap_size(F.col("_dp"), F.col("_dr"))
-    )
+    # the repeats are peeled the same way, and only what is left is walked.
+    shared = F.lit(0)
+    for level in range(PEELED_LEVELS):
+        p, r = F.col(f"_p{level}"), F.col(f"_r{level}")
+        shared = shared + F.size(F.array_intersect(p, r))
+        step = step.withColumn(f"_p{level + 1}", repeats(p)).withColumn(f"_r{level + 1}", repeats(r))
+    shared = shared + overlap_size(F.col(f"_p{PEELED_LEVELS}"), F.col(f"_r{PEELED_LEVELS}"))
+    levels = [f"_{side}{n}" for side in "pr" for n in range(PEELED_LEVELS + 1)]
     return (
-        again.withColumn("gleu_match", match.cast("bigint"))
+        step.withColumn("gleu_match", F.when(equal, n_ref).otherwise(shared).cast("bigint"))
         .withColumn("gleu_all", F.greatest(n_pred, n_ref).cast("bigint"))
-        .drop("_tp", "_tr", "_gp", "_gr", "_hp", "_hr", "_dp", "_dr")
+        .drop("_tp", "_tr", "_hp", "_hr", *levels)
     )
 
 

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from armscope.functions import graphtext as g
-from armscope.functions.keys import text_key
 from armscope.functions.multiset import overlap_size
 from armscope.functions.text import norm_ws_query
 from armscope.operators.pairing import common_instances
@@ -21,15 +20,14 @@ AMBIGUITY_CAP = 4
 def schema_relations(rows: DataFrame, schema_col: str, pattern: str = g.SCHEMA_ARROW) -> DataFrame:
     """Relations of every different schema text: (schema_key, label_a, rel, label_b).
 
-    Rows share schemas, so texts are reduced to one per digest first; the
-    digest is what the shuffle groups by.
+    Texts are read where they lie and never shuffled: rows that share a schema
+    give the same short tuples, which collapse map-side.
     """
-    distinct = rows.groupBy(text_key(F.col(schema_col)).alias("_k")).agg(
-        F.first(schema_col).alias("_s")
-    )
-    return distinct.select(
-        F.lower(F.hex("_k")).alias("schema_key"), F.inline(F.array_distinct(g.declared(F.col("_s"), pattern)))
+    tuples = rows.select(
+        F.sha2(F.col(schema_col), 256).alias("schema_key"),
+        F.inline(F.array_distinct(g.declared(F.col(schema_col), pattern))),
     )
+    return tuples.distinct()
 
 
 def one_hop_rows(

@@ -16,6 +16,9 @@ TABLES = (
     "pages benchmark labels conversations"
 ).split()
 
+#: Tables of a few rows at every scale.
+DIMENSIONS = ("region", "nation")
+
 Q = "chr(39)"
 NL = "chr(10)"
 
@@ -242,7 +245,8 @@ def both_arms(make) -> str:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return df if name in DIMENSIONS else spread(df)
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -172,13 +172,9 @@ def paired_em(spark, sf):
     preds = fx.predictions(spark, sf).withColumn(
         "em", norm_ws(F.col("predicted_cypher")) == norm_ws(F.col("reference_cypher"))
     )
-    pairs = pair_arms(
-        fx.arm(preds, "direct"), fx.arm(preds, "cot"), "instance_id", ["em", "question", "data_source"],
-        strict=True,
-    )
-    return pairs.select(
-        "instance_id", F.col("direct_question").alias("question"),
-        F.col("direct_data_source").alias("data_source"), "direct_em", "cot_em",
+    return pair_arms(
+        fx.arm(preds, "direct"), fx.arm(preds, "cot"), "instance_id", ["em"],
+        strict=True, shared=["question", "data_source"],
     )
 
 

@@ -37,12 +37,8 @@ def schema_relations(spark, sf):
 
 def paired_queries(spark, sf):
     preds = fx.predictions(spark, sf).withColumn("pred", F.col(PRED))
-    pairs = pair_arms(
-        fx.arm(preds, "direct"), fx.arm(preds, "cot"), "instance_id", ["pred", REF, "schema_text"]
-    )
-    return pairs.select(
-        "instance_id", F.col(f"direct_{REF}").alias(REF), F.col("direct_schema_text").alias("schema_text"),
-        "direct_pred", "cot_pred",
+    return pair_arms(
+        fx.arm(preds, "direct"), fx.arm(preds, "cot"), "instance_id", ["pred"], shared=[REF, "schema_text"]
     )
 
 
