@@ -50,7 +50,7 @@ def test_ratio_methods_agree_with_numpy(spark):
     lo, hi = np.percentile(s[:, 2] / s[:, 3] - s[:, 0] / s[:, 1], [2.5, 97.5])
     t = x.sum(axis=0)
     by_index = stats.bootstrap_ratio(df, "id", replicates=1500).first()
-    by_shard = stats.bootstrap_shards(df, replicates=3000, shard_digits=1).first()
+    by_shard = stats.bootstrap_shards(df, replicates=3000, rows_per_shard=50).first()
     for row in (by_index, by_shard):
         assert abs(row["delta"] - (t[2] / t[3] - t[0] / t[1])) < 1e-12 and row["n"] == 400
         assert abs(row["lo"] - lo) < 0.004 and abs(row["hi"] - hi) < 0.004
@@ -60,7 +60,7 @@ def test_shards_with_one_hot_statistic(spark):
     """A third of the pairs share one tuple: it is a single weighted row."""
     _, df = ratio_pairs(spark, 200)
     hot = spark.range(100).select(F.concat(F.lit("h"), "id").alias("id"), *[F.lit(v).cast("long").alias(n) for n, v in (("m_d", 5), ("a_d", 20), ("m_c", 4), ("a_c", 20))])
-    row = stats.bootstrap_shards(df.unionByName(hot), replicates=500, shard_digits=1).first()
+    row = stats.bootstrap_shards(df.unionByName(hot), replicates=500, rows_per_shard=50).first()
     assert row["n"] == 300 and row["lo"] < row["delta"] < row["hi"]
 
 
