@@ -28,30 +28,33 @@ def bucket_of(key: Column) -> Column:
     return F.substring(F.md5(key.cast("string")), 1, BUCKET_DIGITS)
 
 
-def running_total(df: DataFrame, key: str, amount: Column, out: str) -> DataFrame:
-    """Sum of ``amount`` over all earlier rows in (bucket, key) order.
-
-    Two passes instead of one global window: bucket totals first (at most
-    16**3 rows, so their window is small by construction), then a window
-    inside each bucket.  ``key`` must be unique.
+def running_total(df: DataFrame, key: str, amount: str, out: str) -> DataFrame:
+    """Sum of the column ``amount`` over all earlier rows in (bucket, key) order.
+
+    No global window: rows are summed inside even buckets, and the bucket
+    totals (at most 16**3 rows, so their window is small by construction) give
+    each bucket its offset.  Totals come from the same windowed rows, so on a
+    narrow table both branches read one shuffle.  ``key`` must be unique and
+    ``amount`` not negative.
     """
-    tagged = df.withColumn("_b", bucket_of(F.col(key))).withColumn("_amt", amount.cast("bigint"))
-    totals = tagged.groupBy("_b").agg(F.sum("_amt").alias("_t"))
+    inside = (
+        Window.partitionBy("_b").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    )
+    placed = df.withColumn("_b", bucket_of(F.col(key))).withColumn(
+        "_run", F.coalesce(F.sum(amount).over(inside), F.lit(0))
+    )
+    totals = placed.groupBy("_b").agg(F.max(F.col("_run") + F.col(amount)).alias("_t"))
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         "_b", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_off")
     )
-    inside = (
-        Window.partitionBy("_b").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    )
     return (
-        tagged.withColumn("_run", F.coalesce(F.sum("_amt").over(inside), F.lit(0)))
-        .join(offsets, "_b")
+        placed.join(offsets, "_b")
         .withColumn(out, F.col("_off") + F.col("_run"))
-        .drop("_b", "_amt", "_off", "_run")
+        .drop("_b", "_off", "_run")
     )
 
 
 def dense_index(df: DataFrame, key: str, out: str) -> DataFrame:
     """0-based position of every row in (bucket, key) order."""
-    return running_total(df, key, F.lit(1), out)
+    return running_total(df.withColumn("_one", F.lit(1).cast("bigint")), key, "_one", out).drop("_one")

@@ -205,7 +205,7 @@ def pack_blocks(
     borders are those of one sequential pass in that order.
     """
     sized = rows.select(id_col, n_tokens.cast("bigint").alias("_n")).filter(F.col("_n") > 0)
-    placed = running_total(sized, id_col, F.col("_n"), "_from")
+    placed = running_total(sized, id_col, "_n", "_from")
     width = F.lit(block).cast("bigint")
     first = F.floor(F.col("_from") / width)
     last = F.floor((F.col("_from") + F.col("_n") - 1) / width)

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "armscope", master: str | None = None, **conf: str) -> SparkSession:
@@ -47,3 +47,14 @@ def work_dir(spark: SparkSession, label: str) -> str:
     return os.path.join(root, f"{label}-{uuid.uuid4().hex}") if "://" not in root else (
         f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
     )
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """The table written once under ``work_dir`` and read back.
+
+    For a narrow result of heavy work that several branches of one job read.
+    It survives lost executors, unlike cached blocks.
+    """
+    path = work_dir(df.sparkSession, label)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

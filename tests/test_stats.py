@@ -68,7 +68,7 @@ def test_dense_index_and_running_total(spark):
     df = spark.range(5000).select(F.col("id").cast("string").alias("k"), (F.col("id") % 7).alias("v"))
     idx = sorted(r["i"] for r in dense_index(df, "k", "i").collect())
     assert idx == list(range(5000))
-    rows = running_total(df, "k", F.col("v"), "before").orderBy("before").collect()
+    rows = running_total(df, "k", "v", "before").orderBy("before").collect()
     total = 0
     for r in sorted(rows, key=lambda r: (r["before"], r["v"])):
         assert r["before"] == total
