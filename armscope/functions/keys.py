@@ -33,8 +33,8 @@ def running_total(df: DataFrame, key: str, amount: str, out: str) -> DataFrame:
 
     No global window: rows are summed inside even buckets, and the bucket
     totals (at most 16**3 rows, so their window is small by construction) give
-    each bucket its offset.  Totals come from the same windowed rows, so on a
-    narrow table both branches read one shuffle.  ``key`` must be unique and
+    each bucket its offset.  The input is read by both branches: pass a narrow
+    table, written first when it is costly.  ``key`` must be unique and
     ``amount`` not negative.
     """
     inside = (
