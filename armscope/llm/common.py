@@ -48,6 +48,26 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Rounds:
+    """The table of an iteration: every round is written anew, and the round before the last is deleted.
+
+    Written files give the planner true sizes; a checkpointed frame would keep
+    the estimate of its plan, which joins multiply from round to round.
+    """
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.root, self.paths = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}", []
+
+    def put(self, df: DataFrame) -> DataFrame:
+        path = f"{self.root}/{len(self.paths)}"
+        df.write.parquet(path)
+        self.paths.append(path)
+        if len(self.paths) > 2:
+            old = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths[-3])
+            old.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(old, True)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
 def words_of(text: Column) -> Column:
     """The words of a text: runs of characters other than ASCII white space."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), BLANKS + "+"), lambda w: w != "")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from armscope.llm.common import Rounds
+
 #: Rounds after which a graph that has not settled is an error; they grow with log^2 of its size.
 MAX_ROUNDS = 60
 
@@ -35,7 +37,7 @@ def components(links: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     directions may occur, rows with a null are ignored.  Nodes without a link to
     another node do not occur in the result.  All steps are aggregates and joins
     on a node, so a node with very many links is combined on the map side and
-    split by the skew join.  Every round is written by checkpoint(); only its
+    split by the skew join.  Every round is written to the shared folder; only its
     row count and a checksum come to the driver.
     """
     a, b = links.columns[:2]
@@ -44,11 +46,12 @@ def components(links: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
         .filter(F.col(a).isNotNull() & F.col(b).isNotNull() & F.col("u").isNotNull())
         .filter("u <> v")
         .distinct()
-        .checkpoint()
     )
+    rounds = Rounds(links.sparkSession, "links")
+    links = rounds.put(links)
     before = None
     for _ in range(max_rounds):
-        links = _star(_star(links, large=True), large=False).checkpoint()
+        links = rounds.put(_star(_star(links, large=True), large=False))
         now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == before:
             return links.select(F.col("u").alias("node"), F.col("v").alias("component")).union(

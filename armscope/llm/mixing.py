@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from armscope.llm.common import free_prefix, words_of
+from armscope.llm.common import Rounds, free_prefix, stored, words_of
 
 #: Rounds over all margins, and the seed of the draw.
 SWEEPS, SEED = 12, 42
@@ -56,16 +56,17 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS)
 
     targets: for every key column a table (key, target).  Every step is a sum per
     value, combined on the map side, joined back to the cells; a sweep is
-    written by checkpoint().  ``rate`` is w per token over its largest value, so
+    written to the shared folder.  ``rate`` is w per token over its largest value, so
     it is at most 1 and the drawn tokens keep the raked mixture.  Cells without
     tokens have rate 1.  Only two sums come to the driver.
     """
     total = float(cells.agg(F.sum("tokens")).first()[0] or 0) or 1.0
+    rounds = Rounds(cells.sparkSession, "cells")
     now = cells.withColumn("w", F.col("tokens") / F.lit(total))
     for _ in range(sweeps):
         for by, target in targets.items():
             now = _scaled(now, by, target)
-        now = now.checkpoint()
+        now = rounds.put(now)
     per_token = F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens"))
     top = now.agg(F.max(per_token)).first()[0] or 1.0
     return now.withColumn("rate", F.coalesce(per_token / F.lit(top), F.lit(1.0)))
@@ -102,8 +103,9 @@ def mixed(
         "source": F.coalesce(F.col(source), F.lit("unknown")), "lang": F.coalesce(F.col(lang), F.lit("unknown")),
         "topic": F.col("topic"),
     }
-    cells = base.groupBy(*[c.alias(n) for n, c in keys.items()]).agg(F.sum("tokens").alias("tokens")).checkpoint()
-    goals = {by: tempered(cells, by, temper).checkpoint() for by in keys if by not in (targets or {})} | (targets or {})
+    cells = base.groupBy(*[c.alias(n) for n, c in keys.items()]).agg(F.sum("tokens").alias("tokens"))
+    cells = stored(cells, "cells")
+    goals = {by: stored(tempered(cells, by, temper), "goals") for by in keys if by not in (targets or {})} | (targets or {})
     rates = rake(cells, goals, sweeps).select(*[F.col(n).alias(f"{x}{n}") for n in keys], F.col("rate").alias(f"{x}rate"))
     marked = base.withColumns({f"{x}{n}": c for n, c in keys.items()}).join(rates, [f"{x}{n}" for n in keys], "left")
     return (

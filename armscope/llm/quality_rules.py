@@ -22,9 +22,17 @@ WINDOW = 5
 SYMBOLS = "#*$%&|<>"
 FEATURES = [
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_caps", "n_bars", "n_runs",
-    "n_stops", "n_loud",
+    "n_stops", "n_loud", "n_odd", "n_common",
 ]
 
+#: Frequent function words of the corpus languages; running text is full of them.
+COMMON = (
+    "the of and to a in is it that for be this with on as was by are "
+    "de la le les des du et en un une que qui est pour dans sur "
+    "der die das den und zu von ist mit im für auf ein eine sich "
+    "el los las y del se por con para al"
+).split()
+
 
 def with_features(docs: DataFrame, text: str = "text", out: str = "_f") -> DataFrame:
     """``docs`` plus one struct column ``out`` of bigint counts; null texts count as empty.
@@ -34,7 +42,8 @@ def with_features(docs: DataFrame, text: str = "text", out: str = "_f") -> DataF
     n_repeat_words (words inside 5-word windows that occur twice or more in the
     text, the first included); n_caps (words of capitals); n_bars (words that
     are one bar); n_runs (words equal to the word before); n_stops (words that
-    end a sentence); n_loud (words that end in "!!").
+    end a sentence); n_loud (words that end in "!!"); n_odd (words with a symbol or an
+    exclamation mark); n_common (frequent function words).
 
     Windows are held as 64-bit digests inside their own row.  Each step is a
     column of its own, so no lambda computes an array again for every item.
@@ -64,6 +73,8 @@ def with_features(docs: DataFrame, text: str = "text", out: str = "_f") -> DataF
         F.size(F.filter(w, lambda s: s == "|")).alias(f"{x}n_bars"),
         F.size(F.filter(w, lambda s: F.endswith(s, F.lit(".")) | F.endswith(s, F.lit("!")) | F.endswith(s, F.lit("?")))).alias(f"{x}n_stops"),
         F.size(F.filter(w, lambda s: F.endswith(s, F.lit("!!")))).alias(f"{x}n_loud"),
+        F.size(F.filter(w, lambda s: F.length(F.translate(s, SYMBOLS + "!", "")) < F.length(s))).alias(f"{x}n_odd"),
+        F.size(F.filter(w, lambda s: F.lower(s).isin(COMMON))).alias(f"{x}n_common"),
     )
     h, none = F.col(f"{x}h"), F.array().cast("array<int>")
     known = [f"{x}{n}" for n in FEATURES if n not in ("n_words", "n_runs", "n_repeat_words")]
@@ -112,22 +123,28 @@ def _share(feature: str, f: Column) -> Column:
     return f[feature] / F.greatest(f["n_words"], F.lit(1))
 
 
-def _rule(name: str, feature: str, bad: float, good: float) -> Rule:
-    """Bad above one share of the words; good up to another, in a text of 50 words or more."""
-    return Rule(
-        name, lambda f: _share(feature, f) > bad, lambda f: (_share(feature, f) <= good) & (f["n_words"] >= 50)
-    )
+def _low(name: str, feature: str, good: float, bad: float, per: str = "n_words") -> Rule:
+    """Good up to one share, bad above another, nothing between."""
+
+    def share(f: Column) -> Column:
+        return f[feature] / F.greatest(f[per], F.lit(1))
 
+    return Rule(name, lambda f: share(f) > bad, lambda f: share(f) <= good)
 
+
+#: Several rules look at the same fault from different sides: EM learns from what they agree on.
 RULES = (
+    _low("symbols", "n_symbols", 0.02, 0.08, "word_chars"),
+    _low("odd_words", "n_odd", 0.05, 0.2),
     Rule(
-        "symbols", lambda f: f["n_symbols"] > 0.1 * f["word_chars"],
-        lambda f: (f["n_symbols"] <= 0.001 * f["word_chars"]) & (f["n_words"] >= 50),
-    ),
-    Rule(
-        "lines", lambda f: f["n_dup_lines"] > 0.3 * f["n_lines"],
-        lambda f: (f["n_dup_lines"] == 0) & (f["n_lines"] >= 4),
+        "common_words", lambda f: _share("n_common", f) < 0.02, lambda f: _share("n_common", f) >= 0.06,
     ),
+    _low("lines", "n_dup_lines", 0.0, 0.3, "n_lines"),
+    _low("repeats", "n_repeat_words", 0.02, 0.2),
+    _low("runs", "n_runs", 0.05, 0.2),
+    _low("capitals", "n_caps", 0.05, 0.3),
+    _low("loud", "n_loud", 0.02, 0.2),
+    _low("bars", "n_bars", 0.01, 0.1),
     Rule(
         "sentences", lambda f: (_share("n_stops", f) < 0.005) & (f["n_words"] >= 100),
         lambda f: _share("n_stops", f).between(0.02, 0.3),
@@ -136,79 +153,72 @@ RULES = (
         "word_length", lambda f: ~(f["word_chars"] / F.greatest(f["n_words"], F.lit(1))).between(2.0, 15.0),
         lambda f: (f["word_chars"] / F.greatest(f["n_words"], F.lit(1))).between(3.0, 10.0),
     ),
-    _rule("repeats", "n_repeat_words", 0.2, 0.0),
-    _rule("capitals", "n_caps", 0.3, 0.02),
-    _rule("bars", "n_bars", 0.1, 0.0),
-    _rule("runs", "n_runs", 0.2, 0.02),
-    _rule("loud", "n_loud", 0.3, 0.0),
 )
 
-#: A vote is 1 (good), 0 (bad) or 2 (none).
-GOOD, BAD, NONE = 1, 0, 2
+#: Votes; they index the shares of a LabelModel.
+BAD, GOOD, NONE = 0, 1, 2
 
 
-def votes(features: Column, rules: tuple[Rule, ...] = RULES) -> list[Column]:
-    """One int column per rule, named v_<rule>, from a struct of features."""
-    return [
-        F.when(r.bad(features), BAD).when(r.good(features), GOOD).otherwise(NONE).alias(f"v_{r.name}") for r in rules
-    ]
+def votes(features: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """One vote per rule, as an array, from a struct of features."""
+    return F.array(*[F.when(r.bad(features), BAD).when(r.good(features), GOOD).otherwise(NONE) for r in rules])
 
 
 @dataclass
 class LabelModel:
-    """Share of good texts, and per rule how often it says bad, good, nothing of bad and of good texts."""
+    """Share of good texts, and how often each rule that votes says bad of bad and of good texts."""
 
     prior: float = 0.85
-    said: dict[str, list[list[float]]] = field(default_factory=dict)
+    says_bad: dict[str, tuple[float, float]] = field(default_factory=dict)
 
     def log_odds(self, rule: str, vote: int) -> float:
-        bad, good = self.said[rule]
-        return math.log(good[vote]) - math.log(bad[vote])
-
-    def score(self, rules: tuple[Rule, ...] = RULES) -> Column:
-        """Posterior probability of a good text, from the vote columns."""
-        total = F.lit(math.log(self.prior) - math.log1p(-self.prior))
-        for r in rules:
-            v = F.col(f"v_{r.name}")
-            total = total + F.when(v == GOOD, self.log_odds(r.name, GOOD)).when(
-                v == BAD, self.log_odds(r.name, BAD)
-            ).otherwise(self.log_odds(r.name, NONE))
-        return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
-
-
-#: What EM starts from: a rule calls one bad text in five bad, hardly any good one.
-START_BAD, START_GOOD = [0.2, 0.3, 0.5], [0.002, 0.498, 0.5]
-#: Imagined texts that the start weighs in every step; keeps rules on empty and tiny tables near the start.
-WEIGHT = 20.0
+        """What a vote adds to the log odds of a good text; no vote adds nothing."""
+        bad, good = self.says_bad[rule]
+        return math.log(good / bad) if vote == BAD else math.log((1 - good) / (1 - bad)) if vote == GOOD else 0.0
+
+    def score(self, said: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+        """Posterior probability of a good text, from its votes."""
+        table = F.array(*[F.lit(self.log_odds(r.name, v)) for r in rules for v in (BAD, GOOD, NONE)])
+        start = F.lit(math.log(self.prior / (1 - self.prior)))
+        odds = F.transform(said, lambda v, k: F.get(table, v + 3 * k))
+        return F.lit(1.0) / (F.lit(1.0) + F.exp(-(start + F.aggregate(odds, F.lit(0.0), lambda a, x: a + x))))
+
+
+#: What EM starts from: a rule says bad of half of the bad texts and of hardly any good one.
+START_BAD, START_GOOD, START_PRIOR = 0.5, 0.01, 0.85
+#: Imagined texts of either class that the start weighs in every step; keeps tiny tables near the start.
+WEIGHT = 10.0
 STEPS = 25
 
 
 def fit(patterns: DataFrame, rules: tuple[Rule, ...] = RULES, steps: int = STEPS, weight: float = WEIGHT) -> LabelModel:
-    """EM over a table of vote patterns: one column per rule and their count ``n``.
+    """EM over a table of vote patterns: the array ``votes`` and its count ``n``.
 
     There are at most 3**rules patterns whatever the corpus, and every step is one
-    aggregate of them, whose sums are all that the driver sees.  With no rows the
-    model stays as it starts.
+    aggregate of them to a row per rule and vote.  With no rows the model stays
+    as it starts.  Ends early once no share moves by 1e-7.
     """
-    model = LabelModel(said={r.name: [list(START_BAD), list(START_GOOD)] for r in rules})
-    start = {r.name: (START_BAD, START_GOOD) for r in rules}
+    model = LabelModel(START_PRIOR, {r.name: (START_BAD, START_GOOD) for r in rules})
     for _ in range(steps):
-        p = model.score(rules)
-        scored = patterns.withColumn("_good", F.col("n") * p).withColumn("_bad", F.col("n") - F.col("_good"))
-        sums = [F.sum("_good"), F.sum("_bad")]
-        for r in rules:
-            for v in (BAD, GOOD, NONE):
-                at = F.col(f"v_{r.name}") == v
-                sums += [F.sum(F.when(at, F.col("_bad"))), F.sum(F.when(at, F.col("_good")))]
-        row = [x or 0.0 for x in scored.agg(*[s.alias(f"s{i}") for i, s in enumerate(sums)]).first()]
-        good, bad, rest = row[0], row[1], row[2:]
-        model.prior = (good + 0.85 * weight) / (good + bad + weight)
+        good = F.col("n") * model.score(F.col("votes"), rules)
+        rows = (
+            patterns.select(good.alias("good"), (F.col("n") - good).alias("bad"), F.posexplode("votes").alias("rule", "vote"))
+            .groupBy("rule", "vote").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).collect()
+        )
+        sums = {(r["rule"], r["vote"]): (r["bad"], r["good"]) for r in rows}
+        none = (0.0, 0.0)
+        bad, good = (math.fsum(sums.get((0, v), none)[side] for v in (BAD, GOOD, NONE)) for side in (0, 1))
+        says_bad = {}
         for k, r in enumerate(rules):
-            mine = rest[6 * k : 6 * k + 6]
-            model.said[r.name] = [
-                [(mine[2 * v + side] + weight * start[r.name][side][v]) / ((bad, good)[side] + weight) for v in range(3)]
-                for side in (0, 1)
-            ]
+            yes, no = sums.get((k, BAD), none), sums.get((k, GOOD), none)
+            says_bad[r.name] = tuple(
+                (yes[side] + weight * start) / (yes[side] + no[side] + weight)
+                for side, start in enumerate((START_BAD, START_GOOD))
+            )
+        moved = max(abs(a - b) for r in rules for a, b in zip(says_bad[r.name], model.says_bad[r.name]))
+        model = LabelModel((good + START_PRIOR * weight) / (good + bad + weight), says_bad)
+        if moved < 1e-6:
+            break
     return model
 
 
@@ -219,7 +229,7 @@ def base_failed(f: Column) -> Column:
 def judged(
     docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, threshold: float = 0.5, narrow: list[str] | None = None,
 ) -> DataFrame:
-    """``docs`` (or its columns ``narrow``) plus _f, base_failed, posterior and kept.
+    """``docs`` (or its columns ``narrow``) plus _f, votes, base_failed, posterior and kept.
 
     A row is kept if it is not base_failed and its posterior reaches
     ``threshold``.  Null, empty and blank texts have no words and are
@@ -228,18 +238,16 @@ def judged(
     without it the texts are read twice, once to fit and once to judge.
     Columns of ``docs`` with one of the added names are replaced.
     """
-    added = {"_f", "base_failed", "posterior", "kept", *(f"v_{r.name}" for r in rules)}
+    added = {"_f", "votes", "base_failed", "posterior", "kept"}
     base = docs.select(*[c for c in docs.columns if c.lower() not in added])
     counted = with_features(base, text)
     if narrow is not None:
         counted = stored(counted.select(*narrow, "_f"), "features")
-    voted = counted.select("*", *votes(F.col("_f"), rules))
-    names = [f"v_{r.name}" for r in rules]
-    patterns = voted.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).checkpoint()
+    voted = counted.withColumn("votes", votes(F.col("_f"), rules))
+    patterns = stored(voted.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).coalesce(1), "patterns")
     model = fit(patterns, rules)
     return (
-        voted.withColumn("posterior", model.score(rules))
+        voted.withColumn("posterior", model.score(F.col("votes"), rules))
         .withColumn("base_failed", base_failed(F.col("_f")))
         .withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
-        .drop(*names)
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from armscope.llm import (
     chat_format, compression, html_text, line_dedup, merkle, mixing, pieces, quality_rules, simhash, token_counts,
 )
-from armscope.llm.common import shared_dir, table
+from armscope.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -213,7 +213,6 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op10_weak_quality_rules")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base rule and posterior verdict of every document."""
-    shared_dir(spark)
     judged = quality_rules.judged(table(spark, sf_dir, "documents"), narrow=["doc_id"])
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return judged.select(

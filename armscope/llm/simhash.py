@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from armscope.llm.common import free_name, shared_dir, stored
+from armscope.llm.common import free_name, stored
 from armscope.llm.components import components
 
 #: Words of a shingle, differing bits of a link, seed of the shingle hash.
@@ -234,13 +234,12 @@ def near_duplicates(
     null doc_id keeps its row, and is a component's id only where no other id is
     in it.  Other columns are ignored.
     """
-    shared_dir(docs.sparkSession)
     prints = stored(
         docs.select(F.col(doc_id).alias("id"), fingerprint(F.col(text), shingle, seed).alias("print")), "prints"
     )
     points = prints.groupBy("print").agg(F.min("id").alias("first"))
     links = print_links(points.select("print"), radius, width, block)
-    groups = components(links).checkpoint()
+    groups = components(links)
     named = (
         points.join(groups.withColumnRenamed("node", "print"), "print")
         .groupBy("component").agg(F.min("first").alias("component_id"))
