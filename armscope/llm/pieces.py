@@ -33,6 +33,10 @@ SPACE = "▁"
 N_BEST = 3
 #: Code points of the texts that one step handles together.
 GROUP = 2_000_000
+#: Scores are held as whole numbers, so ways of equal score tie exactly: this many to 1.
+SCALE = 1 << 20
+#: Score of a place that nothing leads to.
+NOWHERE = -(1 << 60)
 #: A character without a piece scores this much less than the rarest piece.
 UNKNOWN_LOSS = 10.0
 #: Words longer than this, and those with an unknown character, are solved one by one.
@@ -61,8 +65,8 @@ class PieceModel:
             score = {i: -float(np.log(min(max(-s, 0) + 1, last + 1))) - norm for i, s in raw.items()}
         else:
             score = raw
-        self.ids = {self.pieces[i]: (i, score[i]) for i in plain}
-        self.unknown = min(score.values()) - UNKNOWN_LOSS
+        self.ids = {self.pieces[i]: (i, round(score[i] * SCALE)) for i in plain}
+        self.unknown = round((min(score.values()) - UNKNOWN_LOSS) * SCALE)
         self.bytes = {int(self.pieces[i][3:5], 16): i for i in range(n) if model.is_byte(i)}
         self.unk_id = model.unk_id()
         self.prefix = bool(model.encode("a", out_type=str)[0].startswith(SPACE))
@@ -93,7 +97,7 @@ class PieceModel:
                 at = (at + 1) & (len(self.slot_key) - 1)
             self.slot_key[at], self.slot_node[at] = key, node
         self.node_id = np.full(len(nodes), -1, dtype=np.int64)
-        self.node_score = np.full(len(nodes), -np.inf)
+        self.node_score = np.full(len(nodes), NOWHERE, dtype=np.int64)
         for piece, (i, s) in self.ids.items():
             self.node_id[nodes[piece]], self.node_score[nodes[piece]] = i, s
 
@@ -129,12 +133,12 @@ class PieceModel:
 
     # --- one word ------------------------------------------------------------------
 
-    def lattice(self, word: str) -> tuple[list[list[tuple[int, float, int]]], list[float]]:
+    def lattice(self, word: str) -> tuple[list[list[tuple[int, int, int]]], list[int]]:
         """Edges (start, score, id or -1) into every place, and the forward Viterbi scores."""
         n = len(word)
-        into: list[list[tuple[int, float, int]]] = [[] for _ in range(n + 1)]
-        ahead = [-np.inf] * (n + 1)
-        ahead[0] = 0.0
+        into: list[list[tuple[int, int, int]]] = [[] for _ in range(n + 1)]
+        ahead = [NOWHERE] * (n + 1)
+        ahead[0] = 0
         for i in range(n):
             known = False
             for j in range(i + 1, min(n, i + self.longest) + 1):
@@ -148,14 +152,18 @@ class PieceModel:
                 ahead[i + 1] = max(ahead[i + 1], ahead[i] + self.unknown)
         return into, ahead
 
-    def n_best(self, word: str, n: int) -> list[tuple[float, list[int]]]:
-        """The n best segmentations of a word, best first: (score, ids)."""
+    def n_best(self, word: str, n: int) -> list[tuple[int, list[int]]]:
+        """The n best segmentations of a word, best first: (score, ids).
+
+        Of equal estimates the latest goes first, so every way is followed straight
+        to the start: a search pops as many places as its ways have pieces.
+        """
         into, ahead = self.lattice(word)
-        tie = count()
-        heap = [(-ahead[-1], next(tie), len(word), 0.0, None)]
+        tie = count(0, -1)
+        heap = [(-ahead[-1], next(tie), len(word), 0, None)]
         found = []
         while heap and len(found) < n:
-            estimate, _, place, behind, path = heapq.heappop(heap)
+            _, _, place, behind, path = heapq.heappop(heap)
             if place == 0:
                 ids: list[int] = []
                 while path is not None:
@@ -173,7 +181,7 @@ class PieceModel:
     def solve(self, words: list[str]) -> tuple[np.ndarray, ...]:
         """Best ways through distinct words: starts and lengths in flat ids, ids, scores, loss of the second best."""
         lengths = np.zeros(len(words), dtype=np.int64)
-        scores, loss = np.zeros(len(words)), np.full(len(words), np.inf)
+        scores, loss = np.zeros(len(words), dtype=np.int64), np.full(len(words), -NOWHERE)
         sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         by_size = np.argsort(sizes, kind="stable")
         parts: list[tuple[np.ndarray, np.ndarray]] = []  # words in the order of their ids, and those ids
@@ -191,20 +199,20 @@ class PieceModel:
             ways = self.n_best(words[k], 2)
             lengths[k], scores[k] = len(ways[0][1]), ways[0][0]
             parts.append((np.array([k]), np.array(ways[0][1], dtype=np.int32)))
-            loss[k] = ways[0][0] - ways[1][0] if len(ways) > 1 else np.inf
+            loss[k] = ways[0][0] - ways[1][0] if len(ways) > 1 else -NOWHERE
         starts = np.zeros(len(words), dtype=np.int64)
         if parts:
             order = np.concatenate([p[0] for p in parts])
             starts[order] = np.cumsum(lengths[order]) - lengths[order]
         flat = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.int32)
-        return starts, lengths, flat.astype(np.int32), scores, np.maximum(loss, 0.0)
+        return starts, lengths, flat.astype(np.int32), scores, loss
 
     def _solve_equal(self, chars: np.ndarray) -> tuple[np.ndarray, ...]:
         """Words of one length at once: known (no unknown character), counts and flat ids of the known, scores, losses."""
         n, size = chars.shape
         columns = np.ascontiguousarray(chars.T)
-        ahead = np.full((size + 1, n), -np.inf)
-        ahead[0] = 0.0
+        ahead = np.full((size + 1, n), NOWHERE)
+        ahead[0] = 0
         came = np.zeros((size + 1, n), dtype=np.int64)
         piece = np.full((size + 1, n), -1, dtype=np.int64)
         edges = []
@@ -230,8 +238,8 @@ class PieceModel:
                     rb = r[better]
                     ahead[j, rb], came[j, rb], piece[j, rb] = total[better], i, d[better]
                     edges.append((i, j, r, s))
-        behind = np.full((size + 1, n), -np.inf)
-        behind[size] = 0.0
+        behind = np.full((size + 1, n), NOWHERE)
+        behind[size] = 0
         for i, j, r, s in reversed(edges):
             behind[i, r] = np.maximum(behind[i, r], s + behind[j, r])
         # Walk the best ways back, all words in step.
@@ -243,7 +251,7 @@ class PieceModel:
             steps.append((rows, piece[p, rows]))
             place[rows] = came[p, rows]
             rows = rows[place[rows] > 0]
-        second = np.full(n, -np.inf)
+        second = np.full(n, NOWHERE)
         for i, j, r, s in edges:
             off = ~(used[j, r] & (came[j, r] == i))
             ro = r[off]
@@ -255,7 +263,7 @@ class PieceModel:
         flat = np.zeros(int(counts.sum()), dtype=np.int32)
         for k, (rows, d) in enumerate(steps):
             flat[ends[rows] - 1 - k] = d
-        lost = np.where(np.isfinite(second), ahead[size] - np.where(np.isfinite(second), second, 0.0), np.inf)
+        lost = np.where(second > NOWHERE // 2, ahead[size] - second, -NOWHERE)
         return known, counts, flat, ahead[size], lost
 
     # --- many texts ----------------------------------------------------------------
@@ -277,21 +285,21 @@ class PieceModel:
             ends = np.cumsum(size)
             total = int(ends[-1]) if len(c) else 0
             out = ids[np.repeat(starts[c] - (ends - size), size) + np.arange(total)] if total else np.zeros(0, np.int32)
-            score = float(scores[c].sum())
-            yield out, score, self._others(c, out, ends - size, ends, loss, score, ways, n)
+            score = int(scores[c].sum())
+            yield out, score / SCALE, self._others(c, out, ends - size, ends, loss, score, ways, n)
 
     def _others(self, c, out, begins, ends, loss, score, ways, n) -> list[tuple[float, int, int, list[int]]]:
         """The 2nd to n-th best ways of a text, over its n-1 words of least loss."""
         mine = loss[c]
-        few = min(n - 1, int(np.isfinite(mine).sum()))
+        few = min(n - 1, int((mine < -NOWHERE).sum()))
         if few <= 0:
             return []
         if few < len(mine):
             border = np.partition(mine, few - 1)[few - 1]
             pick = np.r_[np.flatnonzero(mine < border), np.flatnonzero(mine == border)][:few]
         else:
-            pick = np.flatnonzero(np.isfinite(mine))
-        best: list[tuple[float, tuple[tuple[int, int], ...]]] = [(0.0, ())]
+            pick = np.flatnonzero(mine < -NOWHERE)
+        best: list[tuple[int, tuple[tuple[int, int], ...]]] = [(0, ())]
         for w in sorted(pick.tolist()):
             options = ways(int(c[w]))
             best = heapq.nsmallest(n, (
@@ -305,7 +313,7 @@ class PieceModel:
             for w, k in taken:
                 ids += out[at : begins[w]].tolist() + ways(int(c[w]))[k][1]
                 at = ends[w]
-            found.append((score - cost, start, stop, ids))
+            found.append(((score - cost) / SCALE, start, stop, ids))
         return found
 
     def decode(self, ids) -> str:
