@@ -18,13 +18,16 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from armscope.llm.common import free_prefix
+from armscope.llm.common import stored
 
 #: Code points of a block.  A block sees the dictionary only, so a long text weighs like its parts.
 BLOCK = 1024
-#: The bound of the labelled sample: at most so many blocks per class train a dictionary.
-SAMPLE_BLOCKS = 4000
+#: The bound of the labelled sample: about so many labelled rows per class are read, three quarters of them
+#: for the dictionaries and the rest for the curve.  As many blocks at most come to the driver.
+SAMPLE_ROWS = 8000
 DICTIONARY_BYTES = 112_640
+#: Share of good texts that scores are calibrated to.
+PRIOR = 0.7
 LEVEL = 3
 #: Steps of the difference at which the curve's table of counts is kept: -1 to 1 in so many parts.
 BINS = 4000
@@ -79,16 +82,31 @@ def difference(text: Column, model: CompressionModel) -> Column:
     return sizes(text)
 
 
-def _sample(labelled: DataFrame, label: int, blocks: int, block: int) -> list[bytes]:
-    """Blocks of one class, at most ``blocks``, chosen by digest."""
-    starts = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / block).cast("int"))
-    parts = (
-        labelled.filter((F.col("label") == label) & (F.length("text") > 0))
-        .select("text", F.explode(starts).alias("i"))
-        .select(F.substring("text", F.col("i") * block + 1, F.lit(block)).alias("part"))
+def sampled_labels(labels: DataFrame, key: str, label: str, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """(key, label, part) of about ``rows`` labels per class, chosen by digest.
+
+    Parts 0 to 2 feed the dictionaries, part 3 the curve.  Other labels than 0 and 1 are left out.
+    """
+    known = labels.filter(F.col(label).isin(0, 1)).select(F.col(key).alias("key"), F.col(label).cast("int").alias("label"))
+    counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    share = {y: min(1.0, rows / counts.get(y, 1)) for y in (0, 1)}
+    digest = F.xxhash64(F.col("key").cast("string"))
+    place = F.pmod(digest, F.lit(1_000_003)) / F.lit(1_000_003.0)
+    wanted = F.when(F.col("label") == 1, F.lit(share[1])).otherwise(F.lit(share[0]))
+    part = F.shiftrightunsigned(digest, 40).bitwiseAND(F.lit(3)).cast("int")
+    return known.filter(place < wanted).select("key", "label", part.alias("part"))
+
+
+def _blocks(rows: DataFrame, label: int, block: int, most: int) -> list[bytes]:
+    """Blocks of the rows of one class, chosen by digest: one of every row, up to eight where rows are few."""
+    chosen = rows.filter((F.col("label") == label) & (F.length("text") > 0))
+    each = max(1, min(8, most // max(1, chosen.count())))
+    n = F.ceil(F.length("text") / block)
+    picks = F.array_distinct(F.array(*[F.pmod(F.xxhash64("text", F.lit(i)), n) for i in range(each)]))
+    parts = chosen.select("text", F.explode(picks).alias("i")).select(
+        F.substring("text", (F.col("i") * block + 1).cast("int"), F.lit(block)).alias("part")
     )
-    rows = parts.orderBy(F.md5("part"), "part").limit(blocks).collect()
-    return [r[0].encode("utf-8", "replace") for r in rows]
+    return [r["part"].encode("utf-8", "replace") for r in parts.distinct().orderBy("part").collect()]
 
 
 def _dictionary(samples: list[bytes], size: int) -> bytes:
@@ -122,27 +140,25 @@ def _curve(counts: list[tuple[float, int, int]], steps: int = 50) -> tuple[float
 
 
 def fit(
-    labelled: DataFrame, key: str, text: str = "text", label: str = "label", blocks: int = SAMPLE_BLOCKS,
-    size: int = DICTIONARY_BYTES, block: int = BLOCK, level: int = LEVEL,
+    rows: DataFrame, most: int = SAMPLE_ROWS, size: int = DICTIONARY_BYTES, block: int = BLOCK,
+    level: int = LEVEL, prior: float = PRIOR,
 ) -> CompressionModel:
-    """A model from labelled rows (label 1 good, 0 bad; others and null texts are ignored).
+    """A model from (text, label, part) rows.
 
-    Three in four rows, by digest of ``key``, feed the dictionaries, of which at most
-    ``blocks`` blocks of ``block`` code points per class come to the driver.  All
-    other rows are scored on the executors and fit the curve through a table of
-    counts of fixed size.  With no rows of a class its dictionary is empty; with
-    no rows at all every score is 0.5.
+    Blocks of parts 0 to 2 come to the driver, about ``most`` of a class.  Part 3 is
+    scored on the executors and fits the curve through a table of counts of fixed size, weighed
+    to a share ``prior`` of good texts, since labels are not drawn like the texts.  Null and empty texts feed
+    no dictionary.  With no rows of a class its dictionary is empty; with no
+    rows at all every score is 0.5.
     """
-    rows = labelled.filter(F.col(label).isin(0, 1) & F.col(text).isNotNull()).select(
-        F.col(text).alias("text"), F.col(label).alias("label"),
-        F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(4)).alias("part"),
-    )
-    first = rows.filter("part < 3")
-    good, bad = (_dictionary(_sample(first, y, blocks, block), size) for y in (1, 0))
+    good, bad = (_dictionary(_blocks(rows.filter("part < 3"), y, block, most), size) for y in (1, 0))
     model = CompressionModel(good, bad, level=level, block=block)
     x = F.round(difference(F.col("text"), model) * (BINS // 2)) / (BINS // 2)
     counts = rows.filter("part = 3").select(x.alias("x"), "label").groupBy("x", "label").agg(F.count(F.lit(1)).alias("n"))
-    slope, shift = _curve([(r["x"], r["label"], r["n"]) for r in counts.collect()])
+    table = [(r["x"], r["label"], r["n"]) for r in counts.collect()]
+    total = {y: sum(n for _, label, n in table if label == y) for y in (0, 1)}
+    weight = {1: 1000.0 * prior, 0: 1000.0 * (1 - prior)}
+    slope, shift = _curve([(x, y, weight[y] * n / total[y]) for x, y, n in table])
     return CompressionModel(good, bad, slope, shift, level, block)
 
 
@@ -162,12 +178,16 @@ def held_out(key: Column) -> Column:
     return F.crc32(F.encode(key.cast("string"), "UTF-8")) % 5 == 0
 
 
-def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", **options) -> CompressionModel:
-    """A model from the labels of all keys that are not held out.
+def learn(
+    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality",
+    rows: int = SAMPLE_ROWS, **options,
+) -> CompressionModel:
+    """A model from labels of keys that are not held out, about ``rows`` of each class.
 
-    A key with several labels or texts gives a row for each; null keys join nothing.
+    The sample is drawn from the labels, so it is small by its bound and broadcast;
+    its texts are read in one scan and written once.  A key with several labels or
+    texts gives a row for each; null keys join nothing.
     """
-    x = free_prefix(docs)
-    known = labels.filter(~held_out(F.col(key))).select(F.col(key).alias(f"{x}key"), F.col(label).alias(f"{x}label"))
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(known, F.col("key") == F.col(f"{x}key"))
-    return fit(rows, "key", "text", f"{x}label", **options)
+    sample = sampled_labels(labels.filter(~held_out(F.col(key))), key, label, rows)
+    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    return fit(stored(texts.join(F.broadcast(sample), "key").select("text", "label", "part"), "sample"), rows, **options)
