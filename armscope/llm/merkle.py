@@ -72,18 +72,30 @@ def _pieces(print_: Column) -> Column:
     return F.array_distinct(F.filter(F.split(body, "[/;,]"), lambda x: x != ""))
 
 
-def likeness(a: str, b: str) -> Column:
-    """How alike two fingerprint columns are, 0 to 1: twice the shared pieces over both sides' pieces.
+def with_likeness(pairs: DataFrame, wanted: dict[str, tuple[str, str]]) -> DataFrame:
+    """``pairs`` plus a column per entry: how alike two fingerprint columns are, 0 to 1.
 
-    Equal roots give 1.0 (also two empty texts), an empty text and another 0.0.
-    A null fingerprint, as of a missing next document, gives null.
+    Twice the shared pieces over both sides' pieces.  Equal roots give 1.0 (also two
+    empty texts), an empty text and another 0.0; a null fingerprint gives null.
+    Every fingerprint is read once, into a column of its own.
     """
-    left, right = _pieces(F.col(a)), _pieces(F.col(b))
-    shared, sizes = F.size(F.array_intersect(left, right)), F.size(left) + F.size(right)
-    same = F.substring(F.col(a), 1, 64) == F.substring(F.col(b), 1, 64)
-    return F.when(F.col(a).isNull() | F.col(b).isNull(), F.lit(None).cast("double")).when(same, 1.0).when(
-        sizes == 0, 0.0
-    ).otherwise((2 * shared).cast("double") / sizes)
+    x = free_prefix(pairs)
+    prints = sorted({c for both in wanted.values() for c in both})
+    read = pairs.select("*", *[_pieces(F.col(c)).alias(f"{x}{c}") for c in prints])
+    shared = [F.size(F.array_intersect(f"{x}{a}", f"{x}{b}")).alias(f"{x}_{out}") for out, (a, b) in wanted.items()]
+    sizes = [F.size(f"{x}{c}").alias(f"{x}{c}") for c in prints]
+    counted = read.select(*pairs.columns, *sizes, *shared)
+
+    def near(out: str, a: str, b: str) -> Column:
+        both = F.col(f"{x}{a}") + F.col(f"{x}{b}")
+        same = F.substring(F.col(a), 1, 64) == F.substring(F.col(b), 1, 64)
+        return F.when(F.col(a).isNull() | F.col(b).isNull(), F.lit(None).cast("double")).when(same, 1.0).when(
+            both == 0, 0.0
+        ).otherwise((2 * F.col(f"{x}_{out}")).cast("double") / both)
+
+    return counted.select(
+        *[c for c in pairs.columns if c not in wanted], *[near(out, a, b).alias(out) for out, (a, b) in wanted.items()]
+    )
 
 
 def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "fingerprint") -> DataFrame:
@@ -173,9 +185,9 @@ def neighbour_edits(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     made = pairs.withColumn("edit", edited(F.col("text"), F.coalesce("next_text", F.lit(""))))
     for source, out in (("text", "fingerprint"), ("edit", "edited_fingerprint"), ("next_text", "next_fingerprint")):
         made = with_fingerprint(made, source, out)
-    return made.select(
+    made = made.select(
         key, F.length("text").cast("bigint").alias("n_chars"), _sha(F.col("edit")).alias("edited_sha256"),
-        "fingerprint", "edited_fingerprint",
-        likeness("fingerprint", "edited_fingerprint").alias("near_edited"),
-        likeness("fingerprint", "next_fingerprint").alias("near_next"),
+        "fingerprint", "edited_fingerprint", "next_fingerprint",
     )
+    near = {"near_edited": ("fingerprint", "edited_fingerprint"), "near_next": ("fingerprint", "next_fingerprint")}
+    return with_likeness(made, near).drop("next_fingerprint")

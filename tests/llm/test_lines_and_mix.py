@@ -38,7 +38,7 @@ def test_raking_meets_the_margins(spark):
     )
     want = {"source": {"a": 0.5, "b": 0.5}, "lang": {"en": 0.55, "de": 0.45}, "topic": {"p": 0.6, "q": 0.4}}
     goals = {k: spark.createDataFrame(list(v.items()), f"{k} string, target double") for k, v in want.items()}
-    out = mixing.rake(cells, goals, sweeps=40).collect()
+    out = mixing.rake(cells, goals, sweeps=12).collect()
     for by, target in want.items():
         for value, share in target.items():
             assert math.isclose(sum(r["w"] for r in out if r[by] == value), share, abs_tol=1e-3)

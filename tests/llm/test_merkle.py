@@ -48,5 +48,5 @@ def test_differing_branches_locate_the_edit(docs_of):
     docs = merkle.with_fingerprint(merkle.with_fingerprint(docs, "a", "fa"), "b", "fb")
     rows = merkle.differing_branches(docs, "fa", "fb", "doc_id").collect()
     assert [tuple(r) for r in rows] == [(0, 0, 1, 1)]
-    near = docs.select(merkle.likeness("fa", "fb")).first()[0]
+    near = merkle.with_likeness(docs, {"near": ("fa", "fb")}).first()["near"]
     assert near == 2 * 6 / 14
