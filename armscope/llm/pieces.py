@@ -23,6 +23,7 @@ from itertools import count
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,17 +33,22 @@ SPACE = "▁"
 #: Segmentations per text.
 N_BEST = 3
 #: Code points of the texts that one step handles together.
-GROUP = 2_000_000
+GROUP = 3_000_000
 #: Scores are held as whole numbers, so ways of equal score tie exactly: this many to 1.
 SCALE = 1 << 20
 #: Score of a place that nothing leads to.
 NOWHERE = -(1 << 60)
 #: A character without a piece scores this much less than the rarest piece.
 UNKNOWN_LOSS = 10.0
+#: Solved words that a worker remembers; beyond them it starts anew.
+REMEMBERED = 400_000
 #: Words longer than this, and those with an unknown character, are solved one by one.
 LONGEST = 48
 
 
+Way = tuple[float, int, int, list[int]]
+
+
 class PieceModel:
     """Pieces and scores of a model file.
 
@@ -74,6 +80,7 @@ class PieceModel:
         if any(re.search(f"[^{SPACE}]{SPACE}", p) or "\n" in p for p in self.ids):
             raise ValueError("the model has pieces that cross a space or a line break")
         self._trie()
+        self._forget()
         self.decoded = [
             bytes([int(p[3:5], 16)]) if model.is_byte(i) else b"" if model.is_control(i)
             else (" ⁇ " if model.is_unknown(i) else p.replace(SPACE, " ")).encode()
@@ -268,15 +275,37 @@ class PieceModel:
 
     # --- many texts ----------------------------------------------------------------
 
-    def encode(self, texts: list[str], n: int = N_BEST) -> Iterator[tuple[np.ndarray, float, list[tuple[float, int, int, list[int]]]]]:
+    def _forget(self) -> None:
+        self.index: dict[str, int] = {}
+        self.words: list[str] = []
+        self.starts = self.lengths = self.scores = self.loss = np.zeros(0, dtype=np.int64)
+        self.flat = np.zeros(0, dtype=np.int32)
+
+    def _learn(self, words: list[str]) -> np.ndarray:
+        """Places of distinct words in the tables of solved words; new words are solved first."""
+        if len(self.index) + len(words) > REMEMBERED:
+            self._forget()
+        new = [w for w in words if w not in self.index]
+        if new:
+            starts, lengths, flat, scores, loss = self.solve(new)
+            self.index.update(zip(new, range(len(self.words), len(self.words) + len(new))))
+            self.words += new
+            self.starts = np.concatenate([self.starts, starts + len(self.flat)])
+            self.lengths, self.flat = np.concatenate([self.lengths, lengths]), np.concatenate([self.flat, flat])
+            self.scores, self.loss = np.concatenate([self.scores, scores]), np.concatenate([self.loss, loss])
+        index = self.index
+        return np.fromiter((index[w] for w in words), dtype=np.int64, count=len(words))
+
+    def encode(self, texts: list[str], n: int = N_BEST) -> Iterator[tuple[np.ndarray, float, list[Way]]]:
         """Per text its best ids, their score, and the next n-1 ways: (score, start, stop, ids for that range)."""
         words = [self.units(t) for t in texts]
         flat = np.empty(sum(map(len, words)), dtype=object)
         flat[:] = [w for u in words for w in u]
         codes, distinct = pd.factorize(flat)
-        distinct = list(distinct)
-        starts, lengths, ids, scores, loss = self.solve(distinct)
-        ways = lru_cache(maxsize=100_000)(lambda c: self.n_best(distinct[c], n))
+        codes = self._learn(list(distinct))[codes] if len(distinct) else codes
+        starts, lengths, ids, scores, loss = self.starts, self.lengths, self.flat, self.scores, self.loss
+        known = self.words
+        ways = lru_cache(maxsize=100_000)(lambda c: self.n_best(known[c], n))
         at = 0
         for u in words:
             c = codes[at : at + len(u)]
@@ -288,7 +317,7 @@ class PieceModel:
             score = int(scores[c].sum())
             yield out, score / SCALE, self._others(c, out, ends - size, ends, loss, score, ways, n)
 
-    def _others(self, c, out, begins, ends, loss, score, ways, n) -> list[tuple[float, int, int, list[int]]]:
+    def _others(self, c, out, begins, ends, loss, score, ways, n) -> list[Way]:
         """The 2nd to n-th best ways of a text, over its n-1 words of least loss."""
         mine = loss[c]
         few = min(n - 1, int((mine < -NOWHERE).sum()))
@@ -327,33 +356,44 @@ def piece_model(path: str) -> PieceModel:
     return PieceModel(path)
 
 
-WAY = "struct<score:double,start:int,stop:int,ids:array<int>>"
-RESULT = f"struct<ids:array<int>,score:double,others:array<{WAY}>>"
-
-
-def encoded(text: Column, path: str, n_best: int = N_BEST) -> Column:
-    """Struct of ids, score and others (2nd to n-th best) of a text column; null texts count as empty."""
-
-    @F.pandas_udf(RESULT)
-    def ways(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        model = piece_model(path)
-        for texts in batches:
-            values = texts.fillna("").tolist()
-            rows, begin, size = [], 0, 0
-            for k, t in enumerate(values):
-                size += len(t)
-                if size > GROUP or k == len(values) - 1:
-                    rows += model.encode(values[begin : k + 1], n_best)
-                    begin, size = k + 1, 0
-            yield pd.DataFrame({
-                "ids": pd.Series([r[0] for r in rows], dtype=object),
-                "score": pd.Series([r[1] for r in rows], dtype="float64"),
-                "others": pd.Series(
-                    [[{"score": s, "start": a, "stop": b, "ids": i} for s, a, b, i in r[2]] for r in rows], dtype=object
-                ),
-            })
-
-    return ways(text)
+WAY = pa.list_(pa.struct([("score", pa.float64()), ("start", pa.int32()), ("stop", pa.int32()), ("ids", pa.list_(pa.int32()))]))
+ADDED = {
+    "piece_ids": "array<int>", "n_pieces": "bigint", "score": "double",
+    "others": "array<struct<score:double,start:int,stop:int,ids:array<int>>>", "round_trip": "boolean",
+}
+
+
+def _groups(texts: list[str], size: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``size`` code points together."""
+    begin = total = 0
+    for k, t in enumerate(texts):
+        total += len(t)
+        if total > size:
+            yield begin, k + 1
+            begin, total = k + 1, 0
+    if begin < len(texts):
+        yield begin, len(texts)
+
+
+def _encoded(batches: Iterator[pa.RecordBatch], path: str, n_best: int) -> Iterator[pa.RecordBatch]:
+    """The columns before the last, which is the text, and those of ADDED; small batches out of any batch."""
+    model = piece_model(path)
+    for batch in batches:
+        values = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
+        for begin, end in _groups(values, GROUP):
+            rows = list(model.encode(values[begin:end], n_best))
+            counts = np.array([len(r[0]) for r in rows], dtype=np.int64)
+            offsets = np.r_[0, np.cumsum(counts)].astype(np.int32)
+            others = [[{"score": s, "start": a, "stop": b, "ids": i} for s, a, b, i in r[2]] for r in rows]
+            same = [model.decode(r[0].tolist()) == t for r, t in zip(rows, values[begin:end])]
+            kept = [batch.column(k).slice(begin, end - begin) for k in range(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *kept, pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([r[0] for r in rows]), pa.int32())),
+                    pa.array(counts), pa.array([r[1] for r in rows], pa.float64()), pa.array(others, WAY), pa.array(same),
+                ],
+                [*batch.schema.names[:-1], *ADDED],
+            )
 
 
 def decoded(ids: Column, path: str) -> Column:
@@ -368,8 +408,8 @@ def decoded(ids: Column, path: str) -> Column:
     return texts(ids)
 
 
-def with_pieces(docs: DataFrame, path: str, text: str = "text", n_best: int = N_BEST) -> DataFrame:
-    """All columns of ``docs`` plus piece_ids, n_pieces, score, others and round_trip.
+def with_pieces(docs: DataFrame, path: str, text: str = "text", n_best: int = N_BEST, keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` of ``docs`` (by default all) plus piece_ids, n_pieces, score, others and round_trip.
 
     ``others`` holds the 2nd to n-th best segmentation as the range of piece_ids that
     it replaces and the ids for it.  round_trip: decoding gives the text again,
@@ -378,14 +418,11 @@ def with_pieces(docs: DataFrame, path: str, text: str = "text", n_best: int = N_
     equal results, ties go to the longer first piece, an empty table gives no rows.
     Columns of ``docs`` with the added names are replaced.
     """
-    x = free_name(docs, "_way")
-    made = docs.withColumn(x, encoded(F.col(text), path, n_best))
-    added = {
-        "piece_ids": F.col(f"{x}.ids"), "n_pieces": F.size(f"{x}.ids").cast("bigint"), "score": F.col(f"{x}.score"),
-        "others": F.col(f"{x}.others"),
-        "round_trip": decoded(F.col(f"{x}.ids"), path) == F.coalesce(F.col(text), F.lit("")),
-    }
-    return made.select(*[c for c in docs.columns if c not in added], *[c.alias(n) for n, c in added.items()])
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in ADDED]
+    rows = docs.select(*kept, F.col(text).alias(free_name(docs, "_text")))
+    types = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
+    schema = ", ".join([*types, *(f"{n} {t}" for n, t in ADDED.items())])
+    return rows.mapInArrow(lambda batches: _encoded(batches, path, n_best), schema)
 
 
 def n_best_rows(encoded_docs: DataFrame, key: str) -> DataFrame:

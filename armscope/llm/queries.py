@@ -190,8 +190,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op7_piece_segmentations")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best pieces of every document and its next best segmentations, with the round trip checked."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pieces.with_pieces(docs, tokenizer_file("piece_bpe_32k.model")).drop("text")
+    return pieces.with_pieces(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), keep=["doc_id"])
 
 
 @_query("op8_html_main_text")
