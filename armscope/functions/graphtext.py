@@ -76,20 +76,34 @@ def declared(schema: Column, pattern: str = SCHEMA_ARROW) -> Column:
     )
 
 
-def is_one_hop(query: Column) -> Column:
-    """One plain MATCH, one relation without ``*``, no UNION, no OPTIONAL MATCH."""
-    upper = F.upper(query)
-    return (
-        ~upper.contains(" UNION ")
-        & ~upper.contains("UNION ALL")
-        & (F.regexp_count(query, F.lit(r"(?iU)\bOPTIONAL\s+MATCH\b")) == 0)
-        & (match_count(query) == 1)
-        & (hop_count(query) == 1)
-        & ~F.regexp_extract(query, r"-\[[^\]]*\]", 0).contains("*")
+def shape(query: Column) -> Column:
+    """How often a query unites, matches optionally, matches, takes a hop, and takes a starred hop."""
+    text = F.coalesce(query, F.lit(""))
+
+    def times(pattern: str) -> Column:
+        return F.regexp_count(text, F.lit(pattern))
+
+    return F.struct(
+        times(r"(?iU)\bUNION\b").alias("unions"),
+        times(r"(?iU)\bOPTIONAL\s+MATCH\b").alias("optional"),
+        match_count(query).alias("matches"),
+        hop_count(query).alias("hops"),
+        times(r"-\[[^\]]*\*").alias("starred"),
     )
 
 
-def has_word(text: Column, word: Column) -> Column:
-    """Does ``word`` occur in ``text`` between non-word characters?"""
-    pattern = F.concat(F.lit(r"(?U)(^|\W)\Q"), word, F.lit(r"\E(\W|$)"))
-    return F.regexp_count(F.coalesce(text, F.lit("")), pattern) > 0
+#: The shape of a query whose answer lies one relation away.
+ONE_HOP = {"unions": 0, "optional": 0, "matches": 1, "hops": 1, "starred": 0}
+
+
+def is_one_hop(query: Column) -> Column:
+    """One plain MATCH with one relation of fixed length."""
+    seen, same = shape(query), F.lit(True)
+    for name, wanted in ONE_HOP.items():
+        same = same & (seen[name] == wanted)
+    return same
+
+
+def words_in(text: Column) -> Column:
+    """The distinct words of a text, cut at non-word characters."""
+    return F.array_distinct(F.split(F.coalesce(text, F.lit("")), r"(?U)\W+"))

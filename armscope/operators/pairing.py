@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from armscope.functions.keys import text_key
 from armscope.functions.text import norm_ws
 
-#: Samples held in one candidate array; more samples of an id give more rows.
-CANDIDATES_PER_PART = 1024
 
 
 def pair_arms(
@@ -72,16 +70,17 @@ def attach_schema(examples: DataFrame, schemas: DataFrame, db_col: str, text_col
 
 
 def collect_candidates(
-    samples: DataFrame, id_col: str, idx_col: str, text_col: str
+    samples: DataFrame, id_col: str, idx_col: str, text_col: str, width: int | None = None
 ) -> DataFrame:
-    """Candidates of an id as an array in sample order.
+    """Candidates of an id as an array in sample order: a view for reading.
 
-    ``part`` numbers arrays of CANDIDATES_PER_PART samples, so an id with few
-    samples has one row (part 0) and a huge one is spread over many.
+    Votes and clusters read the long table, so an id with very many samples
+    is never gathered there.  ``width`` cuts the arrays: a row per so many sample
+    numbers, numbered by ``part``.
     """
-    part = F.floor(F.col(idx_col) / F.lit(CANDIDATES_PER_PART)).cast("bigint")
+    part = F.floor(F.col(idx_col) / F.lit(width)).cast("bigint") if width else F.lit(0).cast("bigint")
     return (
-        samples.groupBy(id_col, part.alias("part"))
+        samples.withColumn("part", part).groupBy(id_col, "part")
         .agg(F.array_sort(F.collect_list(F.struct(idx_col, text_col))).alias("_c"))
         .select(id_col, "part", F.transform("_c", lambda x: x[text_col]).alias("candidates"))
     )
@@ -173,41 +172,29 @@ def seen_unseen_scores(
     )
 
 
-def cross_split_overlap(
-    rows: DataFrame, key: Column, split_col: str, splits: Sequence[str]
-) -> DataFrame:
-    """Keys shared by every pair of named splits (the diagonal counts its keys).
+def cross_split_overlap(rows: DataFrame, key: Column, split_col: str) -> DataFrame:
+    """Keys shared by every pair of splits (the diagonal counts its keys).
 
-    A key is reduced to a bit mask of the splits it occurs in, and keys to
-    counts per mask; pairs are formed from the few masks, never from rows.
+    The splits are read from the rows; a missing one is "unknown".  A key is
+    reduced to the set of splits it occurs in, and keys to counts per set; pairs
+    are formed from the few sets, never from rows.
     """
-    if len(splits) > 62:
-        raise ValueError("at most 62 splits fit one mask")
-    names = F.array(*[F.lit(s) for s in splits])
-    known = rows.filter(F.col(split_col).isin(*splits))
-    bit = F.call_function(
-        "shiftleft", F.lit(1).cast("bigint"), (F.array_position(names, F.col(split_col)) - 1).cast("int")
-    )
-    masks = (
-        known.groupBy(key.alias("_k")).agg(F.bit_or(bit).alias("mask"))
-        .groupBy("mask").agg(F.count("*").alias("n"))
-    )
-    places = F.sequence(F.lit(0), F.lit(len(splits) - 1))
-    inside = F.filter(places, lambda i: F.getbit(F.col("mask"), i) == 1)
-    a = masks.select("n", inside.alias("_in")).select("n", "_in", F.explode("_in").alias("_a"))
-    shared = a.select("n", "_a", F.explode("_in").alias("_b")).groupBy("_a", "_b").agg(
-        F.sum("n").alias("n_shared")
+    split = F.coalesce(F.col(split_col).cast("string"), F.lit("unknown"))
+    sets = (
+        rows.groupBy(key.alias("_k")).agg(F.sort_array(F.collect_set(split)).alias("_in"))
+        .groupBy("_in").agg(F.count("*").alias("n"))
     )
-    sizes = shared.filter(F.col("_a") == F.col("_b")).select("_a", F.col("n_shared").alias("n_a"))
-    # All pairs of names, also those that share nothing.
-    grid = sizes.select("_a", "n_a", F.explode(places).alias("_b"))
-    filled = grid.join(shared, ["_a", "_b"], "left").withColumn(
-        "n_shared", F.coalesce("n_shared", F.lit(0))
+    a = sets.select("n", "_in", F.explode("_in").alias("split_a"))
+    shared = a.select("n", "split_a", F.explode("_in").alias("split_b")).groupBy("split_a", "split_b").agg(
+        F.sum("n").alias("n_shared")
     )
-    return filled.select(
-        F.get(names, F.col("_a")).alias("split_a"),
-        F.get(names, F.col("_b")).alias("split_b"),
-        "n_shared", "n_a", (F.col("n_shared") / F.col("n_a")).alias("share_of_a"),
+    sizes = shared.filter(F.col("split_a") == F.col("split_b")).select("split_a", F.col("n_shared").alias("n_a"))
+    # All pairs of names, also those that share nothing: a list of names, not of rows.
+    names = sizes.agg(F.sort_array(F.collect_list("split_a")).alias("_names")).scalar()
+    grid = sizes.select("split_a", "n_a", F.explode(names).alias("split_b"))
+    return grid.join(shared, ["split_a", "split_b"], "left").select(
+        "split_a", "split_b", F.coalesce("n_shared", F.lit(0)).alias("n_shared"), "n_a",
+        (F.coalesce("n_shared", F.lit(0)) / F.col("n_a")).alias("share_of_a"),
     )
 
 

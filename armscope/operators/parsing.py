@@ -203,8 +203,9 @@ def db_reachable(rows: DataFrame, alias_map: DataFrame, alias_col: str) -> DataF
 
 
 def db_reach_counts(rows: DataFrame, alias_map: DataFrame, alias_col: str) -> DataFrame:
-    """Mapped and unmapped rows per alias and overall (alias null)."""
-    per_alias = rows.groupBy(alias_col).agg(F.count("*").alias("n"))
+    """Mapped and unmapped rows per alias (missing: "unknown") and overall (alias null)."""
+    known = F.coalesce(F.col(alias_col), F.lit("unknown")).alias(alias_col)
+    per_alias = rows.groupBy(known).agg(F.count("*").alias("n"))
     names = alias_map.select(F.col("alias").alias(alias_col), "db_name")
     tagged = per_alias.join(names, alias_col, "left")
     mapped = F.col("db_name").isNotNull()

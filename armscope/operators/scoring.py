@@ -17,6 +17,9 @@ from armscope.functions.text import (
 LENGTH_BUCKETS = [(50, "0-50"), (100, "50-100"), (200, "100-200"), (500, "200-500")]
 LAST_BUCKET = "500+"
 
+#: Name of a missing group; a null group is the overall row of a board.
+UNKNOWN = "unknown"
+
 #: Repeats of an n-gram that are compared by hash before the rest is walked.
 PEELED_LEVELS = 3
 
@@ -36,7 +39,7 @@ def exact_match_board(
 ) -> DataFrame:
     """n, matches and EM for every group and overall (group null), in one pass."""
     hit = (norm_ws(F.col(pred_col)) == norm_ws(F.col(ref_col))).alias("_hit")
-    flat = preds.select(*keys, group_col, hit)
+    flat = preds.select(*keys, F.coalesce(F.col(group_col).cast("string"), F.lit(UNKNOWN)).alias(group_col), hit)
     return flat.groupingSets([[*keys], [*keys, group_col]], *keys, group_col).agg(
         F.count("*").alias("n"),
         F.sum(F.col("_hit").cast("bigint")).alias("n_match"),
@@ -81,7 +84,8 @@ def gleu_stats(pairs: DataFrame, pred_col: str, ref_col: str, max_n: int = 4) ->
 def corpus_gleu(stats: DataFrame, keys: Sequence[str], group_col: str) -> DataFrame:
     """sum(match) / sum(all) for every group and overall (group null)."""
     top, bottom = F.sum("gleu_match"), F.sum("gleu_all")
-    return stats.groupingSets([[*keys], [*keys, group_col]], *keys, group_col).agg(
+    flat = stats.select(*keys, F.coalesce(F.col(group_col).cast("string"), F.lit(UNKNOWN)).alias(group_col), "gleu_match", "gleu_all")
+    return flat.groupingSets([[*keys], [*keys, group_col]], *keys, group_col).agg(
         F.count("*").alias("n"), top.alias("gleu_match"), bottom.alias("gleu_all"),
         ratio(top, bottom).alias("gleu"),
     )
@@ -93,7 +97,7 @@ def normalized_em_ladder(
     """raw, normalised and canonical EM and the share of readable references."""
     p, r = F.col(pred_col), F.col(ref_col)
     raw = preds.select(
-        *keys, F.coalesce(F.col(group_col), F.lit("all")).alias(group_col),
+        *keys, F.coalesce(F.col(group_col).cast("string"), F.lit(UNKNOWN)).alias(group_col),
         p.alias("p"), r.alias("r"), raw_key(p).alias("rp"), raw_key(r).alias("rr"),
     )
     # Equal raw keys settle the later levels; only the rest is normalised.
@@ -302,7 +306,8 @@ def failure_reasons(traces: DataFrame, top: int = 10) -> DataFrame:
 
 
 def trace_mismatch_kinds(traces: DataFrame, gen_col: str, ref_col: str, long_literal: int = 200) -> DataFrame:
-    """Kinds of difference between generated and reference query; first match wins."""
+    """Kinds of difference between generated and reference query of successful traces; first match wins."""
+    traces = traces.filter(F.coalesce(F.col("reasoning"), F.lit("")) != "")
     g, r = text_or_empty(F.col(gen_col)), text_or_empty(F.col(ref_col))
     flat = traces.select(
         g.alias("g"), r.alias("r"), norm_ws(g).alias("gn"), norm_ws(r).alias("rn")

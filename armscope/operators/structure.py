@@ -218,14 +218,19 @@ def subpath_board(scanned: DataFrame) -> DataFrame:
 def plan_vs_query(
     rows: DataFrame, id_cols: Sequence[str], pred_col: str, ref_col: str, reasoning_col: str
 ) -> DataFrame:
-    """Relations the query lost: were they missing from the reasoning already?"""
-    rels = with_relations(rows, pred_col, ref_col)
-    lost = rels.select(
-        *id_cols, reasoning_col, F.explode(F.array_except("ref_rels", "pred_rels")).alias("rel")
-    )
-    return lost.select(
-        *id_cols, "rel", (~g.has_word(F.col(reasoning_col), F.col("rel"))).alias("absent_from_plan")
-    )
+    """Relations the query lost: were they missing from the reasoning already?
+
+    A relation used twice and kept once is lost once: one row per lost use.
+    """
+    rels = with_relations(rows, pred_col, ref_col).withColumn("_said", g.words_in(F.col(reasoning_col)))
+    kinds = rels.select(*id_cols, "ref_rels", "pred_rels", "_said", F.explode(F.array_distinct("ref_rels")).alias("rel"))
+
+    def uses(c: str) -> Column:
+        return F.size(F.filter(c, lambda x: x == F.col("rel")))
+
+    missing = uses("ref_rels") - uses("pred_rels")
+    lost = kinds.filter(missing > 0).select("*", F.explode(F.array_repeat(F.lit(1), missing)))
+    return lost.select(*id_cols, "rel", (~F.array_contains("_said", F.col("rel"))).alias("absent_from_plan"))
 
 
 def plan_board(lost: DataFrame) -> DataFrame:

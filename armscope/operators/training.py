@@ -46,6 +46,23 @@ TRAIN_PROMPT = {
     "sparql": "Question: {question}\nSPARQL output:",
 }
 
+# Reasoning of an exemplar per style; {path}, {n} and {chain} come from its query.
+EXEMPLAR_TEXT = {
+    "holistic": (
+        "1. Connected path: {path}\n2. Filters/return as in the query.\n"
+        "3. Cypher preserves the full connected path in a single MATCH."
+    ),
+    "holistic_pole": (
+        "1. Connected path: {path}\n2. Filters are inline in the path above; return/count as in the query.\n"
+        "3. Cypher keeps the whole connected path in a single MATCH."
+    ),
+    "enum": (
+        "1. Relationships needed ({n}): {chain}\n2. Connected path: {path}\n"
+        "3. Filters are inline; return/count as in the query.\n"
+        "4. Cypher uses exactly those {n} relationships in one connected MATCH."
+    ),
+}
+
 #: Tokens of one packed block.
 BLOCK_TOKENS = 1600
 
@@ -80,55 +97,40 @@ def request_messages(
 ) -> DataFrame:
     """Add ``messages``: system text, few-shot turns, and the example's own turn.
 
-    An exemplar has question, query, reasoning and (for styles that show it)
+    ``system`` may name {schema}, {question} and {query}: styles whose user turn has no
+    schema show it there.  An exemplar has question, query, reasoning and (for styles that show it)
     schema.  Holistic and enumerating styles derive an exemplar's reasoning
     from its query.  Exemplars are a handful of constants in the plan.
     """
     user, assistant = USER_TURNS[style], ASSISTANT_TURNS[style]
-    turns = [_message("system", F.lit(system))]
-    for ex in exemplars:
-        consts = {k: F.lit(v) for k, v in ex.items()}
-        if style in ("holistic", "holistic_pole", "enum"):
-            consts["reasoning"] = exemplar_reasoning(F.lit(ex["query"]), style)
-        turns.append(_message("user", fill(user, consts)))
-        turns.append(_message("assistant", fill(assistant, consts)))
     own = {
         "question": F.col(question),
         "query": F.col(query) if query in examples.columns else F.lit(""),
         "schema": F.col(schema) if schema in examples.columns else F.lit(""),
     }
+    turns = [_message("system", fill(system, own))]
+    for ex in exemplars:
+        consts = {k: F.lit(v) for k, v in ex.items()}
+        if style in EXEMPLAR_TEXT:
+            consts["reasoning"] = exemplar_reasoning(F.lit(ex["query"]), EXEMPLAR_TEXT[style])
+        turns.append(_message("user", fill(user, consts)))
+        turns.append(_message("assistant", fill(assistant, consts)))
     turns.append(_message("user", fill(user, own)))
     return examples.withColumn("messages", F.array(*turns))
 
 
-def exemplar_reasoning(query: Column, style: str) -> Column:
-    """Reasoning text derived from a query: its connected path, or its relation list."""
-    path = strip_blank(F.substring_index(query, "RETURN", 1))
-    if style == "holistic":
-        return F.concat(
-            F.lit("1. Connected path: "), path,
-            F.lit("\n2. Filters/return as in the query.\n"
-                  "3. Cypher preserves the full connected path in a single MATCH."),
-        )
-    if style == "holistic_pole":
-        return F.concat(
-            F.lit("1. Connected path: "), path,
-            F.lit("\n2. Filters are inline in the path above; return/count as in the query.\n"
-                  "3. Cypher keeps the whole connected path in a single MATCH."),
-        )
+def exemplar_reasoning(query: Column, template: str) -> Column:
+    """A reasoning template filled with what a query shows: its path, and its relations in order."""
     rels = F.regexp_extract_all(query, F.lit(REL_ORDERED), 1)
-    n = F.size(rels).cast("string")
-    chain = F.when(F.size(rels) > 0, F.concat_ws(" -> ", rels)).otherwise("(none)")
-    return F.concat(
-        F.lit("1. Relationships needed ("), n, F.lit("): "), chain,
-        F.lit("\n2. Connected path: "), path,
-        F.lit("\n3. Filters are inline; return/count as in the query.\n4. Cypher uses exactly those "),
-        n, F.lit(" relationships in one connected MATCH."),
-    )
+    return fill(template, {
+        "path": strip_blank(F.substring_index(query, "RETURN", 1)),
+        "n": F.size(rels).cast("string"),
+        "chain": F.when(F.size(rels) > 0, F.concat_ws(" -> ", rels)).otherwise("(none)"),
+    })
 
 
 def with_exemplar_reasoning(traces: DataFrame, query_col: str, style: str, out: str = "derived") -> DataFrame:
-    return traces.withColumn(out, exemplar_reasoning(F.col(query_col), style))
+    return traces.withColumn(out, exemplar_reasoning(F.col(query_col), EXEMPLAR_TEXT[style]))
 
 
 def sft_rows(
@@ -152,21 +154,29 @@ def sft_rows(
     return traces.withColumn("user", user).withColumn("assistant", target)
 
 
-def loss_spans(rows: DataFrame, text_col: str, marker: str, max_len: int) -> DataFrame:
+def loss_spans(
+    rows: DataFrame, text_col: str, marker: str, max_len: int, full_sequence: bool = False
+) -> DataFrame:
     """Add the token span that carries loss: after the first response marker.
 
-    Tokens are blank-separated words; the row is cut at ``max_len`` tokens
-    first.  Without a marker in what is left, the whole row is masked.
+    Tokens are blank-separated words, and the marker may be several of them; the
+    row is cut at ``max_len`` tokens first.  Without a marker in what is left,
+    the whole row is masked.  ``full_sequence``: every token carries loss.
     """
-    tokens = rows.withColumn("_t", F.slice(words(F.col(text_col)), 1, max_len))
-    at = F.array_position("_t", F.lit(marker))
-    size = F.size("_t")
+    mark = marker.split()
+    tokens = rows.withColumn("_t", F.slice(words(F.col(text_col)), 1, max_len)).withColumn("n_tokens", F.size("_t"))
+    wanted = F.array(*[F.lit(m) for m in mark])
+    starts = F.filter(
+        F.transform("_t", lambda _, i: i),
+        lambda i: (F.get("_t", i) == mark[0]) & (F.slice("_t", i + 1, len(mark)) == wanted),
+    )
+    at = F.lit(0) if full_sequence else F.get(starts, F.lit(0)) + len(mark)
     return (
-        tokens.withColumn("n_tokens", size)
-        .withColumn("loss_from", F.when(at > 0, at.cast("int")).otherwise(size))
-        .withColumn("n_loss", size - F.col("loss_from"))
-        .withColumn("masked", at == 0)
-        .drop("_t")
+        tokens.withColumn("_at", at)
+        .withColumn("loss_from", F.coalesce("_at", "n_tokens"))
+        .withColumn("n_loss", F.col("n_tokens") - F.col("loss_from"))
+        .withColumn("masked", F.col("_at").isNull())
+        .drop("_t", "_at")
     )
 
 
@@ -226,7 +236,10 @@ def format_eval_set(
     query_col: str,
     source_prefix: str,
 ) -> DataFrame:
-    """Test rows as model input: linked question, schema text, split, and data source."""
+    """Test rows as model input: linked question, schema text, split, and data source.
+
+    ``schema_texts`` has one text per graph, so every row comes out once.
+    """
     question = F.coalesce(*[F.when(~is_blank(F.col(c)), F.col(c)) for c in question_cols])
     split = F.coalesce("split", F.lit("unknown"))
     return rows.join(schema_texts.select(graph_col, "schema_text"), graph_col).select(

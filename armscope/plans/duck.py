@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from armscope.functions.text import PUNCT_13A
+
 # Blanks as an RE2 class.
 WS = (
     r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -45,7 +47,7 @@ def tokens_13a(e: str) -> str:
     ]:
         s = f"replace({s}, {old}, {new})"
     s = f"' ' || {s} || ' '"
-    s = rx(s, r"([\x7B-\x7E\x5B-\x60\x20-\x26\x28-\x2B\x3A-\x40/])", r" \1 ")
+    s = rx(s, f"({PUNCT_13A})", r" \1 ")
     s = rx(s, r"([^0-9])([.,])", r"\1 \2 ")
     s = rx(s, r"([.,])([^0-9])", r" \1 \2")
     s = rx(s, r"([0-9])(-)", r"\1 \2 ")
@@ -88,8 +90,9 @@ stat AS (SELECT toks.*, CAST(coalesce(m, 0) AS BIGINT) AS gleu_match,
 
 
 def canon_sql(e: str) -> str:
-    s = rx(f"coalesce({e}, '')", r"--[^\n]*", " ")
-    s = rx(s, r"(?s)/\*.*?\*/", " ")
+    pieces = f"regexp_extract_all(coalesce({e}, ''), '(?s)''[^'']*''|--[^\\n]*|/\\*.*?\\*/|.')"
+    comment = "starts_with(p, '--') OR starts_with(p, '/*')"
+    s = f"array_to_string(list_transform({pieces}, lambda p: CASE WHEN {comment} THEN ' ' ELSE p END), '')"
     s = rx(strip_blank(s), ";+$", "")
     code = rx(rx("p", '[`"]', '"'), r"(<=|>=|<>|!=|[(),=<>+*/;])", r" \1 ")
     parts = (

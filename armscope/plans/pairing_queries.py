@@ -63,7 +63,7 @@ def attach_schema(spark, sf):
 @query(
     "collect_candidates",
     f"""WITH c AS ({fx.CANDIDATES})
-SELECT instance_id, CAST(floor(cand_idx / 1024) AS BIGINT) AS part, list(candidate ORDER BY cand_idx) AS candidates
+SELECT instance_id, 0::BIGINT AS part, list(candidate ORDER BY cand_idx) AS candidates
 FROM c GROUP BY ALL""",
 )
 def collect_candidates(spark, sf):
@@ -119,8 +119,7 @@ FROM z JOIN n ON n.source = z.split_a LEFT JOIN m ON m.split_a = z.split_a AND m
 )
 def cross_split_overlap(spark, sf):
     docs = fx.read_table(spark, sf, "documents").select("source", "text")
-    splits = [f"src{i}" for i in range(20)]
-    return op.cross_split_overlap(docs, op.question_key(F.col("text")), "source", splits)
+    return op.cross_split_overlap(docs, op.question_key(F.col("text")), "source")
 
 
 def _decon(level: str, key: str) -> str:

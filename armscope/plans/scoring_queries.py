@@ -273,7 +273,7 @@ _BARE = "[; ]+$"
 @query(
     "trace_mismatch_kinds",
     f"""WITH t AS ({fx.TRACES}), f AS (SELECT generated_cypher AS g, cypher AS r,
-  {d.norm_ws('generated_cypher')} AS gn, {d.norm_ws('cypher')} AS rn FROM t WHERE generated_cypher <> cypher)
+  {d.norm_ws('generated_cypher')} AS gn, {d.norm_ws('cypher')} AS rn FROM t WHERE generated_cypher <> cypher AND coalesce(reasoning, '') <> '')
 SELECT CASE WHEN gn = rn THEN 'whitespace' WHEN lower(gn) = lower(rn) THEN 'case'
   WHEN {d.rx('gn', _BARE, '')} = {d.rx('rn', _BARE, '')} THEN 'semicolon'
   WHEN regexp_matches(r, '''[^'']{{200,}}''') AND len(g) < len(r) THEN 'truncated_literal' ELSE 'other' END AS kind,

@@ -125,7 +125,7 @@ def schema_texts(spark, sf):
     return gs.graph_schema_text(nodes, gs.property_table(parsed), gs.relation_table(parsed), owned)
 
 
-SCHEMA_TEXT_SQL = """SELECT CAST(c_custkey AS STRING) AS graph_id, 0::BIGINT AS part, 'Node properties:' || chr(10) || '- **Person** (' || c_name || ')' || chr(10)
+SCHEMA_TEXT_SQL = """SELECT CAST(c_custkey AS STRING) AS graph_id, 'Node properties:' || chr(10) || '- **Person** (' || c_name || ')' || chr(10)
   || '  - `age`: INTEGER' || chr(10) || '  - `code`: STRING' || chr(10) || '  - `nhs_no`: STRING' || chr(10) || '- **Area** (Areas)' || chr(10) || chr(10)
   || 'Relationship types:' || chr(10) || '- **Person** -[:LIVES_IN]-> **Area** (' || c_mktsegment || ')' AS schema_text FROM customer"""
 

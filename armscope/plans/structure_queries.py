@@ -50,7 +50,7 @@ ONE_HOP_SQL = f"""
 WITH p AS ({P}), w AS (SELECT a.instance_id, a.{REF} AS r, a.schema_text, a.{PRED} AS pd, b.{PRED} AS pc
   FROM p a JOIN p b ON a.instance_id = b.instance_id WHERE a.arm = 'direct' AND b.arm = 'cot'),
 one AS (SELECT *, {d.relations('r')}[1] AS rel_type, regexp_extract_all(r, '\\(\\s*[a-zA-Z_]?\\w*\\s*:\\s*([A-Za-z_]\\w*)', 1) AS lb
-  FROM w WHERE upper(r) NOT LIKE '% UNION %' AND upper(r) NOT LIKE '%UNION ALL%'
+  FROM w WHERE NOT regexp_matches(r, '(?i)\\bUNION\\b')
   AND {d.count_rx('r', r'(?i)\bOPTIONAL\s+MATCH\b')} = 0 AND {d.count_rx('r', r'(?i)\bMATCH\b')} = 1
   AND {d.count_rx('r', r'-\[')} = 1 AND regexp_extract(r, '-\\[[^\\]]*\\]', 0) NOT LIKE '%*%'),
 dc AS ({decl_sql('SELECT * FROM one', 'instance_id')}),
@@ -207,8 +207,12 @@ def subpath_board(spark, sf):
 
 
 PLAN_SQL = f"""
-WITH p AS ({P}), l AS (SELECT instance_id, arm, reasoning, unnest(list_distinct(list_filter({d.relations(REF)},
-  lambda x: NOT list_contains({d.relations(PRED)}, x)))) AS rel FROM p WHERE arm = 'cot')
+WITH p AS ({P}), c AS (SELECT * FROM p WHERE arm = 'cot'),
+r AS (SELECT instance_id, arm, reasoning, unnest({d.relations(REF)}) AS rel FROM c),
+q AS (SELECT instance_id, unnest({d.relations(PRED)}) AS rel FROM c),
+n AS (SELECT instance_id, arm, reasoning, rel, count(*) AS n_ref FROM r GROUP BY ALL),
+m AS (SELECT instance_id, rel, count(*) AS n_pred FROM q GROUP BY ALL),
+l AS (SELECT n.*, unnest(range(0, greatest(n_ref - coalesce(n_pred, 0), 0))) AS i FROM n LEFT JOIN m USING (instance_id, rel))
 SELECT instance_id, arm, rel, NOT regexp_matches(reasoning, '(^|\\W)' || rel || '(\\W|$)') AS absent_from_plan FROM l"""
 
 

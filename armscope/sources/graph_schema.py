@@ -12,9 +12,6 @@ SCHEMA_JSON = (
     "reverse_description: STRING>>"
 )
 
-#: Lines joined into one piece of a schema text; longer schemas give more pieces.
-LINES_PER_PART = 2000
-
 
 def parse_schemas(schemas: DataFrame, json_col: str = "schema_json") -> DataFrame:
     """Typed columns ``classes``, ``properties`` and ``relations`` of a JSON schema."""
@@ -94,33 +91,10 @@ def graph_schema_text(
 
 
 def join_lines(lines: DataFrame, graph: str, order: list[str]) -> DataFrame:
-    """Lines of every graph as text, in pieces of bounded length.
-
-    An ordinary graph has one text, ``part`` 0.  A graph with a section longer
-    than LINES_PER_PART lines comes as numbered pieces in reading order, so no
-    group grows without bound.
-    """
-    sec, pos = order[0], order[1]
-    span = F.floor(F.col(pos) / F.lit(LINES_PER_PART)).cast("bigint")
-    pieces = lines.groupBy(graph, F.col(sec).alias("sec"), span.alias("span")).agg(
-        F.array_sort(F.collect_list(F.struct(*order[1:], "line"))).alias("ls")
-    ).select(
-        graph, "sec", "span",
-        F.concat_ws("\n", F.transform("ls", lambda x: x["line"])).alias("text"),
-    )
-    widest = pieces.groupBy(graph).agg(F.max("span").alias("_w"))
-    part = F.when(F.col("_w") == 0, F.lit(0).cast("bigint")).otherwise(
-        F.shiftleft(F.col("sec").cast("bigint"), 40) + F.col("span")
-    )
-    return (
-        pieces.join(widest, graph)
-        .groupBy(graph, part.alias("part"))
-        .agg(F.array_sort(F.collect_list(F.struct("sec", "text"))).alias("secs"))
-        .select(
-            graph, "part",
-            F.concat_ws("\n", F.transform("secs", lambda x: x["text"])).alias("schema_text"),
-        )
-    )
+    """Lines of every graph as one text, whatever their number: it is one prompt."""
+    return lines.groupBy(graph).agg(
+        F.sort_array(F.collect_list(F.struct(*order, "line"))).alias("_l")
+    ).select(graph, F.array_join(F.transform("_l", lambda x: x["line"]), "\n").alias("schema_text"))
 
 
 def relational_schema_text(schemas: DataFrame, text_col: str, fk_col: str) -> DataFrame:

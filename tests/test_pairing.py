@@ -38,17 +38,23 @@ def test_decontaminate(spark):
 
 def test_overlap_matrix(spark):
     df = spark.createDataFrame([("a", "s"), ("b", "s"), ("b", "t"), ("b", "t"), ("c", "u")], "k string, sp string")
-    got = {(r["split_a"], r["split_b"]): r["n_shared"] for r in pairing.cross_split_overlap(df, F.col("k"), "sp", ["s", "t", "u"]).collect()}
+    got = {(r["split_a"], r["split_b"]): r["n_shared"] for r in pairing.cross_split_overlap(df, F.col("k"), "sp").collect()}
     assert got[("s", "s")] == 2 and got[("t", "t")] == 1 and got[("s", "t")] == got[("t", "s")] == 1 and got[("s", "u")] == 0
     assert len(got) == 9
 
 
-def test_candidates_in_sample_order_and_in_parts(spark):
-    n = pairing.CANDIDATES_PER_PART
-    df = spark.range(2 * n + 3).select(F.lit("1").alias("id"), F.col("id").alias("idx"), F.col("id").cast("string").alias("t"))
-    rows = pairing.collect_candidates(df.orderBy(F.desc("idx")), "id", "idx", "t").orderBy("part").collect()
-    assert [len(r["candidates"]) for r in rows] == [n, n, 3]
-    assert sum((r["candidates"] for r in rows), []) == [str(i) for i in range(2 * n + 3)]
+def test_candidates_in_sample_order(spark):
+    df = spark.range(2051).select(F.lit("1").alias("id"), F.col("id").alias("idx"), F.col("id").cast("string").alias("t"))
+    whole = pairing.collect_candidates(df.orderBy(F.desc("idx")), "id", "idx", "t").collect()
+    assert [r["candidates"] for r in whole] == [[str(i) for i in range(2051)]]
+    parts = pairing.collect_candidates(df, "id", "idx", "t", width=1000).orderBy("part").collect()
+    assert [len(r["candidates"]) for r in parts] == [1000, 1000, 51]
+
+
+def test_a_further_split_and_a_missing_one_count(spark):
+    df = spark.createDataFrame([(str(i % 3), f"s{i}" if i else None) for i in range(70)], "k string, sp string")
+    got = pairing.cross_split_overlap(df, F.col("k"), "sp").collect()
+    assert len(got) == 70 * 70 and {r["split_a"] for r in got} >= {"unknown", "s69"}
 
 
 def test_seen_unseen(spark):

@@ -17,16 +17,28 @@ def numpy_interval(d, c, reps=4000):
 
 
 def test_both_methods_agree_with_numpy(spark):
-    pairs = flags(spark, 120, 60, 100, 220)
+    pairs = flags(spark, 120, 60, 100, 220).withColumn("id", F.monotonically_increasing_id())
     d = np.array([1] * 120 + [0] * 60 + [1] * 100 + [0] * 220)
     c = np.array([1] * 180 + [0] * 320)
     lo, hi = numpy_interval(d, c)
-    for method in ("counts", "index"):
-        row = stats.bootstrap_binary(pairs, "d", "c", 4000, method=method).first()
+    for key in (None, "id"):
+        row = stats.bootstrap_binary(pairs, "d", "c", 4000, key=key).first()
         assert abs(row["delta"] + 0.08) < 1e-12 and row["n"] == 500
         assert abs(row["lo"] - lo) < 0.006 and abs(row["hi"] - hi) < 0.006
 
 
+def test_draws_are_even_and_independent(spark):
+    """Every block is drawn about equally often, and two places of a replicate agree as often as chance has it."""
+    rows = spark.range(400).selectExpr("id AS b", "explode(sequence(0, 1023)) AS j").select(
+        "b", "j", stats.drawn_block(F.col("b"), F.col("j")).alias("k")
+    ).toPandas()
+    counts = np.bincount(rows["k"], minlength=stats.BLOCKS)
+    assert abs(counts.std() / 20 - 1) < 0.1 and counts.min() > 300
+    table = rows.pivot(index="b", columns="j", values="k").to_numpy()
+    assert abs((table[:, 1:] == table[:, :-1]).mean() * stats.BLOCKS - 1) < 0.15
+    assert abs((table[1:] == table[:-1]).mean() * stats.BLOCKS - 1) < 0.15
+
+
 def test_same_seed_same_interval(spark):
     pairs = flags(spark, 10, 5, 9, 20)
     one, two = (stats.bootstrap_binary(pairs.repartition(k), "d", "c", 300).first() for k in (1, 7))
@@ -49,19 +61,9 @@ def test_ratio_methods_agree_with_numpy(spark):
     s = x[idx].sum(axis=1)
     lo, hi = np.percentile(s[:, 2] / s[:, 3] - s[:, 0] / s[:, 1], [2.5, 97.5])
     t = x.sum(axis=0)
-    by_index = stats.bootstrap_ratio(df, "id", replicates=1500).first()
-    by_shard = stats.bootstrap_shards(df, replicates=3000, rows_per_shard=50).first()
-    for row in (by_index, by_shard):
-        assert abs(row["delta"] - (t[2] / t[3] - t[0] / t[1])) < 1e-12 and row["n"] == 400
-        assert abs(row["lo"] - lo) < 0.004 and abs(row["hi"] - hi) < 0.004
-
-
-def test_shards_with_one_hot_statistic(spark):
-    """A third of the pairs share one tuple: it is a single weighted row."""
-    _, df = ratio_pairs(spark, 200)
-    hot = spark.range(100).select(F.concat(F.lit("h"), "id").alias("id"), *[F.lit(v).cast("long").alias(n) for n, v in (("m_d", 5), ("a_d", 20), ("m_c", 4), ("a_c", 20))])
-    row = stats.bootstrap_shards(df.unionByName(hot), replicates=500, rows_per_shard=50).first()
-    assert row["n"] == 300 and row["lo"] < row["delta"] < row["hi"]
+    row = stats.bootstrap_ratio(df, "id", replicates=3000).first()
+    assert abs(row["delta"] - (t[2] / t[3] - t[0] / t[1])) < 1e-12 and row["n"] == 400
+    assert abs(row["lo"] - lo) < 0.004 and abs(row["hi"] - hi) < 0.004
 
 
 def test_dense_index_and_running_total(spark):

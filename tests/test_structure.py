@@ -106,3 +106,22 @@ def test_forward_requests_hide_the_reference(spark):
     msgs = training.request_messages(df, "forward", "sys", [{"schema": "s", "question": "q", "query": "MATCH (e) RETURN e", "reasoning": "r"}]).first()["messages"]
     assert [m["role"] for m in msgs] == ["system", "user", "assistant", "user"]
     assert "secret" not in str(msgs[-1]) and "MATCH (e)" in msgs[2]["content"]
+
+
+def test_a_hop_lost_once_of_two_is_lost_once(spark):
+    df = spark.createDataFrame([("1", q("K"), q("K", "K"), "uses K.L"), ("2", q("K"), q("S", "K", "S"), "only K")], "id string, p string, r string, w string")
+    got = sorted((r["id"], r["rel"], r["absent_from_plan"]) for r in structure.plan_vs_query(df, ["id"], "p", "r", "w").collect())
+    assert got == [("1", "K", False), ("2", "S", True), ("2", "S", True)]
+
+
+def test_union_at_a_line_end_is_no_single_hop(spark):
+    df = spark.createDataFrame([("MATCH (a)-[:R]->(b) RETURN a\nUNION\nRETURN 1",), ("MATCH (a)-[:R]->(b) RETURN a",)], "r string")
+    assert [r[0] for r in df.select(g.is_one_hop(F.col("r"))).collect()] == [False, True]
+
+
+def test_loss_after_a_marker_of_two_words_and_full_sequence(spark):
+    df = spark.createDataFrame([("a Cypher b Cypher output: c d",), ("no marker",)], "t string")
+    rows = training.loss_spans(df, "t", "Cypher output:", 100).collect()
+    assert [(r["loss_from"], r["n_loss"], r["masked"]) for r in rows] == [(5, 2, False), (2, 0, True)]
+    rows = training.loss_spans(df, "t", "Cypher output:", 100, full_sequence=True).collect()
+    assert [(r["loss_from"], r["n_loss"], r["masked"]) for r in rows] == [(0, 7, False), (0, 2, False)]

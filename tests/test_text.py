@@ -133,6 +133,20 @@ def test_arm_delta_missing_side_is_zero(spark):
 def test_mismatch_kinds(spark):
     rows = [("MATCH  (n)", "MATCH (n)"), ("match (n)", "MATCH (n)"), ("MATCH (n);", "MATCH (n)"),
             ("a 'x'", "a '" + "x" * 250 + "'"), ("foo", "bar"), ("same", "same")]
-    df = spark.createDataFrame(rows, "g string, r string")
+    # A failed trace is no mismatch.
+    rows = [(*r, "because") for r in rows] + [("foo", "bar", ""), ("foo", "bar", None)]
+    df = spark.createDataFrame(rows, "g string, r string, reasoning string")
     got = {r["kind"]: r["n"] for r in scoring.trace_mismatch_kinds(df, "g", "r").collect()}
     assert got == {"whitespace": 1, "case": 1, "semicolon": 1, "truncated_literal": 1, "other": 1}
+
+
+def test_both_forms_of_the_13a_class_take_the_same_characters(spark):
+    chars = [chr(i) for i in range(1, 0x250)]
+    df = spark.createDataFrame([(c,) for c in chars], "c string")
+    plain, listed = (df.select(F.regexp_like("c", F.lit(p))).collect() for p in (tx.PUNCT_13A, tx.PUNCT_13A_LISTED))
+    assert plain == listed and sum(r[0] for r in plain) == 30
+
+
+def test_canon_sql_keeps_literals_that_look_like_comments(spark):
+    got = column(spark, ["x = 'k--1'", "x = 'k--2'", "x = 'a/*b*/c'", "x = 'ac'", "x=1 -- c", "X = 1 /* '*/", "a 'it''s --' b"], tx.canon_sql)
+    assert got[0] != got[1] and got[2] != got[3] and got[4] == got[5] == "x = 1" and got[6] == "a'it''s --'b"
