@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from armscope.llm.common import free_name
+from armscope.llm.common import free_name, stored
 
 #: Lines on more than this share of a host's pages go.
 RATIO = 0.1
@@ -72,7 +72,8 @@ def drop_boilerplate(
     is small, and otherwise splits the hot host in a sort-merge join.
     """
     key, lines = free_name(pages, "_host"), free_name(pages, "_lines")
-    found = boilerplate(pages, host, text, ratio, min_pages).select(
+    # Written first: the join then sees a table, not the aggregate by host whose dealing it would keep.
+    found = stored(boilerplate(pages, host, text, ratio, min_pages), "boilerplate").select(
         F.col("host").alias(key), F.col("lines").alias(lines)
     )
     joined = pages.drop(dropped).withColumn(key, _host(host)).join(found, key, "left")
