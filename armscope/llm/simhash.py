@@ -248,6 +248,8 @@ def near_duplicates(
     smallest = points.join(moved, "print", "left").select(
         "print", F.coalesce("component_id", "first").alias("component_id")
     )
+    # Written first: the last join then deals both sides itself and can split the fingerprint of many copies.
+    smallest = stored(smallest, "components")
     return prints.join(smallest, "print", "left").select(
         F.col("id").alias(doc_id), hex_of(F.col("print")).alias("fingerprint"), "component_id"
     )
