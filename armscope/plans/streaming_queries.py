@@ -27,7 +27,10 @@ RECORD = T.StructType(
 
 
 def folder(spark, sf):
-    """(records as JSON-lines files, an empty folder): every id occurs in both arms."""
+    """(records as JSON-lines files, an empty folder): every id occurs in both arms, the direct arm is older.
+
+    Every 17th record is followed by a broken copy of its line.
+    """
     base = work_dir(spark, "stream")
     preds = fx.predictions(spark, sf)
     rows = preds.select(
@@ -37,18 +40,32 @@ def folder(spark, sf):
         F.length("question").cast("bigint").alias("prompt_tokens"),
         F.length("predicted_cypher").cast("bigint").alias("completion_tokens"),
     )
-    rows.write.mode("overwrite").option("maxRecordsPerFile", 50_000).json(f"{base}/in")
+    line = F.to_json(F.struct(*[f.name for f in RECORD.fields]))
+    lines = F.when(F.col("seq") % 34 < 2, F.array(line, F.substr(line, F.lit(1), F.length(line) - 2))).otherwise(F.array(line))
+    for arm in ("direct", "cot"):
+        part = rows.filter(F.col("arm") == arm).select(F.explode(lines).alias("value"))
+        part.write.mode("append").option("maxRecordsPerFile", 50_000).text(f"{base}/in")
     return op.record_stream(spark, f"{base}/in", RECORD, files_per_batch=2), base
 
 
 @query(
     "stream_first",
-    f"WITH p AS ({fx.PREDICTIONS}) SELECT DISTINCT instance_id, db_name FROM p",
+    f"WITH p AS ({fx.PREDICTIONS}) SELECT instance_id, arm, k * 2 AS seq, db_name, reasoning FROM p WHERE arm = 'direct'",
 )
 def stream_first(spark, sf):
     records, base = folder(spark, sf)
     op.stream_first(records, f"{base}/out", f"{base}/state").awaitTermination()
-    return spark.read.schema(RECORD).parquet(f"{base}/out").select("instance_id", "db_name")
+    return op.read_first(spark, f"{base}/out").select("instance_id", "arm", "seq", "db_name", "reasoning")
+
+
+@query(
+    "stream_bad_lines",
+    f"WITH p AS ({fx.PREDICTIONS}) SELECT count(*) AS n FROM p WHERE (k * 2 + CASE WHEN arm = 'cot' THEN 1 ELSE 0 END) % 34 < 2",
+)
+def stream_bad_lines(spark, sf):
+    records, base = folder(spark, sf)
+    op.stream_bad_lines(records, f"{base}/bad", f"{base}/state").awaitTermination()
+    return spark.read.parquet(f"{base}/bad").agg(F.count("line").alias("n"))
 
 
 @query(

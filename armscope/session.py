@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def build_session(app: str = "armscope", master: str | None = None, **conf: str) -> SparkSession:
@@ -31,30 +29,14 @@ def build_session(app: str = "armscope", master: str | None = None, **conf: str)
 
 
 def work_dir(spark: SparkSession, label: str) -> str:
-    """A fresh folder for written tables and stream checkpoints.
+    """A fresh folder for files that a query writes and reads again.
 
     It lies under ``spark.checkpoint.dir``, which a cluster points at shared
-    storage.  Only a session without that setting (local tests) gets a
-    temporary folder.
+    storage, or else under the warehouse, which executors share as well.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a shared folder on a cluster")
-        return tempfile.mkdtemp(prefix=f"armscope-{label}-")
-    return os.path.join(root, f"{label}-{uuid.uuid4().hex}") if "://" not in root else (
-        f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
+        "spark.checkpoint.dir", None
     )
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """The table written once under ``work_dir`` and read back.
-
-    For a narrow result of heavy work that several branches of one job read.
-    It survives lost executors, unlike cached blocks.
-    """
-    path = work_dir(df.sparkSession, label)
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if not root:
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/armscope-work"
+    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -48,7 +48,12 @@ def read_split_csv(
     id_col: str = "id",
     int_cols: Sequence[str] = ("num_nodes",),
 ) -> DataFrame:
-    """Several CSV files as one table; an id found twice keeps its first file's row."""
+    """Several CSV files as one table; an id found twice keeps its first row.
+
+    First means: path in the given order, then file, then place in the file.  A
+    quoted field may hold line breaks, so a file is read by one task: pass many
+    files rather than a huge one.
+    """
     schema = ", ".join(f"`{c}` STRING" for c in columns)
     merged = None
     for rank, path in enumerate(paths):
@@ -59,12 +64,13 @@ def read_split_csv(
             .option("quote", '"')
             .option("escape", '"')
             .csv(path)
-            .withColumn("_file", F.lit(rank))
+            .select("*", F.lit(rank).alias("_rank"), F.col("_metadata.file_path").alias("_file"),
+                    F.col("_metadata.file_block_start").alias("_block"))
         )
         merged = part if merged is None else merged.unionByName(part)
-    # Rows of one file keep their reading order inside their partition.
+    # Rows of one block are in one partition, where this number follows their order.
     ranked = merged.withColumn("_row", F.monotonically_increasing_id())
-    return first_per_id(ranked, id_col, F.struct("_file", "_row")).select(
+    return first_per_id(ranked, id_col, F.struct("_rank", "_file", "_block", "_row")).select(
         *[F.col(c).cast("int").alias(c) if c in int_cols else F.col(c) for c in columns]
     )
 
@@ -134,3 +140,8 @@ def nested_metrics(board: DataFrame, group_col: str, metrics: Sequence[str]) ->
         F.max(F.when(F.col(group_col).isNull(), F.col(m))).alias(m) for m in metrics
     ]
     return board.agg(*overall, groups.alias("per_group"))
+
+
+def write_nested_metrics(board: DataFrame, group_col: str, metrics: Sequence[str], path: str) -> None:
+    """The nested form as a JSON file: the overall metrics, and one object per group under ``per_group``."""
+    nested_metrics(board, group_col, metrics).coalesce(1).write.mode("overwrite").json(path)
