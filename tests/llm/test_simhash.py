@@ -104,8 +104,52 @@ def test_empty_and_null_ids(spark, docs_of):
     assert sorted((r["doc_id"] or -1, r["component_id"]) for r in rows) == [(-1, 1), (1, 1), (2, 2)]
 
 
+def jaccard(a, b, k=5):
+    def grams(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))}
+
+    x, y = grams(a), grams(b)
+    return len(x & y) / len(x | y)
+
+
+def test_near_copies_go_and_others_stay(spark, docs_of):
+    """Copies with single words changed, at a similarity of 0.8 and more, against texts that share half."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(4000)]
+    texts, near = [], 0
+    for base in range(60):
+        origin = [rng.choice(words) for _ in range(rng.randint(120, 600))]
+        texts.append(" ".join(origin))
+        for share in (0.0, 0.004, 0.01, 0.018):
+            copy = list(origin)
+            for _ in range(int(share * len(copy))):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            text = " ".join(copy)
+            if jaccard(texts[base * 6], text) >= 0.8:
+                near += 1
+            texts.append(text)
+        texts.append(" ".join(origin[: len(origin) // 2] + [rng.choice(words) for _ in range(len(origin) // 2)]))
+    kept = {r["doc_id"] for r in simhash.keep_first(docs_of(texts)).collect()}
+    origins, halves = {i * 6 for i in range(60)}, {i * 6 + 5 for i in range(60)}
+    assert origins <= kept and halves <= kept
+    gone = len(texts) - len(kept)
+    assert near > 150 and gone >= 0.95 * near
+
+
+def test_dense_near_copies_are_one_group(spark, docs_of):
+    rng = random.Random(9)
+    origin = [f"w{rng.randrange(3000)}" for _ in range(400)]
+    texts = []
+    for i in range(400):
+        copy = list(origin)
+        copy[rng.randrange(400)] = f"x{i}"
+        texts.append(" ".join(copy))
+    assert simhash.similar_documents(docs_of(texts)).select("component_id").distinct().count() == 1
+
+
 def test_keep_first(docs_of):
-    docs = docs_of(["a b c d e", "A b c d e", "q r s t", None, ""], clash=True)
+    docs = docs_of(["a b c d e f", "A b c d e f", "q r s t", None, ""], clash=True)
     kept = simhash.keep_first(docs)
     assert kept.columns == docs.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2, 3]
