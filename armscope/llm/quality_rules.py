@@ -227,22 +227,22 @@ def base_failed(f: Column) -> Column:
 
 
 def judged(
-    docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, threshold: float = 0.5, narrow: list[str] | None = None,
+    docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, threshold: float = 0.5, keep: list[str] | None = None,
 ) -> DataFrame:
-    """``docs`` (or its columns ``narrow``) plus _f, votes, base_failed, posterior and kept.
+    """The columns ``keep`` of ``docs`` (by default all) plus _f, votes, base_failed, posterior and kept.
 
     A row is kept if it is not base_failed and its posterior reaches
     ``threshold``.  Null, empty and blank texts have no words and are
     base_failed.  Repeated rows count and are judged alike; an empty table gives no
-    rows.  With ``narrow`` the counts are written once and both passes read them;
-    without it the texts are read twice, once to fit and once to judge.
-    Columns of ``docs`` with one of the added names are replaced.
+    rows.  Columns of ``docs`` with one of the added names are replaced.
+
+    The counts are written once beside the kept columns: the fit and the verdict
+    read them there, and a filter on the verdict is not pushed into the counting.
     """
     added = {"_f", "votes", "base_failed", "posterior", "kept"}
     base = docs.select(*[c for c in docs.columns if c.lower() not in added])
-    counted = with_features(base, text)
-    if narrow is not None:
-        counted = stored(counted.select(*narrow, "_f"), "features")
+    kept = [c for c in (base.columns if keep is None else keep) if c.lower() not in added]
+    counted = stored(with_features(base, text).select(*kept, "_f"), "features")
     voted = counted.withColumn("votes", votes(F.col("_f"), rules))
     patterns = stored(voted.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).coalesce(1), "patterns")
     model = fit(patterns, rules)

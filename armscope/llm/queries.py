@@ -212,7 +212,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op10_weak_quality_rules")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base rule and posterior verdict of every document."""
-    judged = quality_rules.judged(table(spark, sf_dir, "documents"), narrow=["doc_id"])
+    judged = quality_rules.judged(table(spark, sf_dir, "documents"), keep=["doc_id"])
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return judged.select(
         "doc_id", *[F.col(f"_f.{n}").alias(n) for n in names], "base_failed", "kept", F.round("posterior", 6).alias("posterior")

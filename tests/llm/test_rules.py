@@ -37,7 +37,7 @@ def test_counts_on_documents(spark):
 
 def test_verdicts_follow_the_labels(spark):
     sf = "/root/testdata/sf0.1"
-    judged = rules.judged(spark.read.parquet(f"{sf}/documents.parquet"), narrow=["doc_id"])
+    judged = rules.judged(spark.read.parquet(f"{sf}/documents.parquet"), keep=["doc_id"])
     rows = judged.join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("NOT base_failed").select("quality", "kept").collect()
     bad, good = [r["kept"] for r in rows if r["quality"] == 0], [r["kept"] for r in rows if r["quality"] == 1]
     assert sum(good) / len(good) > 0.99 and sum(bad) / len(bad) < 0.05
