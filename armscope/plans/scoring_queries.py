@@ -93,9 +93,7 @@ def corpus_gleu_predictions(spark, sf):
     return op.corpus_gleu(stats, ["arm"], "data_source")
 
 
-@query(
-    "normalized_em_ladder",
-    f"""WITH p AS ({fx.SQL_PREDICTIONS}), k AS (SELECT arm, sql_complexity,
+LADDER_SQL = f"""WITH p AS ({fx.SQL_PREDICTIONS}), k AS (SELECT arm, sql_complexity,
   {d.raw_key('predicted_sql')} = {d.raw_key('reference_sql')} AS r,
   {d.norm_key('predicted_sql')} = {d.norm_key('reference_sql')} AS n,
   coalesce({d.canon_sql('predicted_sql')} = {d.canon_sql('reference_sql')}, false) AS c,
@@ -103,8 +101,10 @@ def corpus_gleu_predictions(spark, sf):
   FROM p)
 SELECT arm, sql_complexity, count(*) AS n, {d.rate('r')} AS raw_em, {d.rate('k.n')} AS norm_em,
   {d.rate('c')} AS canon_em, {d.rate('ok')} AS ref_parse_rate
-FROM k GROUP BY GROUPING SETS ((arm), (arm, sql_complexity))""",
-)
+FROM k GROUP BY GROUPING SETS ((arm), (arm, sql_complexity))"""
+
+
+@query("normalized_em_ladder", LADDER_SQL)
 def normalized_em_ladder(spark, sf):
     return op.normalized_em_ladder(
         fx.fixture(spark, sf, fx.SQL_PREDICTIONS), ["arm"], "sql_complexity", "predicted_sql", "reference_sql"
@@ -115,6 +115,24 @@ BUCKET = """CASE WHEN len(reference_cypher) < 50 THEN '0-50' WHEN len(reference_
   WHEN len(reference_cypher) < 200 THEN '100-200' WHEN len(reference_cypher) < 500 THEN '200-500' ELSE '500+' END"""
 
 
+_LADDER_METRICS = ["raw_em", "norm_em", "canon_em"]
+
+
+def _delta_sql(m: str) -> str:
+    side = lambda arm: f"coalesce(max(CASE WHEN arm = '{arm}' THEN {m} END), 0.0::DOUBLE)"
+    return f"{side('direct')} AS direct_{m}, {side('cot')} AS cot_{m}, {side('cot')} - {side('direct')} AS delta_{m}"
+
+
+@query(
+    "arm_delta_ladder",
+    f"""WITH lb AS ({LADDER_SQL}) SELECT sql_complexity, {", ".join(_delta_sql(m) for m in _LADDER_METRICS)}
+FROM lb GROUP BY sql_complexity""",
+)
+def arm_delta_ladder(spark, sf):
+    """Delta of raw, normalised and canonical EM, overall (complexity null) and per complexity."""
+    return op.arm_delta(normalized_em_ladder(spark, sf), "sql_complexity", _LADDER_METRICS)
+
+
 @query(
     "complexity_buckets",
     f"""WITH p AS ({P})

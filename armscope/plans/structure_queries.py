@@ -11,6 +11,7 @@ from armscope.operators.scoring import return_part
 from armscope.plans import duck as d
 from armscope.plans import fixtures as fx
 from armscope.plans.registry import query
+from armscope.plans.result_queries import OUTCOMES_SQL, outcomes
 
 P = fx.PREDICTIONS
 PRED, REF = "predicted_cypher", "reference_cypher"
@@ -66,6 +67,35 @@ oh AS (SELECT one.instance_id, CAST(ambiguity AS INT) AS ambiguity, rel_type, [l
 """
 
 
+# Verdicts of the orders whose number is the instance's: not every instance was executed.
+ONE_HOP_EXEC_SQL = (
+    OUTCOMES_SQL.rstrip() + "," + ONE_HOP_SQL.strip().removeprefix("WITH").replace("oh AS (", "oh0 AS (")
+    + """, oh AS (SELECT oh0.*, x.exec_match::INT AS direct_exec, y.exec_match::INT AS cot_exec FROM oh0
+  LEFT JOIN (SELECT * FROM outc WHERE arm = 'direct') x ON x.instance_id = oh0.instance_id
+  LEFT JOIN (SELECT * FROM outc WHERE arm = 'cot') y ON y.instance_id = oh0.instance_id)"""
+)
+
+
+@query(
+    "ambiguity_exec_board",
+    ONE_HOP_EXEC_SQL
+    + """ SELECT CAST(least(ambiguity, 4) AS INT) AS ambiguity, count(*) AS n, count(direct_exec) AS n_exec,
+  avg(direct_exec::DOUBLE) AS direct_exec, avg(cot_exec::DOUBLE) AS cot_exec, avg(cot_exec::DOUBLE) - avg(direct_exec::DOUBLE) AS delta_exec
+FROM oh GROUP BY 1""",
+)
+def ambiguity_exec_board(spark, sf):
+    """Execution match of one-hop questions by ambiguity; n_exec counts those that were executed."""
+    done = outcomes(spark, sf)
+    paired = paired_queries(spark, sf)
+    for arm in ("direct", "cot"):
+        flags = fx.arm(done, arm).select("instance_id", F.col("exec_match").cast("int").alias(f"{arm}_exec"))
+        paired = paired.join(flags, "instance_id", "left")
+    rows = op.one_hop_rows(paired, "instance_id", REF, "schema_text")
+    board = op.ambiguity_board(rows, ["exec"])
+    bucket = F.least(F.col("ambiguity"), F.lit(op.AMBIGUITY_CAP)).alias("ambiguity")
+    return board.join(rows.groupBy(bucket).agg(F.count("direct_exec").alias("n_exec")), "ambiguity")
+
+
 @query("one_hop_rows", ONE_HOP_SQL + "SELECT * REPLACE (array_to_string(labels, ',') AS labels) FROM oh")
 def one_hop_rows(spark, sf):
     return one_hop(spark, sf).withColumn("labels", F.array_join("labels", ","))
