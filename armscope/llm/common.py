@@ -29,7 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
     )
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     own = f"file://{tempfile.mkdtemp(prefix='armscope-')}"
     spark.conf.set("spark.checkpoint.dir", own)
