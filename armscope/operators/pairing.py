@@ -24,17 +24,21 @@ def pair_arms(
 
     Shared columns (schema, question, reference) are equal in both arms, so
     they travel through the shuffle on the direct side only.
-    ``strict`` fails the job at the first id that only one arm has; otherwise
-    only common ids are kept.  Ids are unique in each arm (see latest_per_id).
+    ``strict`` fails the job at the first id that only one arm has, or that an arm
+    has twice; otherwise only common ids are kept.  Ids are unique in each arm
+    (see latest_per_id).
     """
-    d = direct.select(
-        key, *shared, *[F.col(v).alias(f"direct_{v}") for v in values], F.lit(1).alias("_d")
-    )
-    c = cot.select(key, *[F.col(v).alias(f"cot_{v}") for v in values], F.lit(1).alias("_c"))
+    d = direct.select(key, *shared, *[F.col(v).alias(f"direct_{v}") for v in values])
+    c = cot.select(key, *[F.col(v).alias(f"cot_{v}") for v in values])
     if not strict:
-        return d.join(c, key).drop("_d", "_c")
-    both = d.join(c, key, "full_outer")
-    complete = F.col("_d").isNotNull() & F.col("_c").isNotNull()
+        return d.join(c, key)
+
+    def counted(side: DataFrame, n: str) -> DataFrame:
+        """One row per id with its count: the join below deals rows out by the same key."""
+        return side.groupBy(key).agg(F.count("*").alias(n), *[F.first(x).alias(x) for x in side.columns if x != key])
+
+    both = counted(d, "_d").join(counted(c, "_c"), key, "full_outer")
+    complete = (F.coalesce("_d", F.lit(0)) == 1) & (F.coalesce("_c", F.lit(0)) == 1)
     checked = F.when(complete, F.col(key)).otherwise(
         F.raise_error(F.concat(F.lit("join mismatch at id "), F.col(key).cast("string"))).cast(
             both.schema[key].dataType
@@ -47,18 +51,38 @@ def arm_mismatches(
     rows: DataFrame, n_arms: int, key: str = "instance_id", arm_col: str = "arm"
 ) -> DataFrame:
     """Per arm: ids, and ids that some other arm lacks (all zero when matched)."""
-    per_id = rows.select(key, arm_col).distinct()
-    width = per_id.groupBy(key).agg(F.count("*").alias("_w"))
+    per_id = rows.groupBy(key).agg(F.collect_set(arm_col).alias("_arms"))
     return (
-        per_id.join(width, key)
+        per_id.select(F.explode("_arms").alias(arm_col), (F.size("_arms") < n_arms).alias("_short"))
         .groupBy(arm_col)
         .agg(
             F.count("*").alias("n_ids"),
-            F.count(F.when(F.col("_w") < n_arms, 1)).alias("n_unmatched"),
+            F.count(F.when(F.col("_short"), 1)).alias("n_unmatched"),
         )
     )
 
 
+def target_mismatches(
+    rows: DataFrame, key: str = "instance_id", arm_col: str = "arm", prompt: str = "user", target: str = "assistant"
+) -> DataFrame:
+    """One row: ids of both arms, those whose prompts differ, and those whose cot target does not end in the direct one.
+
+    Matched training sets differ in nothing but the target, and there only in what
+    stands before the query.  Prompts travel as digests.
+    """
+    direct, cot = F.col(arm_col) == "direct", F.col(arm_col) == "cot"
+    per_id = rows.groupBy(key).agg(
+        F.countDistinct(arm_col).alias("_arms"),
+        F.countDistinct(text_key(F.col(prompt))).alias("_prompts"),
+        F.max(F.when(direct, F.col(target))).alias("_d"), F.max(F.when(cot, F.col(target))).alias("_c"),
+    ).filter(F.col("_arms") == 2)
+    return per_id.agg(
+        F.count("*").alias("n_ids"),
+        F.count(F.when(F.col("_prompts") != 1, 1)).alias("n_other_prompt"),
+        F.count(F.when(~F.endswith("_c", F.col("_d")), 1)).alias("n_other_query"),
+    )
+
+
 def attach_schema(examples: DataFrame, schemas: DataFrame, db_col: str, text_col: str) -> DataFrame:
     """Examples with their schema text; an unknown or empty schema drops the row.
 

@@ -45,11 +45,20 @@ def result_vote(cands: DataFrame, id_col: str = "instance_id", text_col: str = "
     ``fp`` is null for a candidate that failed: it does not vote.  When all
     failed, the first candidate is returned with ``all_errored``.
     """
-    clusters = cands.groupBy(id_col, "fp").agg(
+    return _voted(result_clusters(cands, id_col, text_col), id_col, [])
+
+
+def result_clusters(cands: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Candidates of an id with the same result: votes, first index, representative (combined before the shuffle)."""
+    return cands.groupBy(id_col, "fp").agg(
         F.count("*").alias("votes"),
         F.min("cand_idx").alias("first_idx"),
         F.min_by(text_col, "cand_idx").alias("_rep"),
     )
+
+
+def _voted(clusters: DataFrame, id_col: str, more: list[Column]) -> DataFrame:
+    """The biggest cluster of every id, and further aggregates of its clusters."""
     ran = F.col("fp").isNotNull()
     rank = _biggest(F.col("votes"), F.col("first_idx"))
     won = clusters.groupBy(id_col).agg(
@@ -57,14 +66,11 @@ def result_vote(cands: DataFrame, id_col: str = "instance_id", text_col: str = "
         F.max_by("fp", F.when(ran, rank)).alias("selected_fp"),
         F.min_by("_rep", "first_idx").alias("_first"),
         F.coalesce(F.sum(F.when(ran, F.col("votes"))), F.lit(0)).alias("n_executed"),
+        *more,
     )
-    return won.select(
-        id_col,
-        F.when(F.col("n_executed") > 0, F.col("_won")).otherwise(F.col("_first")).alias("selected_query"),
-        "selected_fp",
-        "n_executed",
-        (F.col("n_executed") == 0).alias("all_errored"),
-    )
+    return won.withColumn(
+        "selected_query", F.when(F.col("n_executed") > 0, F.col("_won")).otherwise(F.col("_first"))
+    ).withColumn("all_errored", F.col("n_executed") == 0).drop("_won", "_first")
 
 
 def selection_outcomes(
@@ -72,16 +78,17 @@ def selection_outcomes(
 ) -> DataFrame:
     """Verdict of result_vote per instance.
 
-    ``refs`` has id, ``ref_fp`` (null on error) and ``ref_error``.
+    ``refs`` has id, ``ref_fp`` (null on error) and ``ref_error``.  It meets the
+    clusters, a few per id, and never the candidates: the votes of the cluster
+    with the reference's result are the candidates that match it.
     """
-    chosen = result_vote(cands, id_col, text_col)
-    hits = (
-        cands.join(refs.select(id_col, "ref_fp"), id_col)
-        .groupBy(id_col)
-        .agg(F.count(F.when(F.col("fp") == F.col("ref_fp"), 1)).alias("n_candidates_matching_ref"))
+    clusters = result_clusters(cands, id_col, text_col)
+    matching = F.coalesce(F.sum(F.when(F.col("fp") == F.col("ref_fp"), F.col("votes"))), F.lit(0))
+    chosen = _voted(
+        clusters.join(refs.select(id_col, "ref_fp", "ref_error"), id_col), id_col,
+        [matching.alias("n_candidates_matching_ref"), F.first("ref_fp").alias("ref_fp"), F.first("ref_error").alias("ref_error")],
     )
-    joined = refs.join(chosen, id_col).join(hits, id_col)
-    return joined.select(
+    return chosen.select(
         id_col,
         F.coalesce(F.col("selected_fp") == F.col("ref_fp"), F.lit(False)).alias("exec_match"),
         "selected_query",

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from armscope.functions.text import words
 from armscope.operators import training as op
+from armscope.operators.pairing import target_mismatches
 from armscope.plans import duck as d
 from armscope.plans import fixtures as fx
 from armscope.plans.registry import query
@@ -140,6 +141,16 @@ def sft_rows(spark, sf):
     return sft_both(spark, sf)
 
 
+@query(
+    "matched_targets",
+    f"""WITH s AS ({SFT_SQL}), p AS (SELECT a."user" AS ua, b."user" AS ub, a.assistant AS ta, b.assistant AS tb
+  FROM s a JOIN s b ON a.instance_id = b.instance_id WHERE a.arm = 'direct' AND b.arm = 'cot')
+SELECT count(*) AS n_ids, {d.count_if('ua <> ub')} AS n_other_prompt, {d.count_if('NOT ends_with(tb, ta)')} AS n_other_query FROM p""",
+)
+def matched_targets(spark, sf):
+    return target_mismatches(sft_both(spark, sf))
+
+
 MAX_LEN = 400
 _TOKENS = d.words('"user" || chr(10) || \'<answer> \' || assistant')
 

@@ -62,3 +62,18 @@ def test_seen_unseen(spark):
     paired = spark.createDataFrame([("q1", True, False), ("q2", True, True), ("q2", False, True)], "question string, direct_em boolean, cot_em boolean")
     got = {r["seen"]: (r["n"], r["direct_em"], r["cot_em"], r["direct_only"], r["cot_only"]) for r in pairing.seen_unseen_scores(train, paired).collect()}
     assert got == {True: (1, 1.0, 0.0, 1, 0), False: (2, 0.5, 1.0, 0, 1)}
+
+
+def test_strict_pairing_fails_for_an_id_that_an_arm_has_twice(spark):
+    import pytest
+
+    one = spark.createDataFrame([("1", 1), ("2", 1)], "id string, v int")
+    assert pairing.pair_arms(one, one, "id", ["v"], strict=True).count() == 2
+    with pytest.raises(Exception, match="join mismatch at id 2"):
+        pairing.pair_arms(one, one.union(one.filter("id = 2")), "id", ["v"], strict=True).collect()
+
+
+def test_matched_targets(spark):
+    rows = [("1", "direct", "u", "q"), ("1", "cot", "u", "because q"), ("2", "direct", "u", "q"), ("2", "cot", "v", "because r"), ("3", "cot", "u", "q")]
+    df = spark.createDataFrame(rows, "instance_id string, arm string, user string, assistant string")
+    assert tuple(pairing.target_mismatches(df).first()) == (2, 1, 1)
