@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Hex digits of the bucket of a key: 16**3 buckets.
+#: Hex digits of the bucket of a key: 16**3 buckets.  Give one digit more per 16 times the rows.
 BUCKET_DIGITS = 3
 
 
@@ -23,24 +23,24 @@ def order_key(seed: int, key: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), key.cast("string")))
 
 
-def bucket_of(key: Column) -> Column:
+def bucket_of(key: Column, digits: int = BUCKET_DIGITS) -> Column:
     """Even bucket of a key, as the leading hex digits of its digest."""
-    return F.substring(F.md5(key.cast("string")), 1, BUCKET_DIGITS)
+    return F.substring(F.md5(key.cast("string")), 1, digits)
 
 
-def running_total(df: DataFrame, key: str, amount: str, out: str) -> DataFrame:
+def running_total(df: DataFrame, key: str, amount: str, out: str, digits: int = BUCKET_DIGITS) -> DataFrame:
     """Sum of the column ``amount`` over all earlier rows in (bucket, key) order.
 
     No global window: rows are summed inside even buckets, and the bucket
-    totals (at most 16**3 rows, so their window is small by construction) give
-    each bucket its offset.  The input is read by both branches: pass a narrow
+    totals (at most 16**digits rows, so their window is small by construction) give
+    each bucket its offset.  The order, and so the result, depends on ``digits``.  The input is read by both branches: pass a narrow
     table, written first when it is costly.  ``key`` must be unique and
     ``amount`` not negative.
     """
     inside = (
         Window.partitionBy("_b").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     )
-    placed = df.withColumn("_b", bucket_of(F.col(key))).withColumn(
+    placed = df.withColumn("_b", bucket_of(F.col(key), digits)).withColumn(
         "_run", F.coalesce(F.sum(amount).over(inside), F.lit(0))
     )
     totals = placed.groupBy("_b").agg(F.max(F.col("_run") + F.col(amount)).alias("_t"))
@@ -55,6 +55,6 @@ def running_total(df: DataFrame, key: str, amount: str, out: str) -> DataFrame:
     )
 
 
-def dense_index(df: DataFrame, key: str, out: str) -> DataFrame:
+def dense_index(df: DataFrame, key: str, out: str, digits: int = BUCKET_DIGITS) -> DataFrame:
     """0-based position of every row in (bucket, key) order."""
-    return running_total(df.withColumn("_one", F.lit(1).cast("bigint")), key, "_one", out).drop("_one")
+    return running_total(df.withColumn("_one", F.lit(1).cast("bigint")), key, "_one", out, digits).drop("_one")

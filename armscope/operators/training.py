@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from armscope.functions.graphtext import REL_ORDERED
-from armscope.functions.keys import running_total
+from armscope.functions.keys import BUCKET_DIGITS, running_total
 from armscope.functions.text import is_blank, strip_blank, words
 from armscope.operators.parsing import MARKERS
 
@@ -206,7 +206,7 @@ def truncation_report(
 
 
 def pack_blocks(
-    rows: DataFrame, id_col: str, n_tokens: Column, block: int = BLOCK_TOKENS
+    rows: DataFrame, id_col: str, n_tokens: Column, block: int = BLOCK_TOKENS, digits: int = BUCKET_DIGITS
 ) -> DataFrame:
     """Lay all rows end to end and cut the stream into blocks of ``block`` tokens.
 
@@ -215,7 +215,7 @@ def pack_blocks(
     borders are those of one sequential pass in that order.
     """
     sized = rows.select(id_col, n_tokens.cast("bigint").alias("_n")).filter(F.col("_n") > 0)
-    placed = running_total(sized, id_col, "_n", "_from")
+    placed = running_total(sized, id_col, "_n", "_from", digits)
     width = F.lit(block).cast("bigint")
     first = F.floor(F.col("_from") / width)
     last = F.floor((F.col("_from") + F.col("_n") - 1) / width)
