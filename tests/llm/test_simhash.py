@@ -159,3 +159,60 @@ def test_components_of_chain_loops_and_star(spark):
     links = [(i + 1, i) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (None, 3), (200, 201), (201, 200)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 130)}, 200: 200, 201: 200}
+
+
+def with_changes(rng, origin, runs):
+    """A copy with so many runs of five words replaced by new ones, spread out: similarity falls by known steps."""
+    copy = list(origin)
+    for i in range(runs):
+        at = (i + 1) * len(origin) // (runs + 1)
+        copy[at : at + 5] = [f"n{rng.getrandbits(40)}" for _ in range(5)]
+    return copy
+
+
+def test_links_are_exact_on_both_sides_of_the_similarity(spark, docs_of):
+    """Pairs at 0.65 to 0.79 stay and pairs at 0.80 to 0.85 go, of all lengths."""
+    rng = random.Random(12)
+    texts, near, far = [], 0, 0
+    while near < 150 or far < 150:
+        origin = [f"w{rng.randrange(9000)}" for _ in range(rng.choice([60, 150, 300, 700]))]
+        copy = with_changes(rng, origin, rng.randint(1, 20))
+        a, b = " ".join(origin), " ".join(copy)
+        j = jaccard(a, b)
+        if 0.8 <= j <= 0.85 and near < 150:
+            near += 1
+        elif 0.65 <= j < 0.8 and far < 150:
+            far += 1
+        else:
+            continue
+        texts += [a, b]
+    kept = {r["doc_id"] for r in simhash.keep_first(docs_of(texts)).collect()}
+    for i in range(0, len(texts), 2):
+        assert i in kept
+        if jaccard(texts[i], texts[i + 1]) < 0.8:
+            assert i + 1 in kept
+    gone = len(texts) - len(kept)
+    assert gone >= 148  # the grids miss a few in a thousand
+
+
+def test_components_equal_brute_force_where_likely_links_are_false(spark, docs_of):
+    """Short texts, whose fingerprints tell little, and families whose members chain."""
+    rng = random.Random(13)
+    texts = []
+    for _ in range(25):
+        origin = [f"w{rng.randrange(9000)}" for _ in range(rng.choice([12, 16, 40, 200]))]
+        for _ in range(8):
+            texts.append(" ".join(origin))
+            origin = list(origin)
+            origin[rng.choice([0, len(origin) - 1, len(origin) // 2])] = f"n{rng.getrandbits(40)}"
+    low = list(range(len(texts)))
+    for _ in range(len(texts)):
+        before = list(low)
+        for i in range(len(texts)):
+            for k in range(i - i % 8, i):
+                if jaccard(texts[i], texts[k]) >= 0.8:
+                    low[i] = low[k] = min(low[i], low[k])
+        if low == before:
+            break
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs_of(texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == low
