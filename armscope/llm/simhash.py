@@ -286,8 +286,12 @@ def print_links(
     )
 
 
-def _placed(prints: DataFrame, width: int, block: int, group: int, groups: int) -> DataFrame:
-    """Fingerprints dealt by cell and pair of blocks, and sorted by them."""
+def _placed(prints: DataFrame, width: int, block: int, group: int, groups: int, write_full: bool = False) -> DataFrame:
+    """Fingerprints dealt by cell and pair of blocks, and sorted by them.
+
+    With ``write_full`` the list of full cells is written first: Spark then knows
+    that it is small, and the cells are not shuffled for the join.
+    """
     column, kind = prints.columns[0], prints.dtypes[0][1]
     cells = prints.select(F.col(column).alias("print")).mapInArrow(
         lambda batches: _cells(batches, width, group, groups), f"cell bigint, own boolean, print {kind}"
@@ -297,6 +301,8 @@ def _placed(prints: DataFrame, width: int, block: int, group: int, groups: int)
         .filter(F.col("n") > block)
         .select("cell", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     )
+    if write_full:
+        full = stored(full, "full")
     dealt = cells.join(full, "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     mine = F.pmod(F.xxhash64("print"), F.col("blocks")).cast("int")
     others = F.sequence(F.lit(0), F.col("blocks") - 1)
@@ -424,7 +430,7 @@ def _near_links(
     radius, tight, words = wide_radius(similarity), wide_radius(similarity, LIKELY), WIDE // 64
 
     def candidates(frame: DataFrame, labelled: bool) -> DataFrame:
-        found = _placed(frame, SEGMENT, block, WIDE_GROUP, WIDE_GROUPS).mapInArrow(
+        found = _placed(frame, SEGMENT, block, WIDE_GROUP, WIDE_GROUPS, write_full=True).mapInArrow(
             lambda batches: _links(batches, radius, SEGMENT, words, tight, labelled), "a binary, b binary, tight boolean"
         )
         a, b = (F.substring(c, 1, WIDE // 8 + 8) for c in ("a", "b"))
