@@ -31,14 +31,15 @@ DROPPED = frozenset(
     "nav header footer aside form script style template noscript iframe object embed svg canvas audio video button "
     "select option textarea input label fieldset dialog menu head title".split()
 )
-#: Words of a class, id or role that mark what is not article text.
+#: Words that mark what is not article text, as a class, id or role or before the first punctuation in one.
 NOISE = frozenset(
     "ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promos promoted "
     "promotion banner nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars header footer masthead "
-    "comment comments commentlist respond reply replies disqus cookie cookies consent gdpr notice notices alert popup "
-    "modal overlay newsletter subscribe subscription signup login share sharing social related recommended widget "
-    "pagination pager toolbar skip contentinfo complementary search".split()
+    "comment comments commentlist respond reply replies disqus cookie cookies consent gdpr notice notices popup "
+    "modal newsletter subscribe subscription signup login sharing social pagination pager contentinfo complementary search".split()
 )
+#: Those that mark discussions, which may be longer than the article.
+TALK = frozenset("comment comments commentlist respond reply replies disqus".split())
 #: Elements that hold whole pages or articles; only one of these as a whole class word marks them as noise.
 WHOLE = frozenset("html body article main".split())
 WHOLE_NOISE = frozenset("comment reply ad advert advertisement sponsored promo teaser".split())
@@ -61,30 +62,75 @@ ENDS = {
 class Node:
     __slots__ = ("tag", "noise", "parent", "items", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None, noise: bool = False):
+    def __init__(self, tag: str, parent: Node | None, noise: int = 0):
         self.tag, self.parent, self.noise = tag, parent, noise
         self.items: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _is_noise(tag: str, attrs: str) -> bool:
-    if tag in DROPPED:
-        return True
-    if not attrs:
-        return False
+#: What a class, id or role begins with, up to the first punctuation.
+_HEAD = re.compile(r"[a-z0-9]*")
+
+
+#: How sure it is that an element is noise: a marked one or a form may yet be a wrapper of the article.
+MARKED, TALKED, SURE = 1, 2, 3
+
+
+def _noise(tag: str, attrs: str) -> int:
+    level = 0 if tag not in DROPPED else MARKED if tag == "form" else SURE
+    if not attrs or level == SURE:
+        return level
     for name, a, b, c in _ATTR.findall(attrs):
         name, value = name.lower(), (a or b or c).lower()
         if tag in WHOLE:
             if name == "class" and not WHOLE_NOISE.isdisjoint(value.split()):
-                return True
-        elif name in ("class", "id", "role") and not NOISE.isdisjoint(re.split(r"[^a-z0-9]+", value)):
-            return True
+                return SURE
+        elif name in ("class", "id", "role"):
+            heads = {_HEAD.match(w)[0] for w in value.split()}
+            if not TALK.isdisjoint(heads):
+                level = TALKED
+            elif not NOISE.isdisjoint(heads):
+                level = max(level, MARKED)
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return SURE
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
+            return SURE
+    return level
+
+
+def _settle(top: Node) -> None:
+    """Clear the mark of wrappers of the article.
+
+    Outside of articles, a marked element that holds an article or main element is one
+    (a discussion only if it holds all of the page's), and so is anywhere a
+    marked element, but no discussion, with over half of the page's characters outside of links.
+    """
+    seen: list[tuple[Node, bool]] = []
+    free: dict[Node, int] = {}
+    held: dict[Node, int] = {}
+    stack = [(top, False, False)]
+    while stack:
+        node, linked, inside = stack.pop()
+        seen.append((node, inside))
+        linked, inside = linked or node.tag == "a", inside or node.tag == "article"
+        free[node], held[node] = 0, int(node.tag in ("article", "main"))
+        for x in node.items:
+            if isinstance(x, Node):
+                if x.noise != SURE:
+                    stack.append((x, linked, inside))
+            elif not linked:
+                free[node] += sum(map(len, x.split()))
+    for node, _ in reversed(seen):
+        if node.parent is not None:
+            free[node.parent] += free[node]
+            held[node.parent] += held[node]
+    for node, inside in seen:
+        if not node.noise:
+            continue
+        holds = held[node] if node.noise == MARKED else held[node] and held[node] == held[top]
+        if holds and not inside or node.noise == MARKED and 2 * free[node] > free[top]:
+            node.noise = 0
 
 
 _RAW_END = {tag: re.compile(f"</{tag}(?=[\\s/>])[^>]*>?", re.I) for tag in RAW}
@@ -116,7 +162,7 @@ def _ended(at: Node, tag: str) -> Node:
 def parse(page: str) -> Node:
     """The page's element tree; unclosed, crossed and cut-off tags are taken as browsers take them."""
     top = at = Node("html", None)
-    pos, search = 0, _TOKEN.search
+    pos, search, marked = 0, _TOKEN.search, False
     while m := search(page, pos):
         if m.start() > pos:
             at.items.append(page[pos : m.start()])
@@ -135,7 +181,8 @@ def parse(page: str) -> Node:
         elif tag not in ("html", "body"):
             if tag in ENDS:
                 at = _closed(at, tag, top)
-            node = Node(tag, at, _is_noise(tag, attrs))
+            node = Node(tag, at, _noise(tag, attrs))
+            marked = marked or MARKED <= node.noise < SURE
             at.items.append(node)
             if tag in RAW:
                 close = _RAW_END[tag].search(page, pos)
@@ -145,6 +192,8 @@ def parse(page: str) -> Node:
                 at = node
     if pos < len(page):
         at.items.append(page[pos:])
+    if marked:
+        _settle(top)
     return top
 
 

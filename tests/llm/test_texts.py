@@ -169,6 +169,32 @@ def test_main_text(page, want):
     assert html_text.main_text(page) == want
 
 
+LONG = "long words here " * 30
+POST = f"<p>{LONG}</p><p>{LONG}</p>"
+
+
+@pytest.mark.parametrize("open_", [
+    "div class='content has-sidebar'", "div id='page-with-header'", "div class='search-result'", "div class='no-comments'",
+    "form action='/'", "div class='widget'", "div role='search'", "div class='header-less'",
+])
+@pytest.mark.parametrize("inner", ["article", "div"])
+def test_wrappers_keep_their_article(open_, inner):
+    """A marked element around the article is no noise; controls, links and marked elements beside it still are."""
+    page = (
+        f"<nav><a href=x>menu</a></nav><{open_}><input value=q><button>go</button><{inner}>{POST}<div class='ad'>buy</div></{inner}>"
+        f"</{open_.split()[0]}><div class='sidebar'><p>aside</p></div><div class='comment-list'><p>talk</p></div>"
+    )
+    assert html_text.main_text(page) == "\n".join([LONG.strip()] * 2)
+
+
+def test_marked_elements_beside_or_in_the_article_still_go():
+    talk = "<div id='comments'><article><p>" + "talk " * 400 + "</p></article></div>"
+    want = "\n".join([LONG.strip()] * 2)
+    assert html_text.main_text(f"<article>{POST}{talk}<form>f</form></article>") == want
+    assert html_text.main_text(f"<main><article>{POST}</article>{talk}</main>") == want
+    assert html_text.main_text(f"<article>{POST}<div class='related'>kept</div></article>") == want + "\nkept"
+
+
 def test_pages_query_rows(spark):
     rows = [(i, "http://x", p) for i, (p, _) in enumerate(PAGES)]
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("text", F.lit(1))
