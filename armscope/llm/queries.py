@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from armscope.llm import (
-    chat_format, compression, html_text, line_dedup, merkle, mixing, pieces, quality_rules, simhash, token_counts,
+    alignment, chat_format, compression, html_text, line_dedup, merkle, mixing, packing, pieces, quality_rules, search,
+    simhash, token_counts,
 )
 from armscope.llm.common import table
 
@@ -217,3 +218,38 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(
         "doc_id", *[F.col(f"_f.{n}").alias(n) for n in names], "base_failed", "kept", F.round("posterior", 6).alias("posterior")
     )
+
+
+_TERMS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_FOLDED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@_query("op11_term_pipeline_search", f"""
+WITH d AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all({_FOLDED}, '{_TERMS}') AS ts FROM documents),
+s AS (SELECT count(*) AS N, sum(len(ts))::BIGINT AS L FROM d WHERE len(ts) > 0),
+p AS MATERIALIZED (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(ts) AS term FROM d) GROUP BY r, term),
+w AS (SELECT term, floor(1000 * ln((2 * N + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, s GROUP BY term, N),
+i AS (SELECT item_id, row_number() OVER () AS k, {_FOLDED} AS text FROM benchmark),
+q AS (SELECT item_id, k, unnest(list_distinct(regexp_extract_all(text, '{_TERMS}'))) AS term FROM i),
+h AS (SELECT item_id, k, r, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * len(d.ts) * N) // L))))::BIGINT AS score
+  FROM q JOIN p USING (term) JOIN w USING (term) JOIN d USING (r), s GROUP BY item_id, k, r),
+o AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY k ORDER BY score DESC, doc_id) AS rank
+  FROM h JOIN d USING (r) WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM o WHERE rank <= {search.TOP}""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best documents for every benchmark item."""
+    return search.ranked(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+
+
+@_query("op12_best_fit_packing")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sequence and an offset for every token piece of every document."""
+    return packing.packed(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
+@_query("op13_cross_tokenizer_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignment figures of every document; both byte-level files hold one vocabulary, and the rank file is read faster."""
+    return alignment.aligned(
+        table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"), tokenizer_file("piece_bpe_32k.model")
+    )
