@@ -9,17 +9,19 @@ that differ finds the edited pieces.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from armscope.llm.common import free_name, free_prefix
+from armscope.llm.common import free_name, free_prefix, stored
 
 #: Pieces of a paragraph; Java and RE2 read it alike, and no character is lost.
 PIECES = r"[^.!?|]{1,256}[.!?|]*|[.!?|]+"
 #: Hex digits of a digest that a fingerprint holds for every piece.
 DIGITS = 12
-#: Rows of a bucket of neighbours, at most so many buckets.
-BUCKET_ROWS, MAX_BUCKETS = 256, 16_384
+#: Rows of a range of neighbours.
+RANGE_ROWS = 4096
 
 
 def _sha(c: Column) -> Column:
@@ -129,33 +131,64 @@ def differing_branches(pairs: DataFrame, a: str, b: str, key: str) -> DataFrame:
     )
 
 
-def with_next(docs: DataFrame, key: str, carried: list[str], rows: int = BUCKET_ROWS) -> DataFrame:
-    """``docs`` plus next_<c> of the row with the next larger ``key``; the last row gets the first.
+def _ranges(ids: DataFrame, rows: int) -> DataFrame:
+    """(coarse, fine bounds): keys at which ranges of about ``rows`` keys begin, by quantiles in two levels.
 
-    Keys are cut into even ranges of about ``rows`` keys (at most MAX_BUCKETS
-    ranges).  The first row of every range is also sent to the range before,
-    behind its last row, so one shuffle by range serves all rows; the list of
-    ranges is small by construction.  Rows with a null or a repeated key are
-    ordered by the carried columns; nulls come first.
+    Both levels have as many bounds as the root of the number of ranges, so the
+    table grows with the rows and no list exceeds that root.
+    """
+    n = ids.filter("k IS NOT NULL").count()
+    level = max(1, math.ceil(math.sqrt(n / rows)))
+    shares = [i / level for i in range(1, level)]
+    if not shares:
+        return ids.sparkSession.createDataFrame([(0, None, [])], "c bigint, upper array<bigint>, fine array<bigint>")
+    upper = ids.agg(F.percentile_approx("k", shares, 100 * level).alias("u")).first()["u"]
+    coarse = _position(F.col("k"), F.array(*[F.lit(x) for x in upper]))
+    fine = ids.filter("k IS NOT NULL").groupBy(coarse.alias("c")).agg(F.percentile_approx("k", shares, 100 * level).alias("fine"))
+    return fine.select("c", F.array(*[F.lit(x) for x in upper]).alias("upper"), "fine")
+
+
+def _position(key: Column, bounds: Column) -> Column:
+    """How many bounds a key has reached; a null key none."""
+    return F.size(F.filter(bounds, lambda x: x <= key)).cast("bigint")
+
+
+def with_next(docs: DataFrame, key: str, carried: list[str], rows: int = RANGE_ROWS) -> DataFrame:
+    """``docs`` plus next_<c> of the row with the next larger ``key`` (a bigint); the last row gets the first.
+
+    Keys are cut into ranges of about ``rows`` keys by quantiles, so ids may be hashed,
+    clustered or far apart.  The first row of every range is also sent to the range
+    before, behind its last row, so one shuffle by range serves all rows.  Rows
+    with a null or a repeated key are ordered by the carried columns; nulls come
+    first.  Rows of one key stay in one range.
     """
-    span = docs.agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count(F.lit(1)).alias("n")).first()
-    if not span["n"]:
-        return docs.select("*", *[F.col(c).alias(f"next_{c}") for c in carried])
-    lo, hi = span["lo"] or 0, span["hi"] or 0
-    buckets = max(1, min(MAX_BUCKETS, span["n"] // rows))
-    width = max(1, -(-(hi - lo + 1) // buckets))
     x = free_prefix(docs)
-    # A null key sorts before all others, in the first range.
-    bucket = F.coalesce(F.floor((F.col(key) - F.lit(lo)) / F.lit(width)).cast("bigint"), F.lit(0))
-    ids = docs.select(bucket.alias("b"), F.col(key).alias("k"))
-    heads = ids.groupBy("b").agg(F.min(F.struct(F.col("k").isNotNull().alias("set"), "k")).alias("head"))
+    ids = docs.select(F.col(key).cast("bigint").alias("k"))
+    # Written first: Spark then knows that these tables are small, and the texts are not shuffled for the joins.
+    bounds = stored(_ranges(ids, rows), "bounds")
+    first = bounds.select("upper").first()
+    upper = F.array(*[F.lit(v) for v in (first["upper"] or [])]).cast("array<bigint>") if first else F.array().cast("array<bigint>")
+    fine = bounds.select(F.col("c").alias(f"{x}c"), F.col("fine").alias(f"{x}fine"))
+
+    def ranged(frame: DataFrame, k: Column) -> DataFrame:
+        """``frame`` with the number of its range, as a pair of bounds reached."""
+        out = frame.withColumn(f"{x}c", F.when(k.isNull(), 0).otherwise(_position(k, upper))).join(fine, f"{x}c", "left")
+        at = F.when(k.isNull(), 0).otherwise(F.coalesce(_position(k, F.col(f"{x}fine")), F.lit(0)))
+        return out.withColumn(f"{x}b", F.col(f"{x}c") * F.lit(1 << 31) + at).drop(f"{x}c", f"{x}fine")
+
+    heads = ranged(ids, F.col("k")).groupBy(F.col(f"{x}b").alias("b")).agg(
+        F.min(F.struct(F.col("k").isNotNull().alias("set"), "k")).alias("head")
+    )
+    heads = stored(heads, "heads")
     last = heads.agg(F.max("b")).first()[0]
-    # At most MAX_BUCKETS rows of three numbers: one task and a broadcast hold them.
-    heads = heads.select(
+    if last is None:
+        return docs.select("*", *[F.col(c).alias(f"next_{c}") for c in carried])
+    # One row of three numbers for each range.
+    heads = stored(heads.select(
         F.col("b").alias(f"{x}b"), F.col("head.k").alias(f"{x}head"),
         F.coalesce(F.lag("b").over(Window.orderBy("b")), F.lit(last)).alias(f"{x}before"),
-    )
-    placed = docs.withColumn(f"{x}b", bucket).join(F.broadcast(heads), f"{x}b")
+    ), "heads")
+    placed = ranged(docs, F.col(key).cast("bigint")).join(heads, f"{x}b")
     own = F.struct(F.col(f"{x}b").alias("b"), F.lit(0).alias("extra"))
     behind = F.struct(F.col(f"{x}before").alias("b"), F.lit(1).alias("extra"))
     spots = F.when(F.col(key).eqNullSafe(F.col(f"{x}head")), F.array(own, behind)).otherwise(F.array(own))

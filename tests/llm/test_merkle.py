@@ -1,6 +1,7 @@
 """Merkle fingerprints: equality, likeness, located edits and neighbours."""
 
 import hashlib
+import random
 
 from armscope.llm import merkle
 
@@ -50,3 +51,20 @@ def test_differing_branches_locate_the_edit(docs_of):
     assert [tuple(r) for r in rows] == [(0, 0, 1, 1)]
     near = merkle.with_likeness(docs, {"near": ("fa", "fb")}).first()["near"]
     assert near == 2 * 6 / 14
+
+
+def test_any_bigints_are_ids(spark):
+    """Hashed ids, the ends of the type, one far outlier, clusters: neighbours are right and no range is crowded."""
+    rnd = random.Random(4)
+    hashed = [rnd.randrange(-(1 << 63), 1 << 63) for _ in range(900)]
+    clustered = [s * 10**15 + i for s in range(3) for i in range(300)]
+    for ids in (hashed, [-(1 << 63), (1 << 63) - 1, *range(500)], [*range(700), 1 << 60], clustered):
+        docs = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id bigint, text string")
+        got = {r["doc_id"]: r["next_text"] for r in merkle.with_next(docs, "doc_id", ["text"], rows=20).collect()}
+        order = sorted(ids)
+        assert got == {a: f"t{b}" for a, b in zip(order, order[1:] + order[:1])}
+        bounds = merkle._ranges(docs.selectExpr("doc_id AS k"), 20).collect()
+        cuts = sorted([*bounds[0]["upper"], *(x for r in bounds for x in r["fine"])])
+        crowd = [sum(lo <= i < hi for i in ids) for lo, hi in zip([-(1 << 63) - 1, *cuts], [*cuts, 1 << 63])]
+        assert max(crowd) <= 100
+    assert merkle.neighbour_edits(docs.selectExpr("doc_id", "cast(null AS string) text")).count() == len(ids)
