@@ -13,8 +13,8 @@ from armscope.llm.common import free_name, stored
 
 #: Lines on more than this share of a host's pages go.
 RATIO = 0.1
-#: A line on fewer pages of its host than this is never boilerplate.
-MIN_PAGES = 10
+#: A line on fewer pages than this is a line that two pages share, not boilerplate; the same for hosts of any size.
+MIN_PAGES = 3
 
 
 def line_key(line: Column) -> Column:

@@ -8,13 +8,17 @@ probability that its cell's scaling asks for.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from armscope.llm.common import Rounds, free_prefix, stored, words_of
 
-#: Rounds over all margins, and the seed of the draw.
-SWEEPS, SEED = 12, 42
+#: Sweeps over all margins between two looks at the largest error of a margin, and the error at which raking ends.
+SWEEPS, TOLERANCE = 4, 1e-9
+#: Looks after which targets count as contradictory, and the seed of the draw.
+MAX_LOOKS, SEED = 60, 42
 #: Targets are natural shares to this power, so large categories shrink towards small ones.
 TEMPER = 0.9
 
@@ -51,22 +55,50 @@ def _scaled(cells: DataFrame, by: str, targets: DataFrame) -> DataFrame:
     return cells.join(factor, by).withColumn("w", F.col("w") * F.col("_f")).drop("_f")
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS) -> DataFrame:
+def _error(cells: DataFrame, targets: dict[str, DataFrame]) -> float:
+    """How far the share of any value of any margin is from its target; a value without a target wants 0."""
+    worst = None
+    for by, target in targets.items():
+        margin = cells.groupBy(by).agg(F.sum("w").alias("_now")).join(target, by, "full_outer")
+        off = margin.agg(
+            F.max(F.abs(F.coalesce("_now", F.lit(0.0)) - F.coalesce("target", F.lit(0.0)))).alias("e")
+        )
+        worst = off if worst is None else worst.union(off)
+    return worst.agg(F.max("e")).first()[0] or 0.0
+
+
+def rake(
+    cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS, tolerance: float = TOLERANCE
+) -> DataFrame:
     """``cells`` (keys, tokens) plus ``w``, their raked share of tokens, and ``rate``.
 
-    targets: for every key column a table (key, target).  Every step is a sum per
-    value, combined on the map side, joined back to the cells; a sweep is
-    written to the shared folder.  ``rate`` is w per token over its largest value, so
-    it is at most 1 and the drawn tokens keep the raked mixture.  Cells without
-    tokens have rate 1.  Only two sums come to the driver.
+    targets: for every key column a table (key, target) whose targets sum to 1.  Every
+    step is a sum per value, combined on the map side, joined back to the cells; a
+    sweep is written to the shared folder.  After every ``sweeps`` sweeps the largest
+    error of a margin is looked at, until it is at most ``tolerance``.  Targets that
+    contradict each other, or ask for values without tokens, raise a ValueError: the error
+    then falls no more.  ``rate`` is w per token over its largest value, so it is at most
+    1 and the drawn tokens keep the raked mixture.  Cells without tokens have rate 1.
+    Without any tokens all shares are 0, and nothing is raked.  Only sums come to the driver.
     """
-    total = float(cells.agg(F.sum("tokens")).first()[0] or 0) or 1.0
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
     rounds = Rounds(cells.sparkSession, "cells")
-    now = cells.withColumn("w", F.col("tokens") / F.lit(total))
-    for _ in range(sweeps):
-        for by, target in targets.items():
-            now = _scaled(now, by, target)
-        now = rounds.put(now)
+    now = cells.withColumn("w", F.col("tokens") / F.lit(total or 1.0))
+    before = math.inf
+    for _ in range(MAX_LOOKS if total else 0):
+        for _ in range(sweeps):
+            for by, target in targets.items():
+                now = _scaled(now, by, target)
+            now = rounds.put(now)
+        error = _error(now, targets)
+        if error <= tolerance:
+            break
+        if error > 0.99 * before:
+            raise ValueError(f"the targets contradict each other: a margin stays off by {error:.3g}")
+        before = error
+    else:
+        if total:
+            raise ValueError(f"a margin is off by {before:.3g} after {MAX_LOOKS * sweeps} sweeps")
     per_token = F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens"))
     top = now.agg(F.max(per_token)).first()[0] or 1.0
     return now.withColumn("rate", F.coalesce(per_token / F.lit(top), F.lit(1.0)))

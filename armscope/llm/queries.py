@@ -123,6 +123,10 @@ def _rake_sql(sweeps: int, temper: float) -> str:
     return ",\n".join(ctes)
 
 
+#: Sweeps of the twin: more than the operator needs on the given tables, so both have converged.
+RAKE_SWEEPS = 24
+
+
 @_query("op4_mix_sources", f"""
 WITH raw AS (SELECT doc_id, coalesce(source, 'unknown') AS source, coalesce(lang, 'unknown') AS lang,
   coalesce(text, '') AS t FROM documents),
@@ -134,7 +138,7 @@ base AS (SELECT doc_id, source, lang, len(regexp_extract_all(t, '[^\\x20\\x09-\\
        WHEN (length(t) - length(replace(t, chr(10), ''))) * 150 > length(t) THEN 'verse' ELSE 'prose' END AS topic
   FROM raw),
 cells AS MATERIALIZED (SELECT source, lang, topic, sum(tokens)::BIGINT AS tokens FROM base GROUP BY ALL),
-{_rake_sql(mixing.SWEEPS, mixing.TEMPER)}
+{_rake_sql(RAKE_SWEEPS, mixing.TEMPER)}
 SELECT doc_id, topic, base.tokens::BIGINT AS tokens, round(rate, 6) AS rate,
   ('0x' || substr(md5('{mixing.SEED}:' || doc_id), 1, 12))::BIGINT / 281474976710656.0::DOUBLE < rate AS drawn
 FROM base JOIN rates USING (source, lang, topic)""")

@@ -2,6 +2,7 @@
 
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from armscope.llm import line_dedup, mixing
@@ -26,6 +27,12 @@ def test_edges(docs_of, edges):
     assert line_dedup.drop_boilerplate(docs_of([])).count() == 0
 
 
+def test_small_hosts_lose_their_boilerplate_too(docs_of):
+    rows = [(f"menu\nbody {h} {i}", "en", f"h{h}") for h, n in ((0, 1), (1, 2), (2, 3), (3, 9), (4, 10)) for i in range(n)]
+    out = line_dedup.drop_boilerplate(docs_of(rows)).groupBy("source").agg(F.max("n_lines_dropped").alias("n")).collect()
+    assert {r["source"]: r["n"] for r in out} == {"h0": 0, "h1": 0, "h2": 1, "h3": 1, "h4": 1}
+
+
 def test_null_host_is_a_host(docs_of):
     docs = docs_of([("x\ny", "en", None)] * 12)
     assert {r["text"] for r in line_dedup.drop_boilerplate(docs).collect()} == {""}
@@ -47,6 +54,26 @@ def test_raking_meets_the_margins(spark):
     assert max(per.values()) - min(per.values()) < 1e-12
 
 
+def test_raking_ends_at_the_tolerance_and_says_when_it_cannot(spark):
+    rows = [("a", "en", "p", 900), ("a", "de", "p", 1), ("b", "en", "p", 3), ("b", "de", "p", 96)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens bigint")
+
+    def goals(**want):
+        return {k: spark.createDataFrame(list(v.items()), f"{k} string, target double") for k, v in want.items()}
+
+    fair = goals(source={"a": 0.3, "b": 0.7}, lang={"en": 0.6, "de": 0.4})
+    out = mixing.rake(cells, fair, sweeps=3, tolerance=1e-9).collect()
+    for by, want in (("source", {"a": 0.3, "b": 0.7}), ("lang", {"en": 0.6, "de": 0.4})):
+        for value, share in want.items():
+            assert math.isclose(sum(r["w"] for r in out if r[by] == value), share, abs_tol=1e-9)
+    with pytest.raises(ValueError):  # no cell has this source
+        mixing.rake(cells, goals(source={"a": 0.5, "c": 0.5}))
+    with pytest.raises(ValueError):  # all of b is en, all of a is de, and the shares differ
+        mixing.rake(
+            cells.filter("tokens IN (1, 3)"), goals(source={"a": 0.5, "b": 0.5}, lang={"en": 0.1, "de": 0.9}), sweeps=3
+        )
+
+
 def test_mixed_edges(docs_of, edges):
     rows = [(t, None if i % 3 == 0 else "en", None if i % 4 == 0 else "s") for i, t in enumerate(edges)]
     docs = docs_of(rows, clash=True)
