@@ -125,28 +125,48 @@ def first_filled(*cols: Column) -> Column:
     return F.coalesce(*[F.when(c != "", c) for c in cols], F.lit(""))
 
 
+#: Tokens of an SQL text: comments, literals, quoted names, numbers, names, operators, and any other character.
+#: What begins first is taken whole, so a comment mark inside quotes is text and a quote inside a comment is none;
+#: what is not closed goes on to the end.
+SQL_TOKEN = (
+    r"--[^\n]*|/\*[\s\S]*?(?:\*/|\z)"
+    r"|'[^']*+(?:''[^']*+)*+(?:'|\z)"
+    r'|"[^"]*+(?:""[^"]*+)*+(?:"|\z)'
+    r"|`[^`]*+(?:``[^`]*+)*+`|\[[^\]]*+\]"
+    r"|[0-9]++(?:\.[0-9]++)?|[\p{L}_][\p{L}\p{N}_$]*+"
+    r"|<=|>=|<>|!=|\|\||(?!" + BLANK + r")[\s\S]"
+)
+
+
 def canon_sql(c: Column) -> Column:
-    """Spacing-, case- and comment-free key of an SQL text.
+    """Spacing-, case- and comment-free key of an SQL text: its tokens, in lower case.
 
-    Quoted literals keep their inner blanks; everything ends in lower case.
-    A blank text gives null (it has no canonical form).
+    Literals and quoted names keep what stands inside; names in backquotes or
+    brackets are written in double quotes.  A semicolon at the end does not count.  A blank
+    text gives null (it has no canonical form).
     """
-    # One pass that takes a literal or a comment, whichever starts first, and keeps the literal.
-    text = F.regexp_replace(text_or_empty(c), r"('[^']*+')|--[^\n]*|/\*[\s\S]*?\*/", "$1 ")
-    text = F.regexp_replace(strip_blank(text), ";+$", "")
-    parts = F.transform(
-        F.split(text, "'"),
-        lambda part, i: F.when(i % 2 == 1, part).otherwise(_canon_code(part)),
+    found = F.regexp_extract_all(text_or_empty(c), F.lit(SQL_TOKEN), F.lit(0))
+    tokens = F.filter(found, lambda t: ~(t.startswith("--") | t.startswith("/*")))
+    tokens = F.transform(
+        tokens,
+        lambda t: F.when(
+            (F.length(t) > 1) & (t.startswith("`") | t.startswith("[")),
+            F.concat(F.lit('"'), F.substr(t, F.lit(2), F.length(t) - 2), F.lit('"')),
+        ).otherwise(t),
     )
-    joined = F.lower(F.concat_ws("'", parts))
-    return F.when(is_blank(c), F.lit(None).cast("string")).otherwise(joined)
 
+    def literal(t: Column) -> Column:
+        return (F.length(t) > 1) & t.startswith("'")
 
-def _canon_code(part: Column) -> Column:
-    spaced = F.regexp_replace(
-        F.regexp_replace(part, '[`"]', '"'), r"(<=|>=|<>|!=|[(),=<>+*/;])", " $1 "
+    # One blank between tokens, but none between a literal and what is no literal.
+    spaced = F.transform(
+        F.arrays_zip(tokens.alias("t"), F.concat(F.array(F.lit(None).cast("string")), tokens).alias("before")),
+        lambda z: F.when(
+            z["before"].isNull() | (literal(z["t"]) != literal(z["before"])), z["t"]
+        ).otherwise(F.concat(F.lit(" "), z["t"])),
     )
-    return norm_ws(spaced)
+    key = F.lower(F.regexp_replace(F.array_join(spaced, ""), "[ ;]+$", ""))
+    return F.when(is_blank(c), F.lit(None).cast("string")).otherwise(key)
 
 
 def code_balanced(c: Column) -> Column:

@@ -154,15 +154,16 @@ def verified_traces(
     ``cands`` has cand_idx, reasoning, query and ``fp``; an empty query is no
     candidate.  The audit gives a status for every reference.
     """
-    hit = (
+    # One row per id and result before the join: an id with very many candidates is reduced in each task.
+    first = (
         cands.filter(F.col("query") != "")
-        .join(refs.select(id_col, "ref_fp"), id_col)
-        .filter(F.col("fp") == F.col("ref_fp"))
-        .groupBy(id_col)
-        .agg(
-            F.min("cand_idx").alias("cand_idx"),
-            F.min_by(F.struct("reasoning", "query"), "cand_idx").alias("_best"),
-        )
+        .groupBy(id_col, "fp")
+        .agg(F.min(F.struct("cand_idx", "reasoning", "query")).alias("_first"))
+    )
+    wanted = refs.select(id_col, F.col("ref_fp").alias("fp")).distinct()
+    hit = (
+        first.join(wanted, [id_col, "fp"]).groupBy(id_col).agg(F.min("_first").alias("_best"))
+        .withColumn("cand_idx", F.col("_best.cand_idx"))
     )
     audit = refs.join(hit, id_col, "left").select(
         id_col,

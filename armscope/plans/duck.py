@@ -89,17 +89,21 @@ stat AS (SELECT toks.*, CAST(coalesce(m, 0) AS BIGINT) AS gleu_match,
   FROM toks LEFT JOIN hit USING (rid))"""
 
 
+SQL_TOKEN = (
+    r"--[^\n]*|(?s:/\*.*?(?:\*/|\z))|'[^']*(?:''[^']*)*(?:'|\z)" + r'|"[^"]*(?:""[^"]*)*(?:"|\z)'
+    r"|`[^`]*(?:``[^`]*)*`|\[[^\]]*\]|[0-9]+(?:\.[0-9]+)?|[\p{L}_][\p{L}\p{N}_$]*|<=|>=|<>|!=|\|\||" + WS.replace("[", "[^", 1)
+)
+
+
 def canon_sql(e: str) -> str:
-    pieces = f"regexp_extract_all(coalesce({e}, ''), '(?s)''[^'']*''|--[^\\n]*|/\\*.*?\\*/|.')"
-    comment = "starts_with(p, '--') OR starts_with(p, '/*')"
-    s = f"array_to_string(list_transform({pieces}, lambda p: CASE WHEN {comment} THEN ' ' ELSE p END), '')"
-    s = rx(strip_blank(s), ";+$", "")
-    code = rx(rx("p", '[`"]', '"'), r"(<=|>=|<>|!=|[(),=<>+*/;])", r" \1 ")
-    parts = (
-        f"list_transform(str_split({s}, chr(39)), lambda p, i: "
-        f"CASE WHEN i % 2 = 0 THEN p ELSE {norm_ws(code)} END)"
-    )
-    return f"CASE WHEN {is_blank(e)} THEN NULL ELSE lower(array_to_string({parts}, chr(39))) END"
+    pattern = SQL_TOKEN.replace("'", "''")
+    tokens = f"""list_filter(regexp_extract_all(coalesce({e}, ''), '{pattern}'), lambda t: NOT (starts_with(t, '--') OR starts_with(t, '/*')))"""
+    named = f"""list_transform({tokens}, lambda t: CASE WHEN len(t) > 1 AND left(t, 1) IN ('`', '[')
+      THEN chr(34) || substr(t, 2, len(t) - 2) || chr(34) ELSE t END)"""
+    # A literal next to what is no literal has no blank between; a mark that no token holds shows where.
+    marked = f"""list_transform({named}, lambda t: CASE WHEN len(t) > 1 AND left(t, 1) = chr(39) THEN chr(29) || t || chr(29) ELSE chr(30) || t || chr(30) END)"""
+    joined = f"""replace(replace(replace(replace(array_to_string({marked}, ''), chr(30) || chr(30), ' '), chr(29) || chr(29), ' '), chr(29), ''), chr(30), '')"""
+    return f"CASE WHEN {is_blank(e)} THEN NULL ELSE lower({rx(joined, '[ ;]+$', '')}) END"
 
 
 def rate(flag: str) -> str:

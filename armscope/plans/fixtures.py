@@ -139,12 +139,14 @@ SQL_PREDICTIONS = f"""
 WITH base AS (
   SELECT CAST(o_orderkey AS STRING) AS instance_id, o_orderkey AS k, o_orderpriority AS sql_complexity,
     o_orderstatus AS db_id,
-    concat('SELECT o_totalprice FROM orders WHERE o_orderstatus = ', {Q}, o_orderstatus, {Q},
-      ' AND o_orderkey = ', CAST(o_orderkey AS STRING)) AS reference_sql,
+    concat(CASE o_orderkey % 3 WHEN 0 THEN concat('SELECT ', chr(34), 'o--price /* net */', chr(34)) ELSE 'SELECT o_totalprice' END,
+      ' FROM orders WHERE o_orderstatus = ', {Q}, o_orderstatus, {Q}, ' AND o_orderkey = ', CAST(o_orderkey AS STRING)) AS reference_sql,
     o_orderkey % 10 AS kd, (o_orderkey * 7 + CAST(floor(o_orderkey / 10) AS BIGINT)) % 10 AS kc
   FROM {{orders}}),
 arms AS (SELECT *, CASE WHEN arm = 'direct' THEN kd ELSE kc END AS kind FROM base{each('arm', ["'direct'", "'cot'"])})
 SELECT instance_id, k, arm, db_id, sql_complexity, reference_sql, CASE kind
+  WHEN 0 THEN replace(reference_sql, '--price', '--cost')
+  WHEN 1 THEN replace(reference_sql, chr(34), '`')
   WHEN 2 THEN concat(reference_sql, ';')
   WHEN 3 THEN concat(reference_sql, ' ;')
   WHEN 4 THEN lower(reference_sql)
@@ -192,10 +194,14 @@ FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id
 """
 
 
+#: A double quote and braces, which a fixture rule cannot hold as they are.
+MARKS = "concat(chr(34), chr(123), chr(125))"
+
+
 def result_rows_sql(arm: str) -> str:
     """Result rows of every order; the predicted side is changed by kind.
 
-    0-1 same, 2 number as text, 3 other names, 4 other row order, 5 a row
+    0 same, 1 other number text in maps, 2 number as text, 3 other names, 4 other row order, 5 a row
     less, 6 other value, 7 other column order.
     """
     shift = {"direct": 0, "cot": 3}[arm]
@@ -204,7 +210,9 @@ WITH li AS (
   SELECT CAST(l_orderkey AS STRING) AS instance_id, (l_orderkey + {shift}) % 8 AS kind,
     l_linenumber AS ln, CAST(CAST(l_quantity AS BIGINT) AS STRING) AS qty,
     CAST(CAST(l_quantity AS BIGINT) + 1 AS STRING) AS qty2, l_returnflag AS flag FROM {{lineitem}}),
-sides AS (SELECT * FROM li{each('side', ["'ref'", "'pred'"])})
+sides AS (SELECT * FROM li{each('side', ["'ref'", "'pred'"])}),
+numbered AS (SELECT *, CASE WHEN side = 'pred' AND kind = 1 THEN CASE ln WHEN 3 THEN '1' ELSE '1234567890123456789012345678901234567891' END
+  ELSE CASE ln WHEN 3 THEN '1.0' ELSE '1234567890123456789012345678901234567890' END END AS num FROM sides)
 SELECT instance_id, '{arm}' AS arm, side,
   CASE WHEN side = 'pred' AND kind = 4 THEN 100 - ln ELSE ln END AS row_no,
   CASE WHEN side = 'pred' AND kind = 3 THEN 'a' WHEN side = 'pred' AND kind = 7 THEN 'qty' ELSE 'line' END AS n1,
@@ -214,8 +222,12 @@ SELECT instance_id, '{arm}' AS arm, side,
        WHEN side = 'pred' AND kind = 2 THEN concat(chr(34), qty, chr(34))
        WHEN side = 'pred' AND kind = 6 AND ln = 1 THEN qty2 ELSE qty END AS v2,
   CASE WHEN side = 'pred' AND kind = 3 THEN 'c' ELSE 'flag' END AS n3,
-  concat(chr(34), flag, chr(34)) AS v3
-FROM sides WHERE NOT (side = 'pred' AND kind = 5 AND ln = 1)
+  CASE WHEN ln % 3 <> 0 THEN concat(chr(34), flag, chr(34))
+       WHEN side = 'ref' THEN translate(concat('<^n^: ', num, ', ^f^: [^', flag, ', 2^, <^b^:null, ^a^:^1.0^>]>'), '^<>', {MARKS})
+       ELSE translate(concat('<^f^:[^', flag, ', 2^,<^a^:^1.0^,^b^: null>],^n^:', num, '>'), '^<>', {MARKS}) END AS v3,
+  CASE WHEN ln % 3 <> 0 THEN concat(chr(34), flag, chr(34))
+       ELSE translate(concat('<^f^:[^', flag, ', 2^,<^a^:^1.0^,^b^:null>],^n^:', num, '>'), '^<>', {MARKS}) END AS c3
+FROM numbered WHERE NOT (side = 'pred' AND kind = 5 AND ln = 1)
 """
 
 

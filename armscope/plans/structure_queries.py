@@ -305,24 +305,22 @@ def error_attribution(spark, sf):
     return op.error_attribution(wrong(spark, sf), PRED, REF, return_part)
 
 
-# Four arms of an ablation: verdicts of the candidates, one arm per sample.
-ARMS = ["direct", "qdecomp", "holistic", "enum"]
+# Five arms of an ablation: verdicts of the candidates, one arm per sample.
+ARMS = ["direct", "qdecomp", "holistic", "enum", "forward"]
 LADDER = f"""
 WITH c AS ({fx.CANDIDATES})
-SELECT instance_id, CASE cand_idx WHEN 0 THEN 'direct' WHEN 1 THEN 'qdecomp' WHEN 2 THEN 'holistic' WHEN 3 THEN 'enum' ELSE 'other' END AS arm,
-  CASE WHEN k % 2 = 0 THEN 'iid' ELSE 'length' END AS split, candidate, reference_cypher, candidate = reference_cypher AS exec_match FROM c
-  WHERE candidate <> concat(reference_cypher, ' ;')"""
+SELECT instance_id, CASE cand_idx WHEN 0 THEN 'direct' WHEN 1 THEN 'qdecomp' WHEN 2 THEN 'holistic' WHEN 3 THEN 'enum' ELSE 'forward' END AS arm,
+  CASE WHEN k % 2 = 0 THEN 'iid' ELSE 'length' END AS split, candidate, reference_cypher, candidate = reference_cypher AS exec_match FROM c"""
 
 
 @query(
     "ladder_board",
-    f"""WITH o0 AS ({LADDER}), o AS (SELECT * FROM o0 WHERE arm <> 'other'),
-cm AS (SELECT * FROM o WHERE instance_id IN (SELECT instance_id FROM o GROUP BY 1 HAVING count(DISTINCT arm) = 4)),
+    f"""WITH o AS ({LADDER}),
+cm AS (SELECT * FROM o WHERE instance_id IN (SELECT instance_id FROM o GROUP BY 1 HAVING count(DISTINCT arm) = 5)),
 a AS (SELECT split, arm, {d.rate('exec_match')} AS accuracy, count(DISTINCT instance_id) AS n FROM cm GROUP BY ALL),
 b AS (SELECT split, max(CASE WHEN arm = 'qdecomp' THEN accuracy END) AS base, max(CASE WHEN arm = 'direct' THEN accuracy END) AS ceil FROM a GROUP BY ALL)
 SELECT a.split, a.n, a.arm, accuracy, accuracy - base AS delta_to_base,
   CASE WHEN ceil - base <> 0 THEN (accuracy - base) / (ceil - base) END AS recovered_share FROM a JOIN b ON a.split = b.split""",
 )
 def ladder_board(spark, sf):
-    outcomes = fx.fixture(spark, sf, LADDER).filter(F.col("arm") != "other")
-    return op.ladder_board(outcomes, ARMS, base="qdecomp", ceiling="direct")
+    return op.ladder_board(fx.fixture(spark, sf, LADDER), ARMS, base="qdecomp", ceiling="direct")

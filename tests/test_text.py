@@ -150,3 +150,17 @@ def test_both_forms_of_the_13a_class_take_the_same_characters(spark):
 def test_canon_sql_keeps_literals_that_look_like_comments(spark):
     got = column(spark, ["x = 'k--1'", "x = 'k--2'", "x = 'a/*b*/c'", "x = 'ac'", "x=1 -- c", "X = 1 /* '*/", "a 'it''s --' b"], tx.canon_sql)
     assert got[0] != got[1] and got[2] != got[3] and got[4] == got[5] == "x = 1" and got[6] == "a'it''s --'b"
+
+
+def test_canon_sql_keeps_what_stands_in_quotes(spark):
+    """Comment marks, blanks and doubled quotes inside quoted names and literals are text."""
+    apart = [
+        'n = "x--1"', 'n = "x--2"', 'n = "a  b"', 'n = "a b"', 'n = "a/*b*/c"', 'n = "ac"', "n = 'a''--b'", "n = 'a''--c'",
+        "n = 'a' 'b'", "n = 'a''b'", "n = `x;1`", "n = [x;2]", "n = 1.5", "n = 1 . 5", "a<=b", "a< =b", "n = 'open", "n = 'open --",
+    ]
+    assert len(set(column(spark, apart, tx.canon_sql))) == len(apart)
+    one, two, three = column(spark, ['SELECT "a b",`c` FROM [t]/* x\n */ ;', 'select "A B" , [c]\u00a0from "t" -- y', "SELECT `a b`,\n\"c\" FROM `t`;;"], tx.canon_sql)
+    assert one == two == three
+    assert column(spark, ["a /* open", "a"], tx.canon_sql)[0] == "a"
+    long = column(spark, ["x = '" + "it''s " * 20_000 + "'"], tx.canon_sql)[0]
+    assert len(long) == 6 * 20_000 + 5

@@ -86,3 +86,19 @@ def test_pilot_by_size(spark):
     df = spark.range(1000).select(F.col("id").cast("string").alias("id"), (F.col("id") % 7).alias("n"))
     got = voting.pilot_by_size(df, "id", "n").groupBy("n").count().collect()
     assert {r["n"]: r["count"] for r in got} == {0: 5, 1: 5, 2: 5, 3: 5}
+
+
+def test_a_hot_id_is_reduced_before_the_join(spark):
+    """An id with very many candidates joins as one row per result, and the first right candidate wins."""
+    cands = spark.range(20_000).selectExpr(
+        "if(id < 19000, 'hot', concat('i', id)) instance_id", "cast(19999 - id AS int) cand_idx", "concat('r', id) reasoning",
+        "if(id % 7 = 0, '', concat('q', id)) query", "if(id % 3 = 0, 'right', 'wrong') fp",
+    )
+    refs = cands.select("instance_id").distinct().selectExpr("instance_id", "'right' ref_fp", "cast(null AS string) ref_error")
+    kept, audit = voting.verified_traces(cands, refs)
+    hot = kept.filter("instance_id = 'hot'").first()
+    assert (hot["cand_idx"], hot["query"]) == (19999 - 18999, "q18999")
+    counts = {r["status"]: r["count"] for r in audit.groupBy("status").count().collect()}
+    assert counts["kept"] + counts["no_correct_candidate"] == 1001
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.rindex("Aggregate [instance_id")
