@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from armscope.llm.common import free_name, shared_dir, stored
-from armscope.llm.token_ids import token_ids
+from armscope.llm.token_ids import few, token_ids
 
 #: Tokens of a sequence, and the id put behind every document.
 CAPACITY, END_ID = 2048, 0
@@ -42,14 +42,14 @@ MAX_ROUNDS = 400
 def token_pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): every document's ids and the end id, cut where they exceed a sequence.
 
-    Only ids of one Arrow batch are held.  Null and empty texts are one piece of the end id.
+    Only ids of a few texts are held.  Null and empty texts are one piece of the end id.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
     end = np.array([END_ID], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = token_ids(path)
-        for batch in batches:
+        for batch in few(batches):
             ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
             who, piece, start, length, crc = [], [], [], [], []
             for i, raw in enumerate(encoder.packed(texts)):

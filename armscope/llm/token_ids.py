@@ -5,22 +5,35 @@ from __future__ import annotations
 import base64
 import os
 import re
+import sys
+from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 
 #: Words that a worker remembers, before it starts anew; longer ones are encoded each time.
-REMEMBERED, LONGEST = 600_000, 48
-#: Code points that go to the library in one call.
-RUN = 1 << 20
+REMEMBERED, LONGEST = 1_200_000, 48
+#: Code points that go to the library in one call, and texts that are worked on at a time.
+RUN, TEXTS = 1 << 20, 256
 
-_BREAK = re.compile(r"[ \n]")
 #: Letters of one word and the marks behind it; tokenizers that drop white space part them.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 
 
-def _packed(ids) -> bytes:
-    return np.asarray(ids, dtype="<u4").tobytes()
+def _packed(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
+def few(batches: Iterator[pa.RecordBatch], rows: int = TEXTS) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches, so that a worker holds the words or ids of few texts."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 class PieceIds:
@@ -78,25 +91,24 @@ class WordIds:
         self.model.no_truncation()
         self.model.no_padding()
         self.memory: dict[str, bytes] = {}
-        one, three, mixed = self._encode(["a", "a \n a\na", "Á!? a"])
-        self.by_word = three == 3 * one and mixed == b"".join(self._encode(["á", "!?", "a"]))
+        one, three, mixed = self._encode(["a", "a \n a\na", "Á!? The"])
+        apart = self._encode(["á", "!?"]) + [_packed([t.id for t in self.model.model.tokenize("the")])]
+        self.by_word = three == 3 * one and mixed == b"".join(apart)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [_packed(e.ids) for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of words; the short ones are remembered."""
-        out, run, size = {}, [], 0
+    def _learn(self, words: set[str]) -> None:
+        """Ids of words, a run of them in one call."""
+        run, size = [], 0
         for w in words:
             run.append(w)
             size += len(w)
             if size > RUN:
-                out.update(zip(run, self._encode(run)))
+                self.memory.update(zip(run, self._encode(run)))
                 run, size = [], 0
         if run:
-            out.update(zip(run, self._encode(run)))
-        self.memory.update((w, raw) for w, raw in out.items() if len(w) <= LONGEST)
-        return out
+            self.memory.update(zip(run, self._encode(run)))
 
     def packed(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
@@ -104,15 +116,21 @@ class WordIds:
         memory = self.memory
         if len(memory) > REMEMBERED:
             memory.clear()
-        cut = [_BREAK.split(t) if "\n" in t else t.split(" ") for t in texts]
-        new = {w for words in cut for w in words if w not in memory}
-        plain = {w: m.groups() for w in new if len(w) <= LONGEST and (m := _PLAIN.fullmatch(w))}
-        parts = {x.lower() for pair in plain.values() for x in pair}
-        known = self._learn({x for x in parts if x not in memory} | (new - plain.keys()))
+        cut = [t.replace("\n", " ").split(" ") for t in texts]
+        new = set().union(*[set(words).difference(memory) for words in cut])
+        long = {w for w in new if len(w) > LONGEST}
+        plain = {w: (m[1].lower(), m[2]) for w in new - long if (m := _PLAIN.fullmatch(w))}
+        parts = {x for pair in plain.values() for x in pair if x not in memory}
+        printed = {x for x in parts if x.isascii()}  # these need no normalising, and are one word for the model
+        word = self.model.model.tokenize
+        memory.update((x, _packed([t.id for t in word(x)])) for x in printed)
+        self._learn(parts - printed | (new - plain.keys()))
         for w, (letters, marks) in plain.items():
-            a, b = letters.lower(), marks
-            memory[w] = (memory[a] if a in memory else known[a]) + (memory[b] if b in memory else known[b])
-        return [b"".join([memory[w] if w in memory else known[w] for w in words]) for words in cut]
+            memory[w] = memory[letters] + memory[marks]
+        out = [b"".join(map(memory.__getitem__, words)) for words in cut]
+        for w in long:
+            del memory[w]
+        return out
 
 
 @lru_cache(maxsize=4)
