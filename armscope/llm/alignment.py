@@ -2,8 +2,8 @@
 
 A text's tokens of both tokenizers cover the same bytes.  Every stretch between
 neighbouring token ends of either side lies in one token of each: these stretches are
-the links.  A first pass aligns all texts and counts, batch by batch, in how many
-of them each pair of ids is linked.  The distinct pairs are dealt to cells by
+the links.  Texts are encoded once, and their ids are written.  A first pass aligns all texts and
+counts, batch by batch, in how many of them each pair of ids is linked.  The distinct pairs are dealt to cells by
 their first id; every cell gets a minimal perfect hash, so its counts are a dense vector
 indexed by hash, and the batches' vectors are summed in a tree.  The vectors hold
 no keys; the pair of every slot stands beside its count and is compared at each lookup.
@@ -23,12 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from armscope.llm.common import stored
-from armscope.llm.token_ids import token_ids
+from armscope.llm.token_ids import few, token_ids
 
 #: A pair is one number: the first id times this, plus the second id.
 WIDE = 1 << 32
 #: Distinct pairs of a cell, and pairs of a group that meets a cell, about.
-CELL_PAIRS, GROUP_PAIRS = 65_536, 1_000_000
+CELL_PAIRS, GROUP_PAIRS = 65_536, 500_000
 #: Vectors that are added up in one group of a tree.
 FAN_IN = 16
 #: Pairs of a worker after which it hands on what it has counted.
@@ -91,31 +91,37 @@ class Pair:
     """Two tokenizers and what their tokens stand for."""
 
     def __init__(self, first: str, second: str):
-        self.a, self.b = token_ids(first), token_ids(second)
-        self.bytes_a, self.bytes_b = self.a.token_bytes(), self.b.token_bytes()
-        self.size_a, self.size_b = (np.array([len(x) for x in t], dtype=np.int64) for t in (self.bytes_a, self.bytes_b))
-        names = [str(i) for i in range(max(len(self.bytes_a), len(self.bytes_b)))]
-        self.spelt_b = np.array(self.bytes_b, dtype=object)
+        self.sides = [token_ids(first), token_ids(second)]
+        spelt = [side.token_bytes() for side in self.sides]
+        self.sizes = [np.array([len(x) for x in t], dtype=np.int64) for t in spelt]
+        self.kinds = ["<u2" if len(t) <= 1 << 16 else "<u4" for t in spelt]
+        self.spelt = [np.array(t, dtype=object) for t in spelt]
+        names = [str(i) for i in range(max(map(len, spelt)))]
         # Text of an id inside its side, at the end of a first side, at the end of a group.
         self.named = np.array([[n + mark for n in names] for mark in ",|;"], dtype=object)
 
-    def encoded(self, texts: list[str]) -> list[Alignment | None]:
-        """Every text's alignment; none where a side does not spell space + text."""
+    def encoded(self, texts: list[str | None]) -> list[tuple[bytes | None, bytes | None]]:
+        """Packed ids of every text, each as narrow as its vocabulary allows; none where a side does not spell space + text."""
         full = [t for t in texts if t]
-        found = iter(zip(self.a.packed([" " + t for t in full]), self.b.packed(full)))
-        out: list[Alignment | None] = []
+        found = iter(zip(self.sides[0].packed([" " + t for t in full]), self.sides[1].packed(full)))
+        out: list[tuple[bytes | None, bytes | None]] = []
         for t in texts:
             if not t:
-                out.append(None)
+                out.append((None, None))
                 continue
-            a, b = (np.frombuffer(raw, "<u4") for raw in next(found))
             want = (" " + t).encode()
-            # Byte-level tokens always spell the text; pieces may have normalised it.
-            ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
-            same = ends_a[-1] == len(want) and len(b) and ends_b[-1] == len(want) and b"".join(self.spelt_b[b].tolist()) == want
-            out.append(Alignment(a, b, ends_a, ends_b) if same else None)
+            ids = [np.frombuffer(raw, "<u4") for raw in next(found)]
+            same = all(
+                int(size[x].sum()) == len(want) and b"".join(spelt[x].tolist()) == want
+                for x, size, spelt in zip(ids, self.sizes, self.spelt)
+            )
+            out.append(tuple(x.astype(kind).tobytes() for x, kind in zip(ids, self.kinds)) if same else (None, None))
         return out
 
+    def aligned(self, raw_a: bytes, raw_b: bytes) -> Alignment:
+        a, b = (np.frombuffer(raw, kind).astype(np.int64) for raw, kind in zip((raw_a, raw_b), self.kinds))
+        return Alignment(a, b, np.cumsum(self.sizes[0][a]), np.cumsum(self.sizes[1][b]))
+
 
 class Alignment:
     """Ids of both sides of a text, and the bytes at which they end, as marks over its bytes."""
@@ -132,7 +138,7 @@ class Alignment:
         # The token of a stretch is the first that ends at its end or later.
         at_a = np.cumsum(self.marks_a[cuts]) - self.marks_a[cuts]
         at_b = np.cumsum(self.marks_b[cuts]) - self.marks_b[cuts]
-        return self.a[at_a].astype(np.int64) * WIDE + self.b[at_b]
+        return self.a[at_a] * WIDE + self.b[at_b]
 
     def groups(self, named: np.ndarray) -> tuple[int, str]:
         """How many groups the common ends cut, and all groups as text."""
@@ -158,11 +164,25 @@ def _cell(pairs: np.ndarray, cells: int) -> np.ndarray:
 
 # --- passes over the texts ----------------------------------------------------------
 
-def _counted(rows: DataFrame, first: str, second: str) -> DataFrame:
-    """First pass: (pair, n, part): how many texts of a part of the rows link a pair.  Repeats over parts."""
+def _encoded(rows: DataFrame, first: str, second: str) -> DataFrame:
+    """(doc_id, key, a, b): the packed ids of every text, null where it has no tokens."""
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both = _pair(first, second)
+        for batch in few(batches):
+            ids = both.encoded(batch.column("text").to_pylist())
+            a, b = (pa.array([x[i] for x in ids], pa.binary()) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), a, b], ["doc_id", "key", "a", "b"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.select("doc_id", "key", "text").mapInArrow(encode, f"doc_id {kind}, key bigint, a binary, b binary")
+
+
+def _counted(tokens: DataFrame, first: str, second: str) -> DataFrame:
+    """First pass: (pair, n): how many texts of some rows link a pair.  A pair comes once for each such part of the rows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both, held, size, part = _pair(first, second), [], 0, 0
+        both, held, size = _pair(first, second), [], 0
 
         def summed() -> tuple[np.ndarray, np.ndarray]:
             pairs, times = (np.concatenate(x) for x in zip(*held))
@@ -172,12 +192,11 @@ def _counted(rows: DataFrame, first: str, second: str) -> DataFrame:
         def handed(names: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(names), pa.array(times)], ["pair", "n"])
 
-        for batch in batches:
-            for found in both.encoded(batch.column(0).to_pylist()):
-                if found:
-                    pairs = np.unique(found.links())
-                    held.append((pairs, np.ones(len(pairs), dtype=np.int64)))
-                    size += len(pairs)
+        for batch in few(batches):
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+                pairs = np.unique(both.aligned(a, b).links())
+                held.append((pairs, np.ones(len(pairs), dtype=np.int64)))
+                size += len(pairs)
             if size > HELD:
                 names, times = summed()
                 held, size = [(names, times)], len(names)
@@ -187,10 +206,10 @@ def _counted(rows: DataFrame, first: str, second: str) -> DataFrame:
         if held:
             yield handed(*summed())
 
-    return rows.select("text").mapInArrow(count, "pair bigint, n bigint")
+    return tokens.filter("a IS NOT NULL").select("a", "b").mapInArrow(count, "pair bigint, n bigint")
 
 
-def _aligned(rows: DataFrame, first: str, second: str, cells: int) -> DataFrame:
+def _aligned(tokens: DataFrame, first: str, second: str, cells: int) -> DataFrame:
     """Second pass: a row per text with its figures (cell null), and rows of pairs to look up, a cell at a time.
 
     ``docs``, ``pairs``, ``times``: how often which text links which pair.
@@ -198,13 +217,14 @@ def _aligned(rows: DataFrame, first: str, second: str, cells: int) -> DataFrame:
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = _pair(first, second)
-        for batch in batches:
+        for batch in few(batches):
             ids, keys = batch.column("doc_id"), batch.column("key").to_numpy()
             figures, docs, pairs, times = [], [], [], []
-            for key, found in zip(keys.tolist(), both.encoded(batch.column("text").to_pylist())):
-                if not found:
+            for key, a, b in zip(keys.tolist(), batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+                if a is None:
                     figures.append((0, 0, 0, 0, ""))
                     continue
+                found = both.aligned(a, b)
                 linked = found.links()
                 n, text = found.groups(both.named)
                 figures.append((len(found.a), len(found.b), n, len(linked), hashlib.sha256(text.encode()).hexdigest()))
@@ -232,8 +252,8 @@ def _aligned(rows: DataFrame, first: str, second: str, cells: int) -> DataFrame:
                 [pa.nulls(m, ids.type)] + [pa.nulls(m, pa.int64())] * 5 + [pa.nulls(m, pa.string()), pa.array(cell[begins]), *lists], _ALIGNED_NAMES
             )
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.select("doc_id", "key", "text").mapInArrow(
+    kind = tokens.schema["doc_id"].dataType.simpleString()
+    return tokens.mapInArrow(
         align,
         f"doc_id {kind}, key bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, cell bigint, "
         "docs array<bigint>, pairs array<bigint>, times array<bigint>",
@@ -270,7 +290,7 @@ def _slots(table: pa.Table, pairs: np.ndarray) -> np.ndarray:
     levels = unpack_levels(table.column("bits")[0].as_py(), table.column("sizes")[0].as_py())
     slot = look_up(levels, pairs)
     if len(pairs) and ((slot < 0).any() or (table.column("keys")[0].values.to_numpy()[slot] != pairs).any()):
-        raise ValueError("a pair of the second pass was not in the first: the texts changed between them")
+        raise ValueError("a pair that is to be looked up was not counted")
     return slot
 
 
@@ -342,10 +362,10 @@ def _looked_up(wanted: DataFrame, tables: DataFrame) -> DataFrame:
 
 
 def pair_counts(
-    rows: DataFrame, first: str, second: str, cell_pairs: int = CELL_PAIRS, group_pairs: int = GROUP_PAIRS
+    tokens: DataFrame, first: str, second: str, cell_pairs: int = CELL_PAIRS, group_pairs: int = GROUP_PAIRS
 ) -> tuple[DataFrame, int]:
-    """(cell, bits, sizes, keys, counts) and the number of cells: in how many texts of ``rows`` (text) each pair is linked."""
-    partial = stored(_counted(rows, first, second), "partial")
+    """(cell, bits, sizes, keys, counts) and the number of cells: in how many texts of ``tokens`` (a, b) each pair is linked."""
+    partial = stored(_counted(tokens, first, second), "partial")
     total, distinct = partial.agg(F.count(F.lit(1)), F.approx_count_distinct("pair", 0.02)).first()
     cells, branches = max(1, -(-distinct // cell_pairs)), max(1, -(-total // group_pairs))
 
@@ -378,9 +398,10 @@ def aligned(
     group that meets a cell holds about ``group_pairs`` of the texts' pairs, however frequent they are.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    tables, cells = pair_counts(rows, first, second, cell_pairs, group_pairs)
-    # The number of a row is written beside its figures and its pairs, so it is the same wherever it is read.
-    second_pass = stored(_aligned(rows.withColumn("key", F.monotonically_increasing_id()), first, second, cells), "aligned")
+    # The number of a row is written beside its ids, so it is the same wherever it is read.
+    tokens = stored(_encoded(rows.withColumn("key", F.monotonically_increasing_id()), first, second), "tokens")
+    tables, cells = pair_counts(tokens, first, second, cell_pairs, group_pairs)
+    second_pass = stored(_aligned(tokens, first, second, cells), "aligned")
     asked = second_pass.filter("cell IS NOT NULL").select("cell", "docs", "pairs", "times")
     # A cell with many rows is met by many groups; at most a number per cell is joined back.
     groups = stored(
