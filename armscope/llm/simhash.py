@@ -11,8 +11,6 @@ above.  In a cell the Manhattan distance filters, and the differing bits decide.
 
 from __future__ import annotations
 
-import functools
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from armscope.llm.common import free_name, stored
+from armscope.llm.common import stored
 from armscope.llm.components import components
 
 #: Words of a shingle, differing bits of a link, seed of the shingle hash.
@@ -174,49 +172,8 @@ def _spanning(prints: np.ndarray, shape: np.ndarray, own: np.ndarray, role: np.n
     return links
 
 
-def _candidates(
-    prints: np.ndarray, shape: np.ndarray, own: np.ndarray, role: np.ndarray, label: np.ndarray | None, tight: int, radius: int
-) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-    """Candidates (i, j, tight) of one cell: links within ``tight`` that span, and all pairs within ``radius`` between their groups.
-
-    With labels the groups are given: only pairs within ``radius`` of different labels come.
-    """
-    rows = np.flatnonzero(_linked(prints, shape, own, radius))
-    if not len(rows):
-        return
-    prints, shape, own, role = prints[rows], shape[rows], own[rows], role[rows]
-    if label is None:
-        label = np.arange(len(rows))
-        links = _spanning(prints, shape, own, role, tight)
-        if links:
-            for v, w in links:  # a link's left end was reached before
-                label[w] = label[v]
-            a, b = np.array(links).T
-            yield rows[a], rows[b], True
-    else:
-        label = label[rows]
-    homes = np.flatnonzero(own)
-    step = max(1, STEP // len(rows))
-    for at in range(0, len(homes), step):
-        h = homes[at : at + step]
-        i, j = np.nonzero((label[h][:, None] != label[None]) & (differing(shape[h][:, None], shape[None]) <= radius))
-        i = h[i]
-        once = (~own[j] | (i < j)) & _meet(role[i], role[j])
-        i, j = i[once], j[once]
-        hit = differing(prints[i], prints[j]) <= radius
-        if hit.any():
-            yield rows[i[hit]], rows[j[hit]], False
-
-
-def _links(
-    batches: Iterator[pa.RecordBatch], radius: int, width: int, words: int | None = None, tight: int | None = None,
-    labelled: bool = False,
-) -> Iterator[pa.RecordBatch]:
-    """Links of the cells of one partition, whose rows come sorted by cell and pair of blocks.
-
-    Only the first ``words`` words are the print; the last is a label if ``labelled``.
-    With ``tight``: candidates (a, b, tight).
-    """
+def _links(batches: Iterator[pa.RecordBatch], radius: int, width: int) -> Iterator[pa.RecordBatch]:
+    """Links of the cells of one partition, whose rows come sorted by cell and pair of blocks."""
 
     def solved(t: pa.Table) -> pa.RecordBatch:
         keys = [t.column(n).to_numpy() for n in ("cell", "i", "j")]
@@ -229,19 +186,8 @@ def _links(
         starts = np.flatnonzero(new)
         ends = np.r_[starts[1:], len(own)]
         busy = (ends - starts > 1) & (np.add.reduceat(own.astype(np.int64), starts) > 0)
-        whole = as_words(column)
-        prints = np.ascontiguousarray(whole[:, :words])
+        prints = as_words(column)
         shape = unary(segment_counts(prints, width), width)
-        if tight is not None:
-            found = [
-                (s + x, s + y, np.full(len(x), near))
-                for s, e in zip(starts[busy].tolist(), ends[busy].tolist())
-                for x, y, near in _candidates(
-                    prints[s:e], shape[s:e], own[s:e], role[s:e], whole[s:e, -1] if labelled else None, tight, radius
-                )
-            ]
-            x, y, near = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0, bool))
-            return pa.RecordBatch.from_arrays([column.take(pa.array(x)), column.take(pa.array(y)), pa.array(near)], ["a", "b", "tight"])
         a: list[int] = []
         b: list[int] = []
         for s, e in zip(starts[busy].tolist(), ends[busy].tolist()):
@@ -286,12 +232,8 @@ def print_links(
     )
 
 
-def _placed(prints: DataFrame, width: int, block: int, group: int, groups: int, write_full: bool = False) -> DataFrame:
-    """Fingerprints dealt by cell and pair of blocks, and sorted by them.
-
-    With ``write_full`` the list of full cells is written first: Spark then knows
-    that it is small, and the cells are not shuffled for the join.
-    """
+def _placed(prints: DataFrame, width: int, block: int, group: int, groups: int) -> DataFrame:
+    """Fingerprints dealt by cell and pair of blocks, and sorted by them."""
     column, kind = prints.columns[0], prints.dtypes[0][1]
     cells = prints.select(F.col(column).alias("print")).mapInArrow(
         lambda batches: _cells(batches, width, group, groups), f"cell bigint, own boolean, print {kind}"
@@ -301,10 +243,17 @@ def _placed(prints: DataFrame, width: int, block: int, group: int, groups: int,
         .filter(F.col("n") > block)
         .select("cell", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     )
-    if write_full:
-        full = stored(full, "full")
-    dealt = cells.join(full, "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    mine = F.pmod(F.xxhash64("print"), F.col("blocks")).cast("int")
+    return in_blocks(cells.join(full, "cell", "left"), "print")
+
+
+def in_blocks(cells: DataFrame, key: str) -> DataFrame:
+    """Rows with a cell and its number of ``blocks`` (null: one), dealt by cell and pair of blocks and sorted by them.
+
+    A row of a cut cell comes once for every pair that its block, by the digest of ``key``, is in: i <= j are the blocks, and
+    role tells which of them it is in (1 left, 2 right, 3 both).
+    """
+    dealt = cells.withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    mine = F.pmod(F.xxhash64(key), F.col("blocks")).cast("int")
     others = F.sequence(F.lit(0), F.col("blocks") - 1)
 
     def spot(i: Column, j: Column, role: Column) -> Column:
@@ -319,13 +268,11 @@ def _placed(prints: DataFrame, width: int, block: int, group: int, groups: int,
             ),
         )
     )
-    placed = dealt.select("cell", "own", "print", F.explode(spots).alias("s")).select(
-        "cell", F.col("s.i").alias("i"), F.col("s.j").alias("j"), "own", F.col("s.role").alias("role"), "print"
-    )
-    return (
-        placed.repartition("cell", "i", "j")
-        .sortWithinPartitions("cell", "i", "j")
+    rest = [c for c in cells.columns if c not in ("cell", "own", "blocks")]
+    placed = dealt.select("cell", "own", *rest, F.explode(spots).alias("s")).select(
+        "cell", F.col("s.i").alias("i"), F.col("s.j").alias("j"), "own", F.col("s.role").alias("role"), *rest
     )
+    return placed.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
 
 
 def near_duplicates(
@@ -363,150 +310,3 @@ def _grouped(prints: DataFrame, links_of: Callable[[DataFrame], DataFrame]) -> D
     # Written first: the last join then deals both sides itself and can split the fingerprint of many copies.
     smallest = stored(smallest, "components")
     return prints.join(smallest, "print", "left").select("id", "print", "component_id")
-
-
-# --- similarity by wide fingerprints -----------------------------------------------
-
-#: Words of a shingle, and similarity (Jaccard) from which documents count as near copies.
-NEAR_SHINGLE, SIMILARITY = 5, 0.8
-#: Bits of a wide fingerprint; bits of a group and groups of its grids: all bits are used.
-WIDE, WIDE_GROUP, WIDE_GROUPS = 256, 16, 16
-#: Standard deviations above the mean of a pair just at the similarity: up to where pairs are candidates, and
-#: (below the mean) up to where they are so likely near copies that spanning links are tried first.
-CANDIDATE, LIKELY = 3.5, -1.0
-
-
-def _grams(text: str | None, shingle: int) -> set[bytes]:
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return set()
-    return {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))}
-
-
-def wide_point(text: str | None, shingle: int = NEAR_SHINGLE, seed: int = SEED) -> bytes:
-    """256-bit fingerprint of the set of a text's shingles, and 64 bits that tell sets of one fingerprint apart."""
-    grams = _grams(text, shingle)
-    if not grams:
-        return bytes(WIDE // 8 + 8)
-    ones = np.zeros(WIDE, dtype=np.int64)
-    raw = b"".join([xxhash.xxh3_128_digest(g, seed) + xxhash.xxh3_128_digest(g, seed + 1) for g in grams])
-    rows = np.frombuffer(raw, dtype=np.uint8).reshape(-1, WIDE // 8)
-    for at in range(0, len(rows), 65_536):
-        ones += np.unpackbits(rows[at : at + 65_536], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    print_ = np.packbits(ones * 2 > len(rows), bitorder="little").tobytes()
-    digests = np.frombuffer(raw, dtype="<u8").reshape(len(rows), -1)[:, 0]
-    return print_ + xxhash.xxh3_64_digest(np.sort(digests).tobytes(), seed)
-
-
-def wide_radius(similarity: float, deviations: float = CANDIDATE) -> int:
-    """Differing bits of a pair of that similarity, so many standard deviations above the mean."""
-    cosine = 2 * similarity / (1 + similarity)
-    share = math.acos(min(1.0, cosine)) / math.pi
-    return max(0, round(WIDE * share + deviations * math.sqrt(WIDE * share * (1 - share))))
-
-
-@functools.lru_cache(maxsize=16)
-def _digests(text: str, shingle: int, seed: int) -> frozenset[int]:
-    return frozenset(xxhash.xxh3_64_intdigest(g, seed) for g in _grams(text, shingle))
-
-
-def jaccard(a: str, b: str, shingle: int = NEAR_SHINGLE, seed: int = SEED) -> float:
-    """Similarity of two texts' sets of shingles, by 64-bit digest; two texts without words are the same."""
-    x, y = _digests(a, shingle, seed), _digests(b, shingle, seed)
-    both = len(x & y)
-    return both / (len(x) + len(y) - both) if x or y else 1.0
-
-
-def _near_links(
-    points: DataFrame, docs: DataFrame, text: str, shingle: int, similarity: float, seed: int, block: int
-) -> DataFrame:
-    """Links (a, b) of exact similarity, spanning the components of all of them that meet in a grid.
-
-    ``points`` (print, h) are the distinct sets of shingles, with the digest of a text of each.
-    Candidates are spanning links of likely pairs and all wider pairs between
-    the groups these make.  Where a likely link turns out false its group may
-    fall apart, so a second pass takes all pairs between the parts of such groups.
-    """
-    radius, tight, words = wide_radius(similarity), wide_radius(similarity, LIKELY), WIDE // 64
-
-    def candidates(frame: DataFrame, labelled: bool) -> DataFrame:
-        found = _placed(frame, SEGMENT, block, WIDE_GROUP, WIDE_GROUPS, write_full=True).mapInArrow(
-            lambda batches: _links(batches, radius, SEGMENT, words, tight, labelled), "a binary, b binary, tight boolean"
-        )
-        a, b = (F.substring(c, 1, WIDE // 8 + 8) for c in ("a", "b"))
-        pairs = found.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), "tight")
-        return stored(pairs.groupBy("a", "b").agg(F.max("tight").alias("tight")), "candidates")
-
-    alike = F.udf(lambda x, y: jaccard(x, y, shingle, seed) >= similarity, "boolean", useArrow=True)
-
-    def checked(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.col("a").alias("print")).union(pairs.select(F.col("b").alias("print"))).distinct()
-        wanted = stored(points.join(ends, "print", "left_semi").select("print", "h"), "ends")
-        told = docs.select(_text_key(text).alias("h"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-        told = told.join(wanted.select("h"), "h", "left_semi").groupBy("h").agg(F.first("t").alias("t"))
-        told = stored(told.join(wanted, "h").select("print", "t"), "texts")
-        both = pairs.join(told.select(F.col("print").alias("a"), F.col("t").alias("ta")), "a").join(
-            told.select(F.col("print").alias("b"), F.col("t").alias("tb")), "b"
-        )
-        return stored(both.select("a", "b", "tight", alike("ta", "tb").alias("near")), "checked")
-
-    first = checked(candidates(points.select("print"), False))
-    links = first.filter("near").select("a", "b")
-    false = first.filter("tight AND NOT near")
-    if false.isEmpty():
-        return links
-    parts = stored(components(links), "parts")
-    ends = false.select(F.col("a").alias("print")).union(false.select(F.col("b").alias("print"))).distinct()
-    broken = (
-        ends.join(parts.withColumnRenamed("node", "print"), "print", "left")
-        .select(F.coalesce("component", "print").alias("component")).distinct()
-    )
-    again = parts.join(broken, "component", "left_semi").select(F.col("node").alias("print"), "component").union(
-        broken.join(parts, "component", "left_anti").select(F.col("component").alias("print"), "component")
-    )
-    label = F.unhex(F.lpad(F.hex(F.xxhash64("component")), 16, "0"))
-    return links.union(
-        checked(candidates(stored(again.select(F.concat("print", label).alias("print")), "again"), True))
-        .filter("near").select("a", "b")
-    )
-
-
-def _text_key(text: str) -> Column:
-    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
-
-
-def similar_documents(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY,
-    seed: int = SEED, block: int = BLOCK,
-) -> DataFrame:
-    """(doc_id, component_id) for every row: documents chained by links of at least ``similarity``.
-
-    64 bits tell a similarity of 0.8 from chance no more, so the fingerprints have
-    256: the share of differing bits is the angle between the sets of shingles.
-    They only name candidates, 3.5 standard deviations beyond the mean of a pair just at the
-    similarity; a link is a candidate whose exact Jaccard similarity is high enough.
-    Candidates meet in the grids of 16 groups of 16 bits; a pair at 0.8 misses all
-    of them in a few cases in a thousand.
-    Nulls, copies and repeated rows are treated as by ``near_duplicates``.
-    """
-    wide = F.udf(lambda t: wide_point(t, shingle, seed), "binary", useArrow=True)
-    prints = stored(
-        docs.select(F.col(doc_id).alias("id"), _text_key(text).alias("h"), wide(F.col(text)).alias("print")), "prints"
-    )
-    points = stored(prints.groupBy("print").agg(F.min("h").alias("h")), "points")
-    found = _grouped(prints, lambda _: _near_links(points, docs, text, shingle, similarity, seed, block))
-    return found.select(F.col("id").alias(doc_id), "component_id")
-
-
-def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names their group of near-duplicates: one document of each group.
-
-    Rows that repeat a kept doc_id are not told apart and stay; rows with a null
-    doc_id stay as well.
-    """
-    key = free_name(docs, "_kept")
-    found = similar_documents(docs, doc_id, text, **options)
-    gone = (
-        found.filter(F.col(doc_id) != F.col("component_id")).select(F.col(doc_id).alias(key)).distinct()
-    )
-    return docs.join(gone, docs[doc_id] == gone[key], "left_anti")

@@ -7,7 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from armscope.llm import simhash
+from armscope.llm import near_text, simhash
 from armscope.llm.components import components
 
 
@@ -130,7 +130,7 @@ def test_near_copies_go_and_others_stay(spark, docs_of):
                 near += 1
             texts.append(text)
         texts.append(" ".join(origin[: len(origin) // 2] + [rng.choice(words) for _ in range(len(origin) // 2)]))
-    kept = {r["doc_id"] for r in simhash.keep_first(docs_of(texts)).collect()}
+    kept = {r["doc_id"] for r in near_text.keep_first(docs_of(texts)).collect()}
     origins, halves = {i * 6 for i in range(60)}, {i * 6 + 5 for i in range(60)}
     assert origins <= kept and halves <= kept
     gone = len(texts) - len(kept)
@@ -145,12 +145,12 @@ def test_dense_near_copies_are_one_group(spark, docs_of):
         copy = list(origin)
         copy[rng.randrange(400)] = f"x{i}"
         texts.append(" ".join(copy))
-    assert simhash.similar_documents(docs_of(texts)).select("component_id").distinct().count() == 1
+    assert near_text.similar_documents(docs_of(texts)).select("component_id").distinct().count() == 1
 
 
 def test_keep_first(docs_of):
     docs = docs_of(["a b c d e f", "A b c d e f", "q r s t", None, ""], clash=True)
-    kept = simhash.keep_first(docs)
+    kept = near_text.keep_first(docs)
     assert kept.columns == docs.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2, 3]
 
@@ -186,7 +186,7 @@ def test_links_are_exact_on_both_sides_of_the_similarity(spark, docs_of):
         else:
             continue
         texts += [a, b]
-    kept = {r["doc_id"] for r in simhash.keep_first(docs_of(texts)).collect()}
+    kept = {r["doc_id"] for r in near_text.keep_first(docs_of(texts)).collect()}
     for i in range(0, len(texts), 2):
         assert i in kept
         if jaccard(texts[i], texts[i + 1]) < 0.8:
@@ -214,5 +214,49 @@ def test_components_equal_brute_force_where_likely_links_are_false(spark, docs_o
                     low[i] = low[k] = min(low[i], low[k])
         if low == before:
             break
-    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs_of(texts)).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in near_text.similar_documents(docs_of(texts)).collect()}
     assert [got[i] for i in range(len(texts))] == low
+
+
+def test_proposals_grow_with_a_group_not_with_its_pairs(spark, docs_of, monkeypatch):
+    """Rows that the cells hand on to the exact check, for a family of near copies of doubling size."""
+    rng, rounds, rest = random.Random(21), [], []
+    proposals, between = near_text._proposals, near_text._between
+    monkeypatch.setattr(near_text, "_proposals", lambda *a: rounds.append(a[1]) or proposals(*a))
+    monkeypatch.setattr(near_text, "_between", lambda *a: rest.append(between(*a)) or rest[-1])
+    origin = [f"w{rng.randrange(9000)}" for _ in range(300)]
+    for n in (200, 3200):
+        rounds.clear(), rest.clear()
+        texts = []
+        for i in range(n):
+            copy = list(origin)
+            for at in rng.sample(range(300), 2):
+                copy[at] = f"n{rng.getrandbits(40)}"
+            texts.append(" ".join(copy))
+        assert near_text.similar_documents(docs_of(texts)).select("component_id").distinct().count() == 1
+        # A round hands on at most two pairs for each active text.
+        assert 2 * sum(rounds) + sum(df.count() for df in rest) <= 8 * n
+
+
+def test_repeated_and_null_ids_lose_their_copies(docs_of):
+    docs = docs_of(["a b c d e f", "a b c d e f", "q r s t"], clash=True)
+    docs = docs.unionByName(docs).unionByName(docs.selectExpr("cast(null AS bigint) doc_id", *docs.columns[1:]))
+    kept = near_text.keep_first(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2]
+    only = docs.filter("doc_id IS NULL").unionByName(docs.filter("doc_id IS NULL"))
+    assert sorted(r["text"] for r in near_text.keep_first(only).collect()) == ["a b c d e f", "q r s t"]
+    assert near_text.keep_first(docs.limit(0)).count() == 0
+
+
+def test_blocks_of_full_cells_give_the_same_components(docs_of):
+    rng, texts = random.Random(22), []
+    for _ in range(30):
+        origin = [f"w{rng.randrange(900)}" for _ in range(80)]
+        for _ in range(4):
+            texts.append(" ".join(origin))
+            origin[rng.randrange(80)] = f"n{rng.getrandbits(40)}"
+    whole, cut = (
+        {r["doc_id"]: r["component_id"] for r in near_text.similar_documents(docs_of(texts), block=b).collect()} for b in (20_000, 5)
+    )
+    assert whole == cut
