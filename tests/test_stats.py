@@ -66,6 +66,37 @@ def test_ratio_methods_agree_with_numpy(spark):
     assert abs(row["lo"] - lo) < 0.004 and abs(row["hi"] - hi) < 0.004
 
 
+def test_numpy_draws_are_the_column_draws(spark):
+    rows = spark.createDataFrame([(b, j) for b in (0, 7, 9_999) for j in range(1024)], "b long, j long")
+    want = [r[0] for r in rows.coalesce(1).select(stats.drawn_block(F.col("b"), F.col("j"))).collect()]
+    assert stats.drawn_blocks(np.array([0, 7, 9_999])).ravel().tolist() == want
+
+
+def test_board_of_many_is_each_alone(spark):
+    """One draw for all gives the figures of single intervals; null flags and missing subsets do not count."""
+    _, df = ratio_pairs(spark)
+    pairs = df.withColumn("d", F.col("m_d") > 9).withColumn("c", F.when(F.col("m_c") != 3, F.col("m_c") > 9))
+    even = F.col("id").cast("int") % 2 == 0
+    flag = lambda name: stats.flag_entry(name, F.col("d"), F.col("c"))
+    rows = stats.compared(
+        pairs, "id", flag("all"), F.when(even, flag("even")), F.when(F.col("id") == "x", flag("none")),
+        stats.ratio_entry("ratio", *[F.col(x) for x in ("m_d", "a_d", "m_c", "a_c")]),
+    )
+    got = {r["comparison"]: tuple(r)[1:5] for r in stats.ci_board(rows, 700).collect()}
+    alone = {
+        "all": stats.bootstrap_binary(pairs, "d", "c", 700, key="id"),
+        "even": stats.bootstrap_binary(pairs.filter(even), "d", "c", 700, key="id"),
+        "ratio": stats.bootstrap_ratio(pairs, "id", replicates=700),
+    }
+    assert got == {name: tuple(df.first()) for name, df in alone.items()}
+    assert got["all"][3] == pairs.filter("c IS NOT NULL").count() and got["ratio"][3] == 400
+
+
+def test_empty_pairs_give_nulls(spark):
+    empty = spark.createDataFrame([], "id string, d boolean, c boolean")
+    assert tuple(stats.bootstrap_binary(empty, "d", "c", 100, key="id").first()) == (None,) * 4
+
+
 def test_dense_index_and_running_total(spark):
     df = spark.range(5000).select(F.col("id").cast("string").alias("k"), (F.col("id") % 7).alias("v"))
     idx = sorted(r["i"] for r in dense_index(df, "k", "i").collect())
