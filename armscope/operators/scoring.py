@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from armscope.functions.graphtext import FEATURES, hop_count
-from armscope.functions.multiset import ngram_count, ngrams, overlap_size, repeats, token_digests
+from armscope.functions.multiset import ngram_count, shared_ngrams, token_digests
 from armscope.functions.text import (
     canon_sql, code_balanced, fold_key, is_blank, norm_ws, raw_key, text_or_empty, tokens_13a,
 )
@@ -20,10 +20,6 @@ LAST_BUCKET = "500+"
 #: Name of a missing group; a null group is the overall row of a board.
 UNKNOWN = "unknown"
 
-#: Repeats of an n-gram that are compared by hash before the rest is walked.
-PEELED_LEVELS = 3
-
-
 def rate(flag: Column) -> Column:
     """Mean of a boolean as a double."""
     return F.avg(flag.cast("double"))
@@ -59,25 +55,12 @@ def gleu_stats(pairs: DataFrame, pred_col: str, ref_col: str, max_n: int = 4) ->
     n_pred, n_ref = ngram_count(F.size("_tp"), max_n), ngram_count(F.size("_tr"), max_n)
     # Equal token lists, common among good predictions, need no n-grams at all.
     equal = F.col("_tp") == F.col("_tr")
-    step = tokens.withColumn("_hp", F.when(~equal, token_digests(F.col("_tp")))).withColumn(
-        "_hr", F.when(~equal, token_digests(F.col("_tr")))
-    )
-    step = step.withColumn("_p0", ngrams(F.col("_hp"), max_n)).withColumn(
-        "_r0", ngrams(F.col("_hr"), max_n)
-    )
-    # min(a, b) = 1 + min(a - 1, b - 1): the distinct part is a hash intersection,
-    # the repeats are peeled the same way, and only what is left is walked.
-    shared = F.lit(0)
-    for level in range(PEELED_LEVELS):
-        p, r = F.col(f"_p{level}"), F.col(f"_r{level}")
-        shared = shared + F.size(F.array_intersect(p, r))
-        step = step.withColumn(f"_p{level + 1}", repeats(p)).withColumn(f"_r{level + 1}", repeats(r))
-    shared = shared + overlap_size(F.col(f"_p{PEELED_LEVELS}"), F.col(f"_r{PEELED_LEVELS}"))
-    levels = [f"_{side}{n}" for side in "pr" for n in range(PEELED_LEVELS + 1)]
+    hashed = [F.when(~equal, token_digests(F.col(c))) for c in ("_tp", "_tr")]
+    step = tokens.withColumn("_shared", shared_ngrams(*hashed, max_n))
     return (
-        step.withColumn("gleu_match", F.when(equal, n_ref).otherwise(shared).cast("bigint"))
+        step.withColumn("gleu_match", F.when(equal, n_ref).otherwise(F.col("_shared")).cast("bigint"))
         .withColumn("gleu_all", F.greatest(n_pred, n_ref).cast("bigint"))
-        .drop("_tp", "_tr", "_hp", "_hr", *levels)
+        .drop("_tp", "_tr", "_shared")
     )
 
 
