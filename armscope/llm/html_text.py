@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 _TOKEN = re.compile(
     r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?>\"[^\"]*\"|'[^']*'|[^>\"'])*+)(?:>|\Z)", re.S
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?>\"[^\"]*\"|'[^']*'|[^>\"'])*+)(?:>|\Z)"
+    r"|<(?P<end_>/?)(?P<tag_>[a-zA-Z][^\s/>]*)(?P<attrs_>[^>]*)(?:>|\Z)", re.S  # a quote that never ends: up to the next >
 )
 _ATTR = re.compile(r"([^\s=/>\"']+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
 
@@ -31,15 +32,19 @@ DROPPED = frozenset(
     "nav header footer aside form script style template noscript iframe object embed svg canvas audio video button "
     "select option textarea input label fieldset dialog menu head title".split()
 )
-#: Words that mark what is not article text, as a class, id or role or before the first punctuation in one.
+#: Words that mark what is not article text, as the first or the last word of a class, id or role.
 NOISE = frozenset(
-    "ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promos promoted "
+    "ad ads adsbygoogle advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promos promoted "
     "promotion banner nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars header footer masthead "
     "comment comments commentlist respond reply replies disqus cookie cookies consent gdpr notice notices popup "
     "modal newsletter subscribe subscription signup login sharing social pagination pager contentinfo complementary search".split()
 )
 #: Those that mark discussions, which may be longer than the article.
 TALK = frozenset("comment comments commentlist respond reply replies disqus".split())
+#: Words that turn a mark into a property of a wrapper, as in page-with-header.
+ABOUT = frozenset("has with no without".split())
+#: Before "header" these make the article's own heading.
+HEADED = frozenset("article content entry post section story".split())
 #: Elements that hold whole pages or articles; only one of these as a whole class word marks them as noise.
 WHOLE = frozenset("html body article main".split())
 WHOLE_NOISE = frozenset("comment reply ad advert advertisement sponsored promo teaser".split())
@@ -69,8 +74,20 @@ class Node:
         self.density = self.total = 0.0
 
 
-#: What a class, id or role begins with, up to the first punctuation.
-_HEAD = re.compile(r"[a-z0-9]*")
+#: Words of a class, id or role: parted by punctuation and by the humps of camel case.
+_WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z0-9]+|[0-9]+")
+
+
+def _marks(value: str) -> set[str]:
+    """First and last word of every name in a class, id or role, and the whole name."""
+    marks = set()
+    for name in value.split():
+        words = [w.lower() for w in _WORDS.findall(name)]
+        if words and ABOUT.isdisjoint(words):
+            marks |= {name.lower(), words[0]}
+            if words[-1] != "header" or words[0] not in HEADED:
+                marks.add(words[-1])
+    return marks
 
 
 #: How sure it is that an element is noise: a marked one or a form may yet be a wrapper of the article.
@@ -82,15 +99,16 @@ def _noise(tag: str, attrs: str) -> int:
     if not attrs or level == SURE:
         return level
     for name, a, b, c in _ATTR.findall(attrs):
-        name, value = name.lower(), (a or b or c).lower()
+        name, raw = name.lower(), a or b or c
+        value = raw.lower()
         if tag in WHOLE:
             if name == "class" and not WHOLE_NOISE.isdisjoint(value.split()):
                 return SURE
         elif name in ("class", "id", "role"):
-            heads = {_HEAD.match(w)[0] for w in value.split()}
-            if not TALK.isdisjoint(heads):
+            marks = _marks(raw)
+            if not TALK.isdisjoint(marks):
                 level = TALKED
-            elif not NOISE.isdisjoint(heads):
+            elif not NOISE.isdisjoint(marks):
                 level = max(level, MARKED)
         if name == "hidden" or name == "aria-hidden" and value == "true":
             return SURE
@@ -136,67 +154,101 @@ def _settle(top: Node) -> None:
 _RAW_END = {tag: re.compile(f"</{tag}(?=[\\s/>])[^>]*>?", re.I) for tag in RAW}
 
 
-def _closed(at: Node, tag: str, top: Node) -> Node:
-    """Where a start tag goes: above the open elements that it ends."""
-    closes, stops = ENDS[tag]
-    node, found = at, None
-    while node is not top and node.tag not in stops:
-        if node.tag in closes:
-            found = node
-        elif node.tag in BLOCKS and node.tag not in ("div", "address"):
-            break
-        node = node.parent
-    return at if found is None else found.parent
+class Open:
+    """The innermost open element, and how many elements of each tag are open around it.
 
+    The counts end a search for an open element when there is none left to find.
+    """
 
-def _ended(at: Node, tag: str) -> Node:
-    """Where an end tag leads: out of its element, unless a block stands between for an inline tag."""
-    node = at
-    while node is not None and node.tag != tag:
-        if node.tag in BLOCKS and tag not in BLOCKS:
-            return at
-        node = node.parent
-    return at if node is None or node.parent is None else node.parent
+    def __init__(self, top: Node):
+        self.top = self.at = top
+        self.count: dict[str, int] = {}
+
+    def enter(self, node: Node) -> None:
+        self.at = node
+        self.count[node.tag] = self.count.get(node.tag, 0) + 1
+
+    def leave_to(self, node: Node) -> None:
+        while self.at is not node:
+            self.count[self.at.tag] -= 1
+            self.at = self.at.parent
+
+    def make_room(self, tag: str) -> None:
+        """Leave the open elements that a start tag ends."""
+        closes, stops = ENDS[tag]
+        node, found, left = self.at, None, sum(self.count.get(t, 0) for t in closes)
+        while left and node is not self.top and node.tag not in stops:
+            if node.tag in closes:
+                found, left = node, left - 1
+            elif node.tag in BLOCKS and node.tag not in ("div", "address"):
+                break
+            node = node.parent
+        if found is not None:
+            self.leave_to(found.parent)
+
+    def end(self, tag: str) -> None:
+        """Leave the element of an end tag, unless a block stands between for an inline tag."""
+        if not self.count.get(tag):
+            return
+        node = self.at
+        while node.tag != tag:
+            if node.tag in BLOCKS and tag not in BLOCKS:
+                return
+            node = node.parent
+        self.leave_to(node.parent)
 
 
 def parse(page: str) -> Node:
-    """The page's element tree; unclosed, crossed and cut-off tags are taken as browsers take them."""
-    top = at = Node("html", None)
-    pos, search, marked = 0, _TOKEN.search, False
+    """The page's element tree; unclosed, crossed and cut-off tags are taken as browsers take them.
+
+    A tag with a quote that never ends goes up to the next >.
+    """
+    top = Node("html", None)
+    tree, pos, search, marked = Open(top), 0, _TOKEN.search, False
     while m := search(page, pos):
         if m.start() > pos:
-            at.items.append(page[pos : m.start()])
+            tree.at.items.append(page[pos : m.start()])
         pos = m.end()
         end, tag, attrs = m.group("end", "tag", "attrs")
+        if tag is None:
+            end, tag, attrs = m.group("end_", "tag_", "attrs_")
         if tag is None:  # a comment, a declaration, or text in CDATA
             if m[0].startswith("<![CDATA["):
-                at.items.append(m[0][9:-3].replace("&", "&amp;"))
+                tree.at.items.append(m[0][9:-3].replace("&", "&amp;"))
             continue
         tag = tag.lower()
         if end:
-            at = _ended(at, tag)
+            tree.end(tag)
         elif tag in VOID:
             if tag in ("br", "hr", "wbr"):
-                at.items.append(Node(tag, at))
+                tree.at.items.append(Node(tag, tree.at))
         elif tag not in ("html", "body"):
             if tag in ENDS:
-                at = _closed(at, tag, top)
-            node = Node(tag, at, _noise(tag, attrs))
+                tree.make_room(tag)
+            node = Node(tag, tree.at, _noise(tag, attrs))
             marked = marked or MARKED <= node.noise < SURE
-            at.items.append(node)
+            tree.at.items.append(node)
             if tag in RAW:
                 close = _RAW_END[tag].search(page, pos)
                 node.items.append(page[pos : close.start() if close else len(page)])
                 pos = close.end() if close else len(page)
             else:
-                at = node
+                tree.enter(node)
     if pos < len(page):
-        at.items.append(page[pos:])
+        tree.at.items.append(page[pos:])
     if marked:
         _settle(top)
     return top
 
 
+def _density(chars: int, tags: int, link_chars: int, link_tags: int, body_share: float) -> float:
+    if not chars:
+        return 0.0
+    tags, lc, lt = max(1, tags), max(1, link_chars), max(1, link_tags)
+    base = math.log(chars / max(1, chars - link_chars) * link_chars + body_share * chars + math.e)
+    return chars / tags * math.log(max(1.0, chars / lc * tags / lt)) / max(1e-9, math.log(base + 1))
+
+
 def measure(top: Node) -> list[Node]:
     """Fill the counts and densities of all nodes that are not noise; returns them, parents first.
 
@@ -226,24 +278,22 @@ def measure(top: Node) -> list[Node]:
             up.link_tags += node.link_tags + (node.tag == "a")
     body_share = top.link_chars / max(1, top.chars)
     for node in nodes:
-        c, t, lc, lt = node.chars, max(1, node.tags), max(1, node.link_chars), max(1, node.link_tags)
-        if c:
-            base = math.log(c / max(1, c - node.link_chars) * node.link_chars + body_share * c + math.e)
-            node.density = c / t * math.log(max(1.0, c / lc * t / lt)) / max(1e-9, math.log(base + 1))
+        node.density = _density(node.chars, node.tags, node.link_chars, node.link_tags, body_share)
     for node in nodes:
         if node.parent is not None:
             node.parent.total += node.density
     return nodes
 
 
-def main_nodes(top: Node) -> list[Node]:
+def main_nodes(top: Node) -> list[Node | str]:
     """The branches that hold the article, in page order.
 
     From the node with the largest density sum the search goes up to an enclosing
-    article or main element, if there is one: that is the branch.  Without one,
-    it goes up as long as the parent's other branches reach the threshold; all
-    branches of that parent that reach it are taken, with the short ones
-    between two of them.
+    article or main element, if there is one: that is the branch, and with an article
+    the articles beside it that are at least half as dense, as a story in parts has them.
+    Without one it goes up to the last parent that has other branches which reach the threshold;
+    of that parent all from the first to the last branch that reaches it are taken, the short
+    ones between them too.  Text that stands directly in a parent is a branch like any other.
     """
     nodes = [n for n in measure(top) if n.chars]
     if not nodes:
@@ -252,24 +302,32 @@ def main_nodes(top: Node) -> list[Node]:
     path = [best]
     while path[-1].parent is not None:
         path.append(path[-1].parent)
-    for node in path:
-        if node.tag in ("article", "main"):
-            return [node]
-    articles = [n for n in nodes if n.tag in ("article", "main")]
-    if articles:
-        return [max(articles, key=lambda n: n.chars)]
-    threshold = min(n.density for n in path)
-    chosen = [best]
-    for node in path[1:]:
-        branches = [x for x in node.items if isinstance(x, Node) and not x.noise and x.chars]
-        dense = [i for i, x in enumerate(branches) if x.density >= threshold and x.tag in BLOCKS or x in path]
-        if len(dense) > 1 or any(isinstance(x, str) and x.strip() for x in node.items):
-            chosen = [node]
+    enclosing = next((n for n in path if n.tag in ("article", "main")), None)
+    if enclosing is None:
+        enclosing = max((n for n in nodes if n.tag in ("article", "main")), key=lambda n: n.chars, default=None)
+    if enclosing is not None:
+        if enclosing.tag == "main":
+            return [enclosing]
+        beside = [x for x in enclosing.parent.items if isinstance(x, Node) and x.tag == "article" and not x.noise]
+        return [x for x in beside if x is enclosing or x.chars and x.density >= enclosing.density / 2]
+    threshold, share = min(n.density for n in path), top.link_chars / max(1, top.chars)
+    chosen: list[Node | str] = [best]
+    for child, node in zip(path, path[1:]):
+        dense = []
+        for i, x in enumerate(node.items):
+            if isinstance(x, str):
+                n = sum(map(len, x.split()))
+                if n and _density(n, 0, 0, 0, share) >= threshold:
+                    dense.append(i)
+            elif x is child or not x.noise and x.chars and x.tag in BLOCKS and x.density >= threshold:
+                dense.append(i)
+        if len(dense) > 1:
+            chosen = node.items[dense[0] : dense[-1] + 1]
     return chosen
 
 
-def text_of(node: Node) -> str:
-    """Text of a branch: one line per block, white space in a block as one space."""
+def text_of(branches: list[Node | str]) -> str:
+    """Text of branches: one line per block, white space in a block as one space."""
     blocks: list[str] = []
     line: list[str] = []
 
@@ -279,14 +337,14 @@ def text_of(node: Node) -> str:
         if text := " ".join((html.unescape(text) if "&" in text else text).split()):
             blocks.append(text)
 
-    stack: list[Node | str | None] = [node]
+    stack: list[Node | str | None] = list(reversed(branches))
     while stack:
         x = stack.pop()
         if x is None:
             flush()
         elif isinstance(x, str):
             line.append(x)
-        elif x is node or not x.noise:
+        elif not x.noise:
             block = x.tag in BLOCKS
             if block:
                 flush()
@@ -302,8 +360,7 @@ def main_text(page: str | None) -> str:
     """Main text of one page; empty for null, empty and text-free pages."""
     if not page:
         return ""
-    parts = [text_of(n) for n in main_nodes(parse(page))]
-    return "\n".join(p for p in parts if p)
+    return text_of(main_nodes(parse(page)))
 
 
 def extract(page: Column) -> Column:

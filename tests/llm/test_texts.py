@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import time
 
 import public_tokenizers
 import pytest
@@ -195,6 +196,48 @@ def test_marked_elements_beside_or_in_the_article_still_go():
     assert html_text.main_text(f"<article>{POST}<div class='related'>kept</div></article>") == want + "\nkept"
 
 
+@pytest.mark.parametrize("name", [
+    "post-comments", "article-comments", "post_comments", "commentThread", "adsbygoogle", "in-article-ad", "google-ads",
+    "site-footer", "main-nav", "blog-sidebar", "PostComments", "cookie-bar", "x leftSidebar",
+])
+def test_noise_by_the_first_or_last_word(name):
+    want = "\n".join([LONG.strip()] * 2)
+    assert html_text.main_text(f"<article><p>{LONG}</p><div class='{name}'><p>no</p></div><p>{LONG}</p></article>") == want
+    assert html_text.main_text(f"<div><p>{LONG}</p><div id='{name.split()[-1]}'><p>no</p></div><p>{LONG}</p></div>") == want
+
+
+def test_the_heading_of_an_article_is_no_page_header():
+    assert html_text.main_text(f"<article><div class='entry-header'><h1>T</h1></div>{POST}</article>").startswith("T\n")
+
+
+def test_without_an_article_only_dense_branches_are_taken():
+    links = "<ul>" + "".join(f"<li><a href=t{i}>topic number {i}</a></li>" for i in range(30)) + "</ul>"
+    want = "\n".join([LONG.strip()] * 2)
+    for before in ("", "Skip", "<a href=#x>Skip</a>"):
+        assert html_text.main_text(f"<body>{before}{links}<div id=content>{POST}</div>{links}</body>") == want
+
+
+def test_story_in_sibling_articles():
+    teaser = "<article><h2><a href=x>Other story</a></h2><p>two words</p></article>"
+    parts = f"<article><h2>One</h2>{POST}</article><p>between</p><article><h2>Two</h2>{POST}</article>"
+    body = "\n".join([LONG.strip()] * 2)
+    assert html_text.main_text(f"<div>{parts}{teaser}</div>") == f"One\n{body}\nTwo\n{body}"
+
+
+def test_a_quote_that_never_ends_spoils_one_tag():
+    assert html_text.main_text("<p a='" + "x" * 200_000) == ""
+    assert html_text.main_text("<p a='x>one</p><p>two</p>") == "one\ntwo"
+
+
+@pytest.mark.parametrize("page,chars", [
+    ("<b>" * 40_000 + "deep" + "</b>" * 40_000, 4), ("<div><p>x" * 8_000, 15_999), ("<p>" + "<span>" * 40_000 + "x" + "</i>" * 40_000, 1),
+])
+def test_deep_pages_take_time_in_proportion(page, chars):
+    start = time.time()
+    assert len(html_text.main_text(page)) == chars
+    assert time.time() - start < 3
+
+
 def test_pages_query_rows(spark):
     rows = [(i, "http://x", p) for i, (p, _) in enumerate(PAGES)]
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("text", F.lit(1))
