@@ -9,7 +9,10 @@ probability that its cell's scaling asks for.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +22,8 @@ from armscope.llm.common import Rounds, free_prefix, stored, words_of
 SWEEPS, TOLERANCE = 4, 1e-9
 #: Looks after which targets count as contradictory, and the seed of the draw.
 MAX_LOOKS, SEED = 60, 42
+#: Up to so many cells and targets one task does all sweeps; a larger table is raked by distributed rounds.
+TASK_ROWS = 200_000
 #: Targets are natural shares to this power, so large categories shrink towards small ones.
 TEMPER = 0.9
 
@@ -67,38 +72,94 @@ def _error(cells: DataFrame, targets: dict[str, DataFrame]) -> float:
     return worst.agg(F.max("e")).first()[0] or 0.0
 
 
-def rake(
-    cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS, tolerance: float = TOLERANCE
-) -> DataFrame:
-    """``cells`` (keys, tokens) plus ``w``, their raked share of tokens, and ``rate``.
+def _one_task(rows: DataFrame, by: list[str], total: float, sweeps: int, tolerance: float) -> DataFrame:
+    """The cells of ``rows`` with ``w`` and ``_off``, the largest error of a margin; the same sweeps as in tables.
 
-    targets: for every key column a table (key, target) whose targets sum to 1.  Every
-    step is a sum per value, combined on the map side, joined back to the cells; a
-    sweep is written to the shared folder.  After every ``sweeps`` sweeps the largest
-    error of a margin is looked at, until it is at most ``tolerance``.  Targets that
-    contradict each other, or ask for values without tokens, raise a ValueError: the error
-    then falls no more.  ``rate`` is w per token over its largest value, so it is at most
-    1 and the drawn tokens keep the raked mixture.  Cells without tokens have rate 1.
-    Without any tokens all shares are 0, and nothing is raked.  Only sums come to the driver.
+    ``rows`` holds the cells (``_by`` -1) and the targets of margin i (``_by`` i), a bounded table.
     """
-    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+
+    def solve(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        every = pd.concat(list(parts), ignore_index=True)
+        cells = every[every["_by"] < 0]
+        w = cells["tokens"].to_numpy(dtype=float) / total
+        margins = []
+        for i, name in enumerate(by):
+            goal = every[every["_by"] == i]
+            codes, values = pd.factorize(pd.concat([cells[name], goal[name]]))
+            target = np.zeros(len(values))
+            target[codes[len(cells) :]] = goal["target"].to_numpy(dtype=float)
+            margins.append((codes[: len(cells)], target))
+        before, off = math.inf, 0.0
+        for _ in range(MAX_LOOKS):
+            for _ in range(sweeps):
+                for codes, target in margins:
+                    now = np.bincount(codes, weights=w, minlength=len(target))
+                    w = w * np.divide(target, now, out=np.zeros_like(now), where=now > 0)[codes]
+            off = max(np.abs(np.bincount(c, weights=w, minlength=len(t)) - t).max() for c, t in margins)
+            if off <= tolerance or off > 0.99 * before:
+                break
+            before = off
+        yield cells[[*by, "tokens"]].assign(w=w, _off=off)
+
+    types = {f.name: f.dataType.simpleString() for f in rows.schema}
+    schema = ", ".join(f"`{c}` {types[c]}" for c in [*by, "tokens"]) + ", w double, _off double"
+    return rows.coalesce(1).mapInPandas(solve, schema)
+
+
+def _in_tables(
+    cells: DataFrame, targets: dict[str, DataFrame], total: float, sweeps: int, tolerance: float
+) -> tuple[DataFrame, float]:
+    """Cells with ``w`` and the largest error of a margin, by sums per value that join back to the cells."""
     rounds = Rounds(cells.sparkSession, "cells")
-    now = cells.withColumn("w", F.col("tokens") / F.lit(total or 1.0))
+    now = cells.withColumn("w", F.col("tokens") / F.lit(total))
     before = math.inf
-    for _ in range(MAX_LOOKS if total else 0):
+    for _ in range(MAX_LOOKS):
         for _ in range(sweeps):
             for by, target in targets.items():
                 now = _scaled(now, by, target)
             now = rounds.put(now)
-        error = _error(now, targets)
-        if error <= tolerance:
+        off = _error(now, targets)
+        if off <= tolerance or off > 0.99 * before:
             break
-        if error > 0.99 * before:
-            raise ValueError(f"the targets contradict each other: a margin stays off by {error:.3g}")
-        before = error
+        before = off
+    return now, off
+
+
+def rake(
+    cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS, tolerance: float = TOLERANCE,
+    task_rows: int = TASK_ROWS,
+) -> DataFrame:
+    """``cells`` (keys, tokens) plus ``w``, their raked share of tokens, and ``rate``.
+
+    targets: for every key column a table (key, target) whose targets sum to 1; keys are not null.
+    After every ``sweeps`` sweeps the largest error of a margin is looked at, until it is at most
+    ``tolerance``.  Targets that contradict each other, or ask for values without tokens, raise a
+    ValueError: the error then falls no more.  ``rate`` is w per token over its largest value, so it
+    is at most 1 and the drawn tokens keep the raked mixture.  Cells without tokens have rate 1.
+    Without any tokens all shares are 0, and nothing is raked.  Only sums come to the driver.
+
+    Up to ``task_rows`` cells and targets, counted first, all sweeps run in one job and one task.
+    Beyond, every step is a sum per value, combined on the map side and joined back, and every sweep
+    a table in the shared folder.
+    """
+    by = list(targets)
+    rows = cells.select(*by, "tokens", F.lit(-1).alias("_by"), F.lit(None).cast("double").alias("target"))
+    for i, (name, target) in enumerate(targets.items()):
+        rows = rows.unionByName(
+            target.select(name, F.col("target").cast("double"), F.lit(i).alias("_by")), allowMissingColumns=True
+        )
+    n, total = rows.agg(F.count(F.lit(1)), F.sum("tokens")).first()
+    total, off = float(total or 0), 0.0
+    if not total:
+        now = cells.withColumn("w", F.lit(0.0))
+    elif n <= task_rows:
+        now = stored(_one_task(rows, by, total, sweeps, tolerance), "raked")
+        off = now.select("_off").first()[0]
+        now = now.drop("_off")
     else:
-        if total:
-            raise ValueError(f"a margin is off by {before:.3g} after {MAX_LOOKS * sweeps} sweeps")
+        now, off = _in_tables(cells, targets, total, sweeps, tolerance)
+    if off > tolerance:
+        raise ValueError(f"the targets contradict each other: a margin stays off by {off:.3g}")
     per_token = F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens"))
     top = now.agg(F.max(per_token)).first()[0] or 1.0
     return now.withColumn("rate", F.coalesce(per_token / F.lit(top), F.lit(1.0)))

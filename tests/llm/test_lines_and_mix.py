@@ -74,6 +74,24 @@ def test_raking_ends_at_the_tolerance_and_says_when_it_cannot(spark):
         )
 
 
+def test_raking_in_tables_is_raking_in_one_task(spark):
+    rows = [("a", "en", "p", 900), ("a", "de", "q", 1), ("b", "en", "p", 3), ("b", "de", "q", 96), ("b", "en", "q", 0)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens bigint")
+    want = {"source": {"a": 0.3, "b": 0.7}, "lang": {"en": 0.6, "de": 0.4}}
+    goals = {k: spark.createDataFrame(list(v.items()), f"{k} string, target double") for k, v in want.items()}
+    found = []
+    for task_rows in (0, 1000):
+        out = mixing.rake(cells.drop("topic"), goals, sweeps=2, task_rows=task_rows).collect()
+        found.append(sorted((r["source"], r["lang"], r["tokens"], r["w"], r["rate"]) for r in out))
+    assert len(found[0]) == len(found[1]) == 5
+    for x, y in zip(*found):
+        assert x[:3] == y[:3] and x[3:] == pytest.approx(y[3:], abs=1e-12)
+    for task_rows in (0, 1000):
+        with pytest.raises(ValueError):
+            clash = spark.createDataFrame([("a", 0.5), ("c", 0.5)], "source string, target double")
+            mixing.rake(cells.drop("topic"), {"source": clash}, task_rows=task_rows)
+
+
 def test_mixed_edges(docs_of, edges):
     rows = [(t, None if i % 3 == 0 else "en", None if i % 4 == 0 else "s") for i, t in enumerate(edges)]
     docs = docs_of(rows, clash=True)
