@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from armscope.functions.graphtext import REL_ORDERED
-from armscope.functions.keys import BUCKET_DIGITS, running_total
+from armscope.functions.keys import BUCKET_ROWS, running_total
 from armscope.functions.text import is_blank, strip_blank, words
 from armscope.operators.parsing import MARKERS
 
@@ -206,16 +206,16 @@ def truncation_report(
 
 
 def pack_blocks(
-    rows: DataFrame, id_col: str, n_tokens: Column, block: int = BLOCK_TOKENS, digits: int = BUCKET_DIGITS
+    rows: DataFrame, id_col: str, n_tokens: Column, block: int = BLOCK_TOKENS, bucket_rows: int = BUCKET_ROWS
 ) -> DataFrame:
     """Lay all rows end to end and cut the stream into blocks of ``block`` tokens.
 
     One row per piece: (block_id, id, row_from, row_to, block_from).  The order
-    of the rows is (bucket, id); offsets come from two-pass prefix sums, so the
-    borders are those of one sequential pass in that order.
+    of the rows is (md5 of id, id); offsets come from prefix sums on two levels, so the
+    borders are those of one sequential pass in that order, whatever the number of ranges.
     """
     sized = rows.select(id_col, n_tokens.cast("bigint").alias("_n")).filter(F.col("_n") > 0)
-    placed = running_total(sized, id_col, "_n", "_from", digits)
+    placed = running_total(sized, id_col, "_n", "_from", bucket_rows)
     width = F.lit(block).cast("bigint")
     first = F.floor(F.col("_from") / width)
     last = F.floor((F.col("_from") + F.col("_n") - 1) / width)

@@ -126,5 +126,5 @@ def count_rx(e: str, pattern: str) -> str:
     return f"len(regexp_extract_all({e}, '{pattern}'))"
 
 
-def bucket_order(key: str) -> str:
-    return f"substr(md5({key}), 1, 3), {key}"
+def digest_order(key: str) -> str:
+    return f"md5({key}), {key}"

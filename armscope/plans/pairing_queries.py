@@ -127,6 +127,12 @@ def _decon(level: str, key: str) -> str:
 SELECT instance_id, source FROM s WHERE side = 'train' AND kk NOT IN (SELECT kk FROM s WHERE side = 'test')"""
 
 
+@query("decontaminate_id", _decon("id", "CAST(instance_id AS VARCHAR)"))
+def decontaminate_id(spark, sf):
+    train, test = sides(spark, sf)
+    return op.decontaminate(train, test, "id", "instance_id", "question", "query").select("instance_id", "source")
+
+
 @query("decontaminate_question", _decon("question", d.norm_ws("question")))
 def decontaminate_question(spark, sf):
     train, test = sides(spark, sf)

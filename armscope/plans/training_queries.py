@@ -197,7 +197,7 @@ def truncation_report(spark, sf):
 @query(
     "pack_blocks",
     f"""WITH t AS ({fx.TRACES}), k AS (SELECT instance_id, len({d.words('reasoning')}) AS n FROM t),
-z AS (SELECT *, sum(n) OVER (ORDER BY {d.bucket_order('instance_id')}) - n AS f FROM k WHERE n > 0),
+z AS (SELECT *, sum(n) OVER (ORDER BY {d.digest_order('instance_id')}) - n AS f FROM k WHERE n > 0),
 e AS (SELECT *, unnest(range(CAST(f // 1600 AS BIGINT), CAST((f + n - 1) // 1600 AS BIGINT) + 1)) AS block_id FROM z)
 SELECT block_id, instance_id, CAST(greatest(0, block_id * 1600 - f) AS BIGINT) AS row_from,
   CAST(least(n, (block_id + 1) * 1600 - f) AS BIGINT) AS row_to,

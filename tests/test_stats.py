@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from armscope.functions.keys import dense_index, running_total
 from armscope.operators import stats
+from armscope.operators.resampling import pair_bootstrap, replicate_sums
 
 
 def flags(spark, n11, n01, n10, n00):
@@ -108,6 +109,61 @@ def test_dense_index_and_running_total(spark):
         total += r["v"]
 
 
+def test_prefix_sums_do_not_depend_on_the_ranges(spark):
+    df = spark.range(3000).select(F.col("id").cast("string").alias("k"), (F.col("id") % 5).alias("v"))
+    found = [
+        sorted((r["k"], r["before"]) for r in running_total(df, "k", "v", "before", rows).collect())
+        for rows in (10_000, 700, 9)
+    ]
+    assert found[0] == found[1] == found[2]
+    assert running_total(df.filter("false"), "k", "v", "before").count() == 0
+
+
+def test_a_hot_amount_and_large_keys_stay_in_even_ranges(spark):
+    """One row holds nearly all of the amount: offsets behind it are right, and no range holds it with all others."""
+    df = spark.range(1000).select(F.concat(F.lit("x" * 50), "id").alias("k"), F.when(F.col("id") == 3, 10**12).otherwise(1).alias("v"))
+    rows = sorted((r["before"], r["v"]) for r in running_total(df, "k", "v", "before", 50).collect())
+    total = 0
+    for before, v in rows:
+        assert before == total
+        total += v
+
+
+def test_pair_bootstrap_agrees_with_numpy_and_with_blocks(spark):
+    rows, df = ratio_pairs(spark, 600)
+    x = np.array([r[1:] for r in rows], dtype=float)
+    idx = np.random.default_rng(0).integers(0, len(x), size=(4000, len(x)))
+    t, s = x.sum(axis=0), x[idx].sum(axis=1)
+    lo, hi = np.percentile(s[:, 2] / s[:, 3] - s[:, 0] / s[:, 1], [2.5, 97.5])
+    blocks = stats.bootstrap_ratio(df, "id", replicates=4000).first()
+    for leaf_kinds in (4096, 40):  # one leaf, and a tree of some 16 leaves
+        row = pair_bootstrap(df, replicates=4000, leaf_kinds=leaf_kinds).first()
+        assert abs(row["delta"] - (t[2] / t[3] - t[0] / t[1])) < 1e-12 and row["n"] == 600
+        assert abs(row["lo"] - lo) < 0.003 and abs(row["hi"] - hi) < 0.003
+        assert abs(row["lo"] - blocks["lo"]) < 0.004 and abs(row["hi"] - blocks["hi"]) < 0.004
+
+
+def test_every_replicate_draws_as_many_pairs_as_there_are(spark):
+    """However the tree splits the draws, none is lost or made twice, and the result repeats."""
+    kinds = spark.range(3000).selectExpr("id AS m_d", "1L AS a_d", "id % 7 AS m_c", "2L AS a_c", "1 + id % 3 AS w")
+    n = kinds.agg(F.sum("w")).first()[0]
+    for leaf_kinds in (4096, 1000, 100):
+        rows = replicate_sums(kinds, 600, 42, leaf_kinds).orderBy("b").collect()
+        assert [r["b"] for r in rows] == list(range(600))
+        assert all(r["a_d"] == n and r["a_c"] == 2 * n for r in rows)
+        assert len({r["m_d"] for r in rows}) > 590
+    assert replicate_sums(kinds.repartition(7), 600, 42, 100).orderBy("b").collect() == rows
+
+
+def test_pair_bootstrap_edges(spark):
+    schema = "m_d long, a_d long, m_c long, a_c long"
+    none = pair_bootstrap(spark.createDataFrame([], schema), replicates=50).first()
+    assert tuple(none) == (None, None, None, 0)
+    hot = spark.createDataFrame([(1, 2, 1, 2)] * 500 + [(None, 1, 1, None)], schema)
+    row = pair_bootstrap(hot, replicates=200, leaf_kinds=1).first()
+    assert row["n"] == 501 and abs(row["delta"] - (501 / 1000 - 500 / 1001)) < 1e-12
+
+
 def test_flag_text(spark):
     df = spark.createDataFrame([("True",), ("False",), ("true",), (None,)], "v string")
     assert [r[0] for r in df.select(F.coalesce(stats.as_flag(F.col("v")), F.lit(False))).collect()] == [True, False, True, False]
