@@ -17,35 +17,47 @@ from armscope.operators.scoring import rate
 AMBIGUITY_CAP = 4
 
 
-def schema_relations(rows: DataFrame, schema_col: str, pattern: str = g.SCHEMA_ARROW) -> DataFrame:
-    """Relations of every different schema text: (schema_key, label_a, rel, label_b).
+def schema_dictionary(
+    rows: DataFrame, schema_col: str, patterns: str | Sequence[str] = g.SCHEMA_FORMS
+) -> DataFrame:
+    """(schema_key, declared): every different schema text once, with the distinct relations it declares.
 
-    Texts are read where they lie and never shuffled: rows that share a schema
-    give the same short tuples, which collapse map-side.
+    Texts collapse map-side before any of them is parsed, so the parsing follows the number of different
+    schemas.  A relation may stand in any of the forms ``patterns``; a null schema has no row.
     """
-    tuples = rows.select(
-        F.sha2(F.col(schema_col), 256).alias("schema_key"),
-        F.inline(F.array_distinct(g.declared(F.col(schema_col), pattern))),
-    )
-    return tuples.distinct()
+    forms = (patterns,) if isinstance(patterns, str) else patterns
+    texts = rows.select(F.col(schema_col).alias("_s")).filter(F.col("_s").isNotNull()).distinct()
+    found = F.concat(*[g.declared(F.col("_s"), p) for p in forms])
+    return texts.select(F.sha2("_s", 256).alias("schema_key"), F.array_distinct(found).alias("declared"))
+
+
+def schema_relations(
+    rows: DataFrame, schema_col: str, patterns: str | Sequence[str] = g.SCHEMA_FORMS
+) -> DataFrame:
+    """Relations of every different schema text: (schema_key, label_a, rel, label_b)."""
+    return schema_dictionary(rows, schema_col, patterns).select("schema_key", F.inline("declared"))
 
 
 def one_hop_rows(
-    paired: DataFrame, id_col: str, ref_col: str, schema_col: str, arms: Sequence[str] = ("direct", "cot")
+    paired: DataFrame, id_col: str, ref_col: str, schema_col: str, arms: Sequence[str] = ("direct", "cot"),
+    schemas: DataFrame | None = None,
 ) -> DataFrame:
     """One-hop references with their ambiguity, and per arm EM and correct relation.
 
-    ``paired`` has ``<arm>_pred``.  Declared relations are read from the row's
-    own schema, so nothing is joined.
+    ``paired`` has ``<arm>_pred``.  ``schemas`` is a ``schema_dictionary`` that knows the rows' schemas, by
+    default that of ``paired``; rows join it by digest, so their texts are hashed but not parsed or shuffled.
     """
     ref = F.col(ref_col)
+    known_schemas = schema_dictionary(paired, schema_col) if schemas is None else schemas
     hops = (
         paired.filter(g.is_one_hop(ref))
         .withColumn("_labels", g.labels(ref))
         .withColumn("rel_type", F.try_element_at(g.relations(ref), F.lit(1)))
         .filter((F.size("_labels") >= 2) & F.col("rel_type").isNotNull())
         .withColumn("labels", F.array_sort(F.slice("_labels", 1, 2)))
-        .withColumn("_decl", g.declared(F.col(schema_col)))
+        .withColumn("schema_key", F.sha2(F.col(schema_col), 256))
+        .drop(schema_col)
+        .join(known_schemas.withColumnRenamed("declared", "_decl"), "schema_key")
     )
     a, b = F.col("labels")[0], F.col("labels")[1]
     of_pair = F.filter("_decl", lambda x: (x["label_a"] == a) & (x["label_b"] == b))

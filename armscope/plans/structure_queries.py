@@ -36,6 +36,23 @@ def schema_relations(spark, sf):
     return op.schema_relations(fx.predictions(spark, sf), "schema_text")
 
 
+# The same relations with their labels in bold, as another kind of schema text writes them, beside those in arrows.
+BOLD_SCHEMAS = f"""SELECT instance_id, CASE WHEN k % 3 = 0 THEN schema_text ELSE
+  replace(replace(replace(replace(schema_text, '(:', '**'), ')-[', '** -['), ']->', ']-> '), concat(')', chr(10)), concat('**', chr(10))) END AS schema_text
+FROM ({P}) q"""
+BOLD = r"\*\*(\w+)\*\* -\[:(\w+)\]-> \*\*(\w+)\*\*"
+
+
+@query(
+    "schema_relations_forms",
+    f"""WITH p AS ({BOLD_SCHEMAS}), s AS (SELECT DISTINCT schema_text, sha256(schema_text) AS schema_key FROM p)
+{decl_sql('SELECT * FROM s', 'schema_key')} UNION {decl_sql('SELECT * FROM s', 'schema_key').replace(ARROW, BOLD)}""",
+)
+def schema_relations_forms(spark, sf):
+    """Relations of schema texts in two forms."""
+    return op.schema_relations(fx.fixture(spark, sf, BOLD_SCHEMAS), "schema_text")
+
+
 def paired_queries(spark, sf):
     preds = fx.predictions(spark, sf).withColumn("pred", F.col(PRED))
     return pair_arms(
@@ -43,8 +60,13 @@ def paired_queries(spark, sf):
     )
 
 
+def schemas(spark, sf):
+    """The schemas of one arm; both arms of an instance have the same."""
+    return op.schema_dictionary(fx.arm(fx.predictions(spark, sf), "direct"), "schema_text")
+
+
 def one_hop(spark, sf):
-    return op.one_hop_rows(paired_queries(spark, sf), "instance_id", REF, "schema_text")
+    return op.one_hop_rows(paired_queries(spark, sf), "instance_id", REF, "schema_text", schemas=schemas(spark, sf))
 
 
 ONE_HOP_SQL = f"""
@@ -90,7 +112,7 @@ def ambiguity_exec_board(spark, sf):
     for arm in ("direct", "cot"):
         flags = fx.arm(done, arm).select("instance_id", F.col("exec_match").cast("int").alias(f"{arm}_exec"))
         paired = paired.join(flags, "instance_id", "left")
-    rows = op.one_hop_rows(paired, "instance_id", REF, "schema_text")
+    rows = op.one_hop_rows(paired, "instance_id", REF, "schema_text", schemas=schemas(spark, sf))
     board = op.ambiguity_board(rows, ["exec"])
     bucket = F.least(F.col("ambiguity"), F.lit(op.AMBIGUITY_CAP)).alias("ambiguity")
     return board.join(rows.groupBy(bucket).agg(F.count("direct_exec").alias("n_exec")), "ambiguity")

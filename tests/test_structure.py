@@ -74,6 +74,26 @@ def test_bold_schema_form(spark):
     assert (row["label_a"], row["rel"], row["label_b"]) == ("A", "R", "B")
 
 
+def test_schemas_are_parsed_once_each_in_any_form(spark):
+    both = "(:A)-[:R]->(:B) then **A** -[:S]-> **C**"
+    rows = spark.createDataFrame([(both,)] * 500 + [("**B** -[:R]-> **A**",), ("none",), (None,)], "s string")
+    found = structure.schema_dictionary(rows, "s")
+    assert sorted(sorted((x["label_a"], x["rel"], x["label_b"]) for x in r["declared"]) for r in found.collect()) == [
+        [], [("A", "R", "B")], [("A", "R", "B"), ("A", "S", "C")],
+    ]
+    # The texts collapse before they are parsed: the patterns stand in the results of the aggregate, not below it.
+    top, *below = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert top.startswith("Aggregate [_s") and "regexp" in top and not any("regexp" in line for line in below)
+
+
+def test_one_hop_rows_know_both_forms_and_miss_null_schemas(spark):
+    ref = "MATCH (a:A)-[:R]->(b:B) RETURN b"
+    rows = [("1", "(:A)-[:R]->(:B)\n(:B)-[:Q]->(:A)"), ("2", "**A** -[:R]-> **B**"), ("3", None), ("4", "(:A)-[:X]->(:B)")]
+    df = spark.createDataFrame([(i, ref, s, ref, "x") for i, s in rows], "id string, r string, s string, direct_pred string, cot_pred string")
+    got = {r["id"]: (r["ambiguity"], r["direct_em"], r["cot_em"]) for r in structure.one_hop_rows(df, "id", "r", "s").collect()}
+    assert got == {"1": (2, 1, 0), "2": (1, 1, 0)}
+
+
 def test_ladder(spark):
     rows = [(str(i), a, "s", v) for i in range(4) for a, v in (("direct", i < 3), ("qdecomp", i < 1), ("holistic", i < 2))]
     rows += [("9", "direct", "s", True)]
