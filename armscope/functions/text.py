@@ -17,6 +17,9 @@ BLANK = (
     r"[\u1680-\u3000&&[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]]]"
 )
 
+# The same characters one by one, to trim a text without a pattern.
+BLANKS = "".join(map(chr, [*range(0x9, 0xE), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
 # The mteval-13a punctuation class as published.
 PUNCT_13A = r"[\{-\~\[-\` -\&\(-\+\:-\@\/]"
 # The same characters one by one: Java tests a list faster than this many ranges.
@@ -46,11 +49,11 @@ def text_or_empty(c: Column) -> Column:
 
 def strip_blank(c: Column) -> Column:
     """Drop blanks at both ends (all Unicode blanks, not only spaces)."""
-    return F.regexp_replace(c, f"^{BLANK}+|{BLANK}+$", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def is_blank(c: Column) -> Column:
-    return strip_blank(text_or_empty(c)) == ""
+    return ~F.regexp_like(text_or_empty(c), F.lit(f"(?!{BLANK})[\\s\\S]"))
 
 
 def norm_ws(c: Column) -> Column:
@@ -60,12 +63,12 @@ def norm_ws(c: Column) -> Column:
 
 def norm_ws_query(c: Column) -> Column:
     """``norm_ws`` and then drop trailing semicolons (a space before one stays)."""
-    return F.regexp_replace(norm_ws(c), ";+$", "")
+    return F.rtrim(norm_ws(c), F.lit(";"))
 
 
 def raw_key(c: Column) -> Column:
     """Stripped text without trailing semicolons."""
-    return F.regexp_replace(strip_blank(text_or_empty(c)), ";+$", "")
+    return F.rtrim(strip_blank(text_or_empty(c)), F.lit(";"))
 
 
 def norm_key(c: Column) -> Column:
@@ -125,16 +128,28 @@ def first_filled(*cols: Column) -> Column:
     return F.coalesce(*[F.when(c != "", c) for c in cols], F.lit(""))
 
 
-#: Tokens of an SQL text: comments, literals, quoted names, numbers, names, operators, and any other character.
-#: What begins first is taken whole, so a comment mark inside quotes is text and a quote inside a comment is none;
-#: what is not closed goes on to the end.
+#: Blanks and comments of an SQL text, and its tokens: literals, quoted names, numbers, names, operators, and any other
+#: character. What begins first is taken whole, so a comment mark inside quotes is text and a quote inside a comment is
+#: none; what is not closed goes on to the end.
+SQL_SKIPPED = r"(?:" + BLANK + r"++|--[^\n]*|/\*[\s\S]*?(?:\*/|\z))"
+SQL_LITERAL = r"'[^']*+(?:''[^']*+)*+(?:'|\z)"
+SQL_QUOTED = r'"[^"]*+(?:""[^"]*+)*+(?:"|\z)'
+SQL_BACKQUOTED, SQL_BRACKETED = r"[^`]*+(?:``[^`]*+)*+", r"[^\]]*+"
 SQL_TOKEN = (
-    r"--[^\n]*|/\*[\s\S]*?(?:\*/|\z)"
-    r"|'[^']*+(?:''[^']*+)*+(?:'|\z)"
-    r'|"[^"]*+(?:""[^"]*+)*+(?:"|\z)'
-    r"|`[^`]*+(?:``[^`]*+)*+`|\[[^\]]*+\]"
+    rf"{SQL_LITERAL}|{SQL_QUOTED}|`{SQL_BACKQUOTED}`|\[{SQL_BRACKETED}\]"
     r"|[0-9]++(?:\.[0-9]++)?|[\p{L}_][\p{L}\p{N}_$]*+"
-    r"|<=|>=|<>|!=|\|\||(?!" + BLANK + r")[\s\S]"
+    r"|<=|>=|<>|!=|\|\||[\s\S]"
+)
+#: Among tokens with a blank before each: a quoted name as it is (group 1), or literals without the blanks around them.
+_LITERAL = rf"(?!'\z){SQL_LITERAL}"
+SQL_LITERALS = (
+    rf"( ?+(?:{SQL_QUOTED}|`{SQL_BACKQUOTED}`|\[{SQL_BRACKETED}\]))|"
+    rf" ({_LITERAL}(?: {_LITERAL})*+)(?: (?!'(?!\z)))?"
+)
+#: Text up to a name in backquotes or brackets (group 1), and what stands inside it.
+SQL_OTHER_QUOTES = (
+    rf"\G((?:{SQL_LITERAL}|{SQL_QUOTED}|(?!`{SQL_BACKQUOTED}`|\[{SQL_BRACKETED}\])[\s\S])*+)"
+    rf"(?:`({SQL_BACKQUOTED})`|\[({SQL_BRACKETED})\])"
 )
 
 
@@ -145,27 +160,14 @@ def canon_sql(c: Column) -> Column:
     brackets are written in double quotes.  A semicolon at the end does not count.  A blank
     text gives null (it has no canonical form).
     """
-    found = F.regexp_extract_all(text_or_empty(c), F.lit(SQL_TOKEN), F.lit(0))
-    tokens = F.filter(found, lambda t: ~(t.startswith("--") | t.startswith("/*")))
-    tokens = F.transform(
-        tokens,
-        lambda t: F.when(
-            (F.length(t) > 1) & (t.startswith("`") | t.startswith("[")),
-            F.concat(F.lit('"'), F.substr(t, F.lit(2), F.length(t) - 2), F.lit('"')),
-        ).otherwise(t),
-    )
-
-    def literal(t: Column) -> Column:
-        return (F.length(t) > 1) & t.startswith("'")
-
-    # One blank between tokens, but none between a literal and what is no literal.
-    spaced = F.transform(
-        F.arrays_zip(tokens.alias("t"), F.concat(F.array(F.lit(None).cast("string")), tokens).alias("before")),
-        lambda z: F.when(
-            z["before"].isNull() | (literal(z["t"]) != literal(z["before"])), z["t"]
-        ).otherwise(F.concat(F.lit(" "), z["t"])),
-    )
-    key = F.lower(F.regexp_replace(F.array_join(spaced, ""), "[ ;]+$", ""))
+    # One blank between tokens, but none between a literal and what is no literal.  Every pass stands once in the
+    # expression, and the condition reads the column: a step that is named twice is worked out twice.
+    tokens = F.regexp_replace(text_or_empty(c), f"{SQL_SKIPPED}*+({SQL_TOKEN})|{SQL_SKIPPED}++", " $1")
+    spaced = F.regexp_replace(tokens, SQL_LITERALS, "$1$2")
+    quoted = F.when(
+        c.contains("`") | c.contains("["), F.regexp_replace(spaced, SQL_OTHER_QUOTES, '$1"$2$3"')
+    ).otherwise(spaced)
+    key = F.lower(F.regexp_replace(quoted, "^ |[ ;]+$", ""))
     return F.when(is_blank(c), F.lit(None).cast("string")).otherwise(key)
 
 

@@ -164,3 +164,21 @@ def test_canon_sql_keeps_what_stands_in_quotes(spark):
     assert column(spark, ["a /* open", "a"], tx.canon_sql)[0] == "a"
     long = column(spark, ["x = '" + "it''s " * 20_000 + "'"], tx.canon_sql)[0]
     assert len(long) == 6 * 20_000 + 5
+
+
+def test_canon_sql_joins_tokens_without_a_list(spark):
+    cases = {
+        "SELECT `a``b`, [c d], \"x`y\" FROM t -- it's [gone]\n WHERE n='it''s [ok]`' /* ' */ 'z' ;": (
+            'select "a``b" , "c d" , "x`y" from t where n =\'it\'\'s [ok]`\' \'z\''
+        ),
+        "'a' '": "'a''", "` '1' [": "`'1'[", "'open ;": "'open", "-- only": "", "a  .  b": "a . b",
+    }
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "i int, t string")
+    column = tx.canon_sql(F.col("t"))
+    assert [r["k"] for r in df.select("i", column.alias("k")).orderBy("i").collect()] == list(cases.values())
+    assert "lambda" not in df.select(column.alias("k"))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_canon_sql_of_a_long_text(spark):
+    row = spark.range(1).select(tx.canon_sql(F.repeat(F.lit("a='x' , `q` "), 20_000)).alias("k")).first()
+    assert row["k"] == " ".join(["a ='x', \"q\""] * 20_000)
