@@ -100,26 +100,29 @@ def stream_board(records: DataFrame, out: str, checkpoint: str) -> StreamingQuer
     """Running board per database: ok and failed rows, tokens, matches and EM.
 
     Broken lines are not counted.  The board has one row per database; each batch writes it whole, under the
-    batch number, and the highest number is the current board.
+    batch number, and the highest number is the current board.  A batch adds its own counts to the board of the
+    batch before, which it only reads: a replayed batch replaces itself, and there is no other state to commit.
     """
     ok = F.coalesce(F.col("reasoning"), F.lit("")) != ""
-    matches = F.count(F.when(F.col("exec_match"), 1))
-    board = records.filter(F.col(CORRUPT).isNull()).groupBy("db_name").agg(
-        F.count("*").alias("n"),
-        F.count(F.when(ok, 1)).alias("n_ok"),
-        F.count(F.when(~ok, 1)).alias("n_fail"),
-        F.sum(F.coalesce("prompt_tokens", F.lit(0))).alias("prompt_tokens"),
-        F.sum(F.coalesce("completion_tokens", F.lit(0))).alias("completion_tokens"),
-        matches.alias("matches"),
-        ratio(matches, F.count("*")).alias("em"),
-    )
+    counts = {
+        "n": F.count("*"),
+        "n_ok": F.count(F.when(ok, 1)),
+        "n_fail": F.count(F.when(~ok, 1)),
+        "prompt_tokens": F.sum(F.coalesce("prompt_tokens", F.lit(0))),
+        "completion_tokens": F.sum(F.coalesce("completion_tokens", F.lit(0))),
+        "matches": F.count(F.when(F.col("exec_match"), 1)),
+    }
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        good = batch.filter(F.col(CORRUPT).isNull())
+        board = good.groupBy("db_name").agg(*[c.alias(name) for name, c in counts.items()])
+        if batch_id:
+            before = batch.sparkSession.read.schema(board.schema).parquet(f"{out}/batch={batch_id - 1}")
+            board = board.unionByName(before).groupBy("db_name").agg(*[F.sum(name).alias(name) for name in counts])
+        board.withColumn("em", ratio(F.col("matches"), F.col("n"))).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return (
-        board.writeStream.outputMode("complete")
-        .foreachBatch(store)
+        records.writeStream.foreachBatch(store)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
