@@ -2,7 +2,9 @@
 
 import random
 import re
+import time
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -260,3 +262,51 @@ def test_blocks_of_full_cells_give_the_same_components(docs_of):
         {r["doc_id"]: r["component_id"] for r in near_text.similar_documents(docs_of(texts), block=b).collect()} for b in (20_000, 5)
     )
     assert whole == cut
+
+
+def test_pairs_between_groups_come_once(spark, docs_of):
+    """Every pair within the radius that meets in a grid is made once, also where cells are cut into blocks."""
+    rng, texts = random.Random(23), []
+    for _ in range(12):
+        origin = [f"w{rng.randrange(900)}" for _ in range(90)]
+        for _ in range(8):
+            copy = list(origin)
+            for at in rng.sample(range(90), 4):
+                copy[at] = f"n{rng.getrandbits(40)}"
+            texts.append(" ".join(copy))
+    prints = [near_text.wide_point(t) for t in texts]
+    points = spark.createDataFrame([(i, i % 50, p) for i, p in enumerate(prints)], "pid bigint, label bigint, print binary")
+    words = np.array([np.frombuffer(p[:32], dtype="<u8") for p in prints])
+    counts = near_text.segment_counts(words).astype(int).reshape(len(texts), near_text.GROUPS, -1)
+    radius, want = near_text.radius_of(0.8), set()
+    for a in range(len(texts)):
+        for b in range(a + 1, len(texts)):
+            near = sum(int(x ^ y).bit_count() for x, y in zip(words[a, :2], words[b, :2])) <= radius
+            if near and a % 50 != b % 50 and (abs(counts[a] - counts[b]).sum(axis=1) <= 1).any():
+                want.add((a, b))
+    assert len(want) > 100
+    for block in (20_000, 3):
+        rows = [tuple(r) for r in near_text._between(points, len(texts), radius, block).collect()]
+        assert len(rows) == len(set(rows)) and set(rows) == want
+
+
+def test_a_stored_table_leaves_no_shuffle_files(spark):
+    """The pipeline's disk: shuffles of a written table are removed after it."""
+    from armscope.llm import common
+
+    before = spark.conf.get(common.CLEANUP, None)
+    folder = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        files, found = folder.getAllFiles().iterator(), set()
+        while files.hasNext():
+            found.add(files.next().getName())
+        return {name for name in found if name.startswith("shuffle_")}
+
+    old = shuffles()
+    table = common.stored(spark.range(10_000).groupBy((F.col("id") % 100).alias("k")).count(), "cleaned")
+    until = time.time() + 20
+    while shuffles() - old and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffles() - old
+    assert table.count() == 100 and spark.conf.get(common.CLEANUP, None) == before
