@@ -240,6 +240,50 @@ def test_proposals_grow_with_a_group_not_with_its_pairs(spark, docs_of, monkeypa
         assert 2 * sum(rounds) + sum(df.count() for df in rest) <= 8 * n
 
 
+def test_pairs_below_the_similarity_do_not_grow_with_a_family(docs_of, monkeypatch):
+    """Texts alike at about 0.66 were handed on as all their pairs; the links among them must stay."""
+    rng, rest = random.Random(24), []
+    between = near_text._between
+    monkeypatch.setattr(near_text, "_between", lambda *a: rest.append(between(*a)) or rest[-1])
+    origin = [f"w{rng.randrange(9000)}" for _ in range(200)]
+    texts = []
+    for _ in range(400):
+        copy = list(origin)
+        for at in rng.sample(range(200), 4):
+            copy[at] = f"n{rng.getrandbits(40)}"
+        texts.append(" ".join(copy))
+    texts += [texts[7] + " more", texts[30] + " more"]
+    got = {r["doc_id"]: r["component_id"] for r in near_text.similar_documents(docs_of(texts)).collect()}
+    near = {(i, k) for i in range(402) for k in range(i) if jaccard(texts[i], texts[k]) >= 0.8}
+    assert {(400, 7), (401, 30)} <= near and len(near) < 100
+    assert all(got[i] == got[k] for i, k in near)
+    low = list(range(402))
+    for _ in range(402):
+        before = list(low)
+        for i, k in near:
+            low[i] = low[k] = min(low[i], low[k])
+        if low == before:
+            break
+    assert [got[i] for i in range(402)] == low
+    assert sum(df.count() for df in rest) <= 8 * len(texts)
+
+
+def test_sketches_rule_out_no_pair_at_the_similarity():
+    rng, ruled_out = np.random.default_rng(25), 0
+    for _ in range(4000):
+        n = int(rng.choice([0, 1, 4, 9, 40, 150, 600, 5000]))
+        a = rng.integers(0, 1 << 63, n).astype("<u8")
+        b = np.concatenate([a[int(n * rng.choice([0, 0.02, 0.1, 0.2])) :], rng.integers(0, 1 << 63, int(n * rng.choice([0, 0.02, 0.1, 0.25])))])
+        x, y = (np.sort(v.astype("<u8")).tobytes() for v in (a, b))
+        words = np.array([np.frombuffer(near_text.parity_sketch(v), dtype="<u8") for v in (x, y)])
+        size = words[:, -1].astype(np.int64)
+        assert size.tolist() == [len(a), len(b)]
+        far = near_text._apart(words[:, :-1], size, np.array([0]), np.array([1]), 0.8)[0] == near_text._FAR
+        ruled_out += far
+        assert not far or near_text.jaccard(x, y) < 0.8
+    assert ruled_out > 500
+
+
 def test_repeated_and_null_ids_lose_their_copies(docs_of):
     docs = docs_of(["a b c d e f", "a b c d e f", "q r s t"], clash=True)
     docs = docs.unionByName(docs).unionByName(docs.selectExpr("cast(null AS bigint) doc_id", *docs.columns[1:]))
