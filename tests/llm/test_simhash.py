@@ -354,3 +354,66 @@ def test_a_stored_table_leaves_no_shuffle_files(spark):
         time.sleep(0.2)
     assert not shuffles() - old
     assert table.count() == 100 and spark.conf.get(common.CLEANUP, None) == before
+
+
+def lone_and_copies(rng, lone, size=400):
+    texts = [" ".join(f"{rng.getrandbits(64):x}" for _ in range(size)) for _ in range(lone)]
+    return texts + [texts[3] + " more", texts[7], "x " + texts[3]]
+
+
+def test_texts_of_lone_rows_are_not_dealt_out(spark, docs_of):
+    """The disk of the last step: only rows of groups and repeated rows are shuffled with their texts."""
+    texts = lone_and_copies(random.Random(26), 300)
+    docs = docs_of(texts)
+    docs = docs.unionByName(docs.filter("doc_id IN (5, 9)"))
+    folder = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def written():
+        files, found = folder.getAllFiles().iterator(), {}
+        while files.hasNext():
+            f = files.next()
+            if f.getName().startswith("shuffle_"):
+                found[f.getName()] = f.length()
+        return found
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept, old = near_text.keep_first(docs), written()
+        ids = sorted(r["doc_id"] for r in kept.select("doc_id", "text").collect())
+        new = sum(n for name, n in written().items() if name not in old)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert ids == list(range(300))
+    assert new < sum(map(len, texts)) / 5
+
+
+def test_key_filter_loses_no_key(spark):
+    keys = spark.range(0, 50_000, 5).select(F.unhex(F.md5(F.col("id").cast("string"))).alias("h"))
+    all_ = spark.range(50_000).select("id", F.unhex(F.md5(F.col("id").cast("string"))).alias("h"))
+    passed = {r["id"] for r in all_.filter(near_text.key_filter(keys)(F.col("h"))).select("id").collect()}
+    assert passed >= set(range(0, 50_000, 5)) and len(passed) < 10_500
+    assert all_.filter(near_text.key_filter(keys.limit(0))(F.col("h"))).count() == 0
+
+
+def test_grids_in_parts_and_points_without_a_pair(docs_of, monkeypatch):
+    """A large table fills its grids in parts, and a point of which no pair is left leaves the rounds; the groups are the same."""
+    rng, texts = random.Random(27), []
+    for _ in range(30):
+        origin = [f"w{rng.randrange(900)}" for _ in range(80)]
+        for _ in range(4):
+            texts.append(" ".join(origin))
+            origin[rng.randrange(80)] = f"n{rng.getrandbits(40)}"
+    rounds, filled = [], []
+    proposals, placed = near_text._proposals, near_text._placed
+    monkeypatch.setattr(near_text, "_proposals", lambda *a: rounds.append(a[1]) or proposals(*a))
+    monkeypatch.setattr(near_text, "_placed", lambda *a: filled.append(len(a[4]) if len(a) > 4 else 16) or placed(*a))
+
+    def groups():
+        return {r["doc_id"]: r["component_id"] for r in near_text.similar_documents(docs_of(texts)).collect()}
+
+    whole = groups()
+    assert rounds[0] == 120 and len(rounds) > 2 and rounds[2] < 30 and set(filled) == {16}
+    filled.clear()
+    monkeypatch.setattr(near_text, "ALL_AT_ONCE", 0)
+    assert groups() == whole and filled[:4] == [near_text.AT_ONCE] * 4
