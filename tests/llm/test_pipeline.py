@@ -2,6 +2,7 @@
 
 import corpus_pipeline
 from __spark_entry__ import queries
+from armscope.llm import pieces
 
 SF = "/root/testdata/sf0.001"
 
@@ -37,3 +38,19 @@ def test_near_stage_keeps_one_of_each_group(spark, docs_of):
     texts = ["a b c d e f g", "A B C d e f g", "q w e r t z u i o p"]
     out = corpus_pipeline.near_stage(spark, docs_of(texts), SF).collect()
     assert sorted(r["doc_id"] for r in out) == [0, 2]
+
+
+def test_piece_stage_gives_the_next_best_segmentations(spark, docs_of, model_path):
+    texts = ["the cat sat on the mat", "a  b\nçé", "q", "", None, "the cat sat on the mat"]
+    out = corpus_pipeline.piece_stage(spark, docs_of(texts), SF)
+    assert out.columns == [*corpus_pipeline.COLUMNS, *pieces.ADDED]
+    rows = {r["doc_id"]: r for r in out.collect()}
+    model = pieces.piece_model(model_path)
+    for i, text in enumerate(texts):
+        ids, score, others = next(model.encode([text or ""]))
+        assert list(rows[i]["piece_ids"]) == ids.tolist() and rows[i]["score"] == score
+        assert [tuple(w) for w in rows[i]["others"]] == others
+    ranks = pieces.n_best_rows(out.filter("doc_id = 0"), "doc_id").orderBy("rank").collect()
+    assert [r["rank"] for r in ranks] == [1, 2, 3] and len({tuple(r["ids"]) for r in ranks}) == 3
+    assert ranks[0]["score"] >= ranks[1]["score"] >= ranks[2]["score"]
+    assert {model.decode(r["ids"]) for r in ranks} == {texts[0]}
